@@ -57,11 +57,26 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, ensemble).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seamline.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seamline.llm.flac import features, store_texts
+
+    found = features(store_texts(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "n_seek_points")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_secret_scans": op4_secret_scans,
     "op6_url_filters": op6_url_filters,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_flac_media": op10_flac_media,
 }
 
 ORACLES: dict[str, str] = {}
