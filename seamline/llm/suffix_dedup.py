@@ -25,20 +25,18 @@ by their texts, and each row is a document of its own; an empty table gives an e
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seamline.llm.cells import dealt_to_cells
 from seamline.llm.common import whole
 from seamline.llm.shingles import mix
 
 LENGTH = 100
 GRAM = 32
-#: Text of a cell, on average: at least 200 cells where they hold half a MB each, and never over 16 MB.
-CELL_BYTES, SMALL_CELL_BYTES, MANY_CELLS = 16 << 20, 1 << 19, 200
 #: Bytes of segments in one BWT, unless a single anchor has more.
 BLOCK_BYTES = 1 << 21
 PLACE_BITS = 28
@@ -203,9 +201,7 @@ def _high(anchor: np.ndarray) -> np.ndarray:
 def repeats_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_bytes: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]): one row for each row of docs."""
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("text"))
-    total = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    cells = max(1, math.ceil(total / CELL_BYTES), min(MANY_CELLS, math.ceil(total / SMALL_CELL_BYTES)))
-    dealt = plain.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(cells)).cast("int"))
+    dealt, cells = dealt_to_cells(plain)
 
     def anchors(group: pa.Table) -> pa.Table:
         """What a cell has: for each bucket the distinct anchors, by their high halves."""
