@@ -49,6 +49,12 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seamline.llm.decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seamline.llm.url_filter import judge_urls
 
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_packing": op2_packing,
     "op4_secret_scans": op4_secret_scans,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_url_filters": op6_url_filters,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_quality_classifier": op8_quality_classifier,

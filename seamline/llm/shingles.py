@@ -16,6 +16,8 @@ SPACES = b" \t\n\x0b\x0c\r"
 _BASE = 0x9E3779B97F4A7C15
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
+#: All ASCII characters but letters and digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: list[np.ndarray] = []
@@ -47,9 +49,9 @@ def join_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, starts
 
 
-def words_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first byte, byte after, first word of each text and the end) of the words."""
-    space = _IS_SPACE[data]
+def words_of(data: np.ndarray, starts: np.ndarray, gaps: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, byte after, first word of each text and the end) of the words; gaps: which bytes end a word."""
+    space = gaps[data]
     edge = np.diff(np.concatenate([[True], space]).view(np.int8))
     begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     power, inverse = _tables(len(data) + 1)
