@@ -45,6 +45,8 @@ def statistics(text: Column) -> dict[str, Column]:
         "digits": share(r"[0-9]"),
         "stops": F.regexp_count(text, F.lit(r"[.!?](?=\s|$)")) / words,
         "lines": share(r"\n"),
+        "repeats": F.regexp_count(text, F.lit(r"(?<!\S)(\S+)\s+(?=\1(?!\S))")) / words,
+        "distinct": F.size(F.array_distinct(F.split(text, r"\s+"))) / words,
     }
 
 
