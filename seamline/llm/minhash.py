@@ -5,10 +5,13 @@ coordinate: h_k(S) = min over s in S of second[(first(s) + k) mod ring]. So a sh
 run of a table, and all coordinates of a document are one minimum over rows.
 
 1. Texts with the same words form a class, for which its smallest id stands.
-2. Classes that share a band meet in a bucket. Every member is paired with the bucket's smallest and largest id, never
-   with all others. Pairs whose sizes or one-bit signatures rule out the similarity go; the rest is verified on full sets.
+2. Classes that share a band meet in a bucket. Every member is paired with two leaders, the bucket's smallest id and the
+   member that meets most others over all its bands, never with all others. Pairs whose sizes or one-bit signatures rule
+   out the similarity go; the rest is verified on full sets.
 3. Verified links give components. In buckets that still hold several components, members outside the bucket's largest
-   component are paired with all members of other components, so that no link between components is lost to step 2.
+   component are paired with members of other components, so that no link between components is lost to step 2. A
+   member's shingles that no other such member has can't be in an intersection; this bounds what a pair can share, and
+   in a large group of copies with edits of their own it leaves few pairs.
 
 128 coordinates in 32 bands of 4 miss a pair of similarity 0.75 with probability (1 - 0.75^4)^32 = 5e-6; the bit filter
 drops one with about 1e-5. A larger similarity makes both smaller.
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamline.llm.common import whole, written
@@ -128,44 +131,69 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _possible(x: str, y: str):
+def unshared(texts: DataFrame) -> DataFrame:
+    """(node, alone): how many of a document's shingles no other document of texts has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, raw = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary())
+            for low, high in byte_slices(raw, 1 << 20):
+                sets, at = shingle_sets(raw.slice(low, high - low).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[low:high], np.diff(at))), pa.array(sets.view(np.int64))], names=["node", "shingle"])
+
+    rows = texts.select("doc_id", "text").mapInArrow(run, "node long, shingle long")
+    one = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).filter("k = 1")
+    return one.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+
+
+def _possible(x: str, y: str) -> Column:
     """What sizes and one-bit signatures leave open."""
-    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    nx, ny = F.col(f"{x}n"), F.col(f"{y}n")
     sizes = (nx * 100 >= ny * PERCENT) & (ny * 100 >= nx * PERCENT)
-    return sizes & (F.bit_count(F.col(f"{x}.s1").bitwiseXOR(F.col(f"{y}.s1"))) + F.bit_count(F.col(f"{x}.s2").bitwiseXOR(F.col(f"{y}.s2"))) <= MOST_BITS)
+    return sizes & (F.bit_count(F.col(f"{x}s1").bitwiseXOR(F.col(f"{y}s1"))) + F.bit_count(F.col(f"{x}s2").bitwiseXOR(F.col(f"{y}s2"))) <= MOST_BITS)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for each row of docs."""
     rows = described(docs, doc_id, text)
     classes = written(rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    member = F.struct("doc_id", "n", "s1", "s2")
-    banded = rows.join(classes, (F.col("doc_id") == F.col("rep")) & (rows.digest == classes.digest)).select(F.explode("keys").alias("key"), member.alias("m"))
-    banded = written(banded, "banded")
-    heads = banded.groupBy("key").agg(F.min("m").alias("low"), F.max("m").alias("high")).filter("low.doc_id <> high.doc_id")
-    heads = written(heads, "heads")
-    met = written(banded.join(heads, "key"), "met")
-
-    def to(head: str) -> DataFrame:
-        return met.filter(F.col("m.doc_id") != F.col(f"{head}.doc_id")).filter(_possible("m", head)).select(F.least("m.doc_id", f"{head}.doc_id").alias("a"), F.greatest("m.doc_id", f"{head}.doc_id").alias("b"))
-
-    pairs = written(to("low").union(to("high")).distinct(), "pairs")
-    nodes = met.select(F.col("m.doc_id").alias("node")).distinct()
+    reps = rows.join(classes, (F.col("doc_id") == F.col("rep")) & (rows.digest == classes.digest)).dropDuplicates(["rep"])
+    reps = written(reps.select("rep", "n", "s1", "s2", "keys"), "reps")
+    banded = reps.select(F.explode("keys").alias("key"), "rep")
+    sizes = written(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("low")).filter("size > 1"), "sizes")
+    met = written(banded.join(sizes, "key"), "met")
+    degrees = met.groupBy("rep").agg(F.sum("size").alias("degree"))
+    hubs = written(met.join(degrees, "rep").groupBy("key").agg(F.max_by("rep", "degree").alias("hub")), "hubs")
+    to_low, to_hub = met.select("rep", F.col("low").alias("lead")), met.join(hubs, "key").select("rep", F.col("hub").alias("lead"))
+    pairs = to_low.union(to_hub).filter("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+
+    def facts(side: str) -> DataFrame:
+        return reps.select(F.col("rep").alias(side), *[F.col(c).alias(side + c) for c in ("n", "s1", "s2")])
+
+    pairs = written(pairs.join(facts("a"), "a").join(facts("b"), "b").filter(_possible("a", "b")).select("a", "b"), "pairs")
+    nodes = met.select(F.col("rep").alias("node")).distinct()
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("text"))
     texts = written(texts.join(nodes, F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"]), "texts")
     links = written(verified(pairs, texts), "links")
     labels = components(links)
 
-    # what the buckets' first and last members didn't join
-    own = met.select("key", "m").join(labels, F.col("m.doc_id") == F.col("node"), "left").select("key", "m", F.coalesce("component", "m.doc_id").alias("c"))
+    # what leaders didn't join: members outside a bucket's largest component, against those of other components
+    own = met.select("key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     own = written(own, "own")
     held = own.groupBy("key", "c").agg(F.count(F.lit(1)).alias("size"))
-    mixed = held.groupBy("key").agg(F.max(F.struct("size", "c")).alias("top"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    mixed = written(mixed.select("key", F.col("top.c").alias("main")), "mixed")
-    left = written(own.join(mixed, "key"), "left")
-    others = left.filter("c <> main").alias("x")
-    more = others.join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.m.doc_id") < F.col("y.m.doc_id"))) & _possible("x.m", "y.m"))
-    more = more.select(F.least("x.m.doc_id", "y.m.doc_id").alias("a"), F.greatest("x.m.doc_id", "y.m.doc_id").alias("b")).distinct()
+    mixed = written(held.groupBy("key").agg(F.max_by("c", "size").alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "mixed")
+    left = written(own.join(mixed, "key").select("key", "rep", "c", "main"), "left")
+    some = left.select("rep").distinct()
+    alone = unshared(texts.join(some, F.col("doc_id") == F.col("rep"), "left_semi"))
+    # an intersection has no more than the shingles that some other document shares
+    bounded = reps.select("rep", "n", "s1", "s2").join(alone, F.col("rep") == F.col("node"), "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
+    bounded = written(bounded.filter(F.col("most") * 100 >= F.col("n") * PERCENT).select("rep", "n", "s1", "s2", "most"), "bounded")
+    left = written(left.join(bounded, "rep"), "left")
+    x, y = (left.select("key", *[F.col(k).alias(side + k) for k in ("rep", "c", "main", "n", "s1", "s2", "most")]) for side in "xy")
+    enough = F.least("xmost", "ymost") * (100 + PERCENT) >= (F.col("xn") + F.col("yn")) * PERCENT
+    once = (F.col("yc") == F.col("ymain")) | (F.col("xrep") < F.col("yrep"))
+    more = x.filter("xc <> xmain").join(y, (x.key == y.key) & (F.col("xc") != F.col("yc")) & once & enough & _possible("x", "y"))
+    more = more.select(F.least("xrep", "yrep").alias("a"), F.greatest("xrep", "yrep").alias("b")).distinct()
     more = written(more.join(pairs, ["a", "b"], "left_anti"), "more")
     links = links.union(verified(more, texts))
     labels = components(written(links, "links"))
