@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -453,7 +454,7 @@ def store_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(1).cast(pa.binary())
-            sizes = pa.compute.binary_length(raw).to_pylist()
+            sizes = pc.binary_length(raw).to_pylist()
             for low, high in _slices(sizes, BLOCK * FRAMES_AT_ONCE):
                 media = encode([padded(x) for x in raw.slice(low, high - low).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(sizes[low:high], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])

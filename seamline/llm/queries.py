@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamline.llm.common import fold_of, table
+from seamline.llm.oracles import ORACLES as ORACLES
 
 
 # fixed values: the rules of the url query
@@ -107,25 +108,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_flac_media": op10_flac_media,
 }
-
-ORACLES: dict[str, str] = {}
-
-ORACLES["op6_url_filters"] = r"""
-WITH p AS (
-  SELECT page_id, url,
-    CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
-  FROM pages
-), h AS (
-  SELECT page_id,
-    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
-  FROM p
-), r(verdict, r_host, r_path) AS (
-  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('allow', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
-), m AS (
-  SELECT h.page_id, h.host, h.path, r.r_host || r.r_path AS rule, r.verdict,
-    row_number() OVER (PARTITION BY h.page_id ORDER BY length(r_host) DESC NULLS LAST, length(r_path) DESC) AS k
-  FROM h LEFT JOIN r ON (h.host = r_host OR ends_with(h.host, '.' || r_host)) AND starts_with(h.path, r_path)
-)
-SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
-"""

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 WIDTH = 5
 SPACES = b" \t\n\x0b\x0c\r"
@@ -91,7 +92,7 @@ def normal_form(text: bytes) -> bytes:
 
 def byte_slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """Runs of rows of a string or binary column with at most so many bytes together, or a single row."""
-    sizes = pa.compute.binary_length(column).fill_null(0).to_pylist()
+    sizes = pc.binary_length(column).fill_null(0).to_pylist()
     low, total = 0, 0
     for k, n in enumerate(sizes):
         if k > low and total + n > most:
