@@ -41,7 +41,7 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 def metrics_json(classes: DataFrame) -> DataFrame:
     """One row with the JSON object keyed by class, in the order of ids; a class dimension, so it fits one row."""
     entry = F.struct(F.col("class_id").cast("int").alias("i"), F.struct(*[c for c in classes.columns if c != "class_id"]).alias("v"))
-    rows = F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.struct(e["i"].cast("string").alias("key"), e["v"].alias("value")))
+    rows = F.transform(F.array_sort(F.collect_list(entry), lambda a, b: a["i"] - b["i"]), lambda e: F.struct(e["i"].cast("string").alias("key"), e["v"].alias("value")))
     return classes.agg(F.to_json(F.map_from_entries(rows), {"pretty": "true"}).alias("json"))
 
 
