@@ -25,14 +25,25 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def _written_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/seamline-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: later steps don't depend on the executors that made it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/seamline/{name}-{uuid.uuid4().hex}"
+    path = f"{_written_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard_written(spark: SparkSession) -> None:
+    """Deletes what written() has stored for this application; results that still read it must be stored before."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_written_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def whole(text: str = "text") -> Column:
     """The text column; a null text counts as empty."""
     return F.coalesce(F.col(text), F.lit(""))

@@ -1,6 +1,6 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Words are runs of letters and digits in lower case, with any other character beyond ASCII. Terms are the words of the benchmark; words that over a fifth of the documents hold have no weight. Passages are windows of
+Words are runs of letters and digits in lower case, with any other character beyond ASCII. Terms are the words of the benchmark; words that over 3 % of the documents hold have no weight. Passages are windows of
 48 words, 24 apart, and each has a TF-IDF vector over the terms. Other words count in a passage's length only.
 
 1. Document frequencies of the terms over all documents.
@@ -32,7 +32,8 @@ from seamline.llm.shingles import PUNCTUATION, byte_slices, join_texts, words_of
 WINDOW, STRIDE = 48, 24
 RANK, OVERSAMPLE = 128, 16
 PIECE = 32
-MAX_DOCUMENT_SHARE = 0.2
+#: Words of more documents than this share, and than this number, have no weight.
+MAX_DOCUMENT_SHARE, MIN_STOP_DOCUMENTS = 0.03, 20
 MIN_COSINE = 0.15
 VERBATIM, PARAPHRASE, ANSWER_SHARE, ANSWERS = 0.7, 0.5, 0.9, 0.25
 #: Below so many words an item counts as found only nearly whole.
@@ -237,9 +238,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     if len(rows) > MAX_ITEMS:
         raise ValueError(f"more than {MAX_ITEMS} benchmark items: check them in parts")
     terms = Terms(sorted(((r.i, r.t.encode()) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
+    schema = "doc_id long, item_id long, common_words int, item_words int, cosine double, first_word long"
+    if not len(terms.known):
+        return docs.sparkSession.createDataFrame([], schema)
     texts = docs.select(F.lower(whole(text)).alias("text"))
     n, frequency = document_frequencies(texts, terms)
-    weight = np.where(frequency > MAX_DOCUMENT_SHARE * max(n, 5), 0.0, np.log((n + 1) / (frequency + 1)) + 1)
+    weight = np.where(frequency > max(MAX_DOCUMENT_SHARE * n, MIN_STOP_DOCUMENTS), 0.0, np.log((n + 1) / (frequency + 1)) + 1)
     other = float(np.median(weight[weight > 0])) if (weight > 0).any() else 1.0
     basis, _ = latent_basis(texts, terms, weight, other)
     item, first, after = terms.pieces()
@@ -274,7 +278,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
             return common
         return None
 
-    schema = "doc_id long, item_id long, common_words int, item_words int, cosine double, first_word long"
     names = [f.split()[0] for f in schema.split(", ")]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int64()]
 

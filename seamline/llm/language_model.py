@@ -37,7 +37,8 @@ HEAD_CLASSES, CLASS_SIZE, TAIL_CLASSES = 32, 32, 32
 CLASSES = HEAD_CLASSES + TAIL_CLASSES
 HEAD = HEAD_CLASSES * CLASS_SIZE
 ROW_BITS, WORD_ROW_BITS = 14, 13
-ROUNDS, RATE, BATCH = 2, 0.25, 8192
+#: Tokens of a gradient step, and tokens whose probabilities are worked out at once.
+ROUNDS, RATE, STEP, BATCH = 2, 0.25, 32768, 4096
 END = np.uint64(0x9D5C0FB1A37E2468)
 #: Weight rows in one block of what tasks send back.
 BLOCK_ROWS = 1 << 10
@@ -118,23 +119,31 @@ def _log_softmax(logits: np.ndarray) -> np.ndarray:
     return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
 
+def _summed(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """For each token the sum of its rows of the table."""
+    out = table[rows[:, 0]]
+    for k in range(1, rows.shape[1]):
+        out += table[rows[:, k]]
+    return out
+
+
 class _Rows:
-    """AdaGrad on hashed rows of a weight table."""
+    """AdaGrad on a table of hashed rows, all rows of it at a time."""
 
     def __init__(self, table: np.ndarray):
         self.table, self.seen = table.copy(), np.full(table.shape, 1e-2, np.float32)
 
     def update(self, rows: np.ndarray, gradient: np.ndarray) -> None:
         """rows: (n, k) rows that share the n gradients."""
-        flat = rows.ravel()
-        order = np.argsort(flat, kind="stable")
-        flat = flat[order]
-        heads = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        total = np.add.reduceat(gradient[order // rows.shape[1]], heads, axis=0)
-        ids = flat[heads]
-        seen = self.seen[ids] + total * total
-        self.seen[ids] = seen
-        self.table[ids] -= RATE * total / np.sqrt(seen)
+        flat = rows.T.ravel()
+        total = np.empty(self.table.shape, np.float32)
+        columns = np.ascontiguousarray(gradient.T, np.float64)
+        for c, column in enumerate(columns):
+            total[:, c] = np.bincount(flat, np.tile(column, rows.shape[1]), len(total))
+        self.seen += total * total
+        total *= RATE
+        total /= np.sqrt(self.seen)
+        self.table -= total
 
 
 def _word_counts(docs: DataFrame, buckets: int) -> DataFrame:
@@ -235,10 +244,12 @@ def _train_round(docs: DataFrame, model: Model, turn: int) -> None:
                 target, place = start.targets(token, kind)
                 rows, row2 = features(token, starts), word_rows(token, starts, target)
                 n += len(token)
-                for a in range(0, len(token), BATCH):
-                    part = slice(a, a + BATCH)
+                for a in range(0, len(token), STEP):
+                    part = slice(a, a + STEP)
                     f, y = rows[part], target[part]
-                    p = np.exp(_log_softmax(classes.table[f].sum(1) + start.class_bias))
+                    p = np.empty((len(y), CLASSES), np.float32)
+                    for b in range(0, len(y), BATCH):
+                        p[b : b + BATCH] = np.exp(_log_softmax(_summed(classes.table, f[b : b + BATCH]) + start.class_bias))
                     p[np.arange(len(y)), y] -= 1
                     classes.update(f, p)
                     inner = np.flatnonzero(place[part] >= 0)
@@ -287,7 +298,7 @@ def _log_probabilities(model: Model, token: np.ndarray, kind: np.ndarray, starts
     for a in range(0, len(token), BATCH):
         part = slice(a, a + BATCH)
         f, y, j = rows[part], target[part], place[part]
-        found = _log_softmax(model.weights[f].sum(1) + model.class_bias)[np.arange(len(y)), y].astype(np.float64)
+        found = _log_softmax(_summed(model.weights, f) + model.class_bias)[np.arange(len(y)), y].astype(np.float64)
         inner, tail = np.flatnonzero(j >= 0), np.flatnonzero(j < 0)
         if len(inner):
             word = _log_softmax(model.word_weights[row2[part][inner]] + model.word_bias[y[inner]])

@@ -10,8 +10,8 @@ run of a table, and all coordinates of a document are one minimum over rows.
    out the similarity go; the rest is verified on full sets.
 3. Verified links give components. In buckets that still hold several components, members outside the bucket's largest
    component are paired with members of other components, so that no link between components is lost to step 2. A
-   member's shingles that no other such member has can't be in an intersection; this bounds what a pair can share, and
-   in a large group of copies with edits of their own it leaves few pairs.
+   member's shingles that no other such member has can't be in an intersection, and counts of the rest by class bound
+   what a pair can share: in a large group of copies with edits of their own, few pairs are left to verify.
 
 128 coordinates in 32 bands of 4 miss a pair of similarity 0.75 with probability (1 - 0.75^4)^32 = 5e-6; the bit filter
 drops one with about 1e-5. A larger similarity makes both smaller.
@@ -42,6 +42,8 @@ PERCENT = 75
 #: Of the 128 one-bit coordinates, 16 differ on average at a similarity of 0.75; the deviation is 3.7.
 MOST_BITS = 32
 ROWS_AT_ONCE = 8192
+#: Classes of shingles whose counts bound an intersection.
+CLASSES = 128
 _ring: list[np.ndarray] = []
 
 
@@ -131,19 +133,39 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def unshared(texts: DataFrame) -> DataFrame:
-    """(node, alone): how many of a document's shingles no other document of texts has."""
+def shared_shingles(texts: DataFrame) -> DataFrame:
+    """(node, most, shared): of the shingles that some other document of texts has too, how many there are and how many
+    fall into each of CLASSES classes. What two documents have in common is at most the sum, over the classes, of the
+    smaller count.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, raw = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary())
             for low, high in byte_slices(raw, 1 << 20):
                 sets, at = shingle_sets(raw.slice(low, high - low).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[low:high], np.diff(at))), pa.array(sets.view(np.int64))], names=["node", "shingle"])
 
-    rows = texts.select("doc_id", "text").mapInArrow(run, "node long, shingle long")
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, alone = batch.column(1).cast(pa.binary()), batch.column(2)
+            for low, high in byte_slices(raw, 1 << 20):
+                sets, at = shingle_sets(raw.slice(low, high - low).to_pylist())
+                most, shared = [], []
+                for k, own in enumerate(alone.slice(low, high - low)):
+                    mine = sets[at[k] : at[k + 1]].view(np.int64)
+                    if own.is_valid:
+                        mine = mine[~np.isin(mine, own.values.to_numpy(), assume_unique=True)]
+                    most.append(len(mine))
+                    shared.append(np.bincount(mine & (CLASSES - 1), minlength=CLASSES))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, CLASSES * len(most) + 1, CLASSES, dtype=np.int32)), pa.array(np.concatenate(shared), pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(most, pa.int64()), lists], names=["node", "most", "shared"])
+
+    rows = texts.select("doc_id", "text").mapInArrow(shingles, "node long, shingle long")
     one = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).filter("k = 1")
-    return one.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    alone = one.groupBy("node").agg(F.collect_list("shingle").alias("alone"))  # no more than the document's own shingles
+    both = texts.join(alone, F.col("doc_id") == F.col("node"), "left").select("doc_id", "text", "alone")
+    return both.mapInArrow(counted, "node long, most long, shared array<int>")
 
 
 def _possible(x: str, y: str) -> Column:
@@ -184,15 +206,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     mixed = written(held.groupBy("key").agg(F.max_by("c", "size").alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "mixed")
     left = written(own.join(mixed, "key").select("key", "rep", "c", "main"), "left")
     some = left.select("rep").distinct()
-    alone = unshared(texts.join(some, F.col("doc_id") == F.col("rep"), "left_semi"))
-    # an intersection has no more than the shingles that some other document shares
-    bounded = reps.select("rep", "n", "s1", "s2").join(alone, F.col("rep") == F.col("node"), "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
-    bounded = written(bounded.filter(F.col("most") * 100 >= F.col("n") * PERCENT).select("rep", "n", "s1", "s2", "most"), "bounded")
+    shares = shared_shingles(texts.join(some, F.col("doc_id") == F.col("rep"), "left_semi"))
+    bounded = reps.select("rep", "n", "s1", "s2").join(shares, F.col("rep") == F.col("node")).drop("node")
+    bounded = written(bounded.filter(F.col("most") * 100 >= F.col("n") * PERCENT), "bounded")
     left = written(left.join(bounded, "rep"), "left")
-    x, y = (left.select("key", *[F.col(k).alias(side + k) for k in ("rep", "c", "main", "n", "s1", "s2", "most")]) for side in "xy")
-    enough = F.least("xmost", "ymost") * (100 + PERCENT) >= (F.col("xn") + F.col("yn")) * PERCENT
+    x, y = (left.select("key", *[F.col(k).alias(side + k) for k in ("rep", "c", "main", "n", "s1", "s2", "most", "shared")]) for side in "xy")
+    needed = (F.col("xn") + F.col("yn")) * PERCENT
+    common = F.aggregate(F.zip_with("xshared", "yshared", lambda i, j: F.least(i, j)), F.lit(0), lambda s, v: s + v)
+    enough = (F.least("xmost", "ymost") * (100 + PERCENT) >= needed) & (common * (100 + PERCENT) >= needed)
     once = (F.col("yc") == F.col("ymain")) | (F.col("xrep") < F.col("yrep"))
-    more = x.filter("xc <> xmain").join(y, (x.key == y.key) & (F.col("xc") != F.col("yc")) & once & enough & _possible("x", "y"))
+    more = x.filter("xc <> xmain").join(y, (x.key == y.key) & (F.col("xc") != F.col("yc")) & once & _possible("x", "y") & enough)
     more = more.select(F.least("xrep", "yrep").alias("a"), F.greatest("xrep", "yrep").alias("b")).distinct()
     more = written(more.join(pairs, ["a", "b"], "left_anti"), "more")
     links = links.union(verified(more, texts))
