@@ -160,7 +160,7 @@ def latent_basis(docs: DataFrame, terms: Terms, weight: np.ndarray, other: float
     random = np.random.default_rng(seed).standard_normal((len(terms.known), width)).astype(np.float32)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((terms, weight, random))
-    block = 4096
+    block = 256  # terms in one row of what tasks send: the sums are dealt by it
 
     def gathered(total: np.ndarray, p: Passages, weight: np.ndarray, random: np.ndarray) -> None:
         rows = _projected(p, weight, random) / np.maximum(p.squared, 1e-9)[:, None].astype(np.float32)
