@@ -8,6 +8,9 @@ Words are runs of letters and digits in lower case, with any other character bey
    turns the sum, as large as terms x rank, into singular values and vectors (single pass, by the Nystroem formula).
 3. Passages and benchmark pieces meet in the latent space. A passage is a candidate for an item when their cosine, with
    the passage's full length, reaches MIN_COSINE. A passage whose weight in the terms is too small for that is skipped.
+   A space of RANK directions leaves out much of a large benchmark, so there is an exact way too: a match leaves out few
+   of an item's words, so it holds a known share of any set of them. Stretches of a document that hold that share of an
+   item's rarest words are candidates as well (class Rarest); no match of step 4 escapes it, whatever the basis holds.
 4. Candidates are checked on the words around the passage: the longest common subsequence with the whole item must
    reach VERBATIM of its words; or PARAPHRASE of them, if the item's answer words (its rarest) nearly all occur too.
 
@@ -18,6 +21,7 @@ nothing matches; filtering keeps all columns, and names that clash with ours do
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,6 +44,10 @@ VERBATIM, PARAPHRASE, ANSWER_SHARE, ANSWERS = 0.7, 0.5, 0.9, 0.25
 SHORT, SHORT_SHARE = 8, 0.9
 #: The benchmark is read by the driver and sent to all tasks; a larger one is to be checked in parts.
 MAX_ITEMS = 100_000
+#: Share of an item's words, beyond those that a match may leave out, by which the exact way seeks it.
+SOUGHT = 0.2
+#: Postings, or chunks x items, that are added up at once.
+_AT_ONCE = 1 << 21
 _TABLE_BITS = 22
 
 
@@ -80,6 +88,84 @@ class Terms:
         return tuple(np.array(c, np.int64) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
 
 
+class Rarest:
+    """Postings of the rarest terms of items of about one length: chunks of a document that may hold a match.
+
+    A verbatim match leaves out at most n - VERBATIM * n of an item's n words, so of rarest words that count more than that
+    together, all but so many are there; a paraphrase holds ANSWER_SHARE of the answer words. Every window that an item is
+    checked in, WINDOW + 2 x its words, lies in two chunks that follow each other.
+    """
+
+    def __init__(self, size: int, items: list[int], whole_items: list[np.ndarray], answers: list[np.ndarray], terms: Terms, frequency: np.ndarray):
+        self.size, self.items = size, np.array(items, np.int64)
+        self.least, self.least_answers = np.zeros(len(items)), np.zeros(len(items))
+        found = []
+        for at, k in enumerate(items):
+            own = whole_items[k]
+            n = len(own)
+            distinct, times = np.unique(terms.number(own), return_counts=True)
+            order = np.lexsort((distinct, frequency[distinct]))
+            distinct, times = distinct[order], times[order]
+            left_out = n - math.ceil((SHORT_SHARE if n < SHORT else VERBATIM) * n - 1e-9)
+            sought = np.searchsorted(np.cumsum(times), left_out + (n if n < SHORT else max(2, round(SOUGHT * n)))) + 1
+            times = np.where(np.arange(len(times)) < sought, times, 0)
+            self.least[at] = max(1, times.sum() - left_out)
+            answer = np.isin(distinct, terms.number(answers[k]))
+            self.least_answers[at] = math.ceil(ANSWER_SHARE * len(answers[k]) - 1e-9) if n >= SHORT else np.inf
+            found += [(t, at, c, a) for t, c, a in zip(distinct.tolist(), times.tolist(), answer.tolist()) if c or a and n >= SHORT]
+        found.sort()
+        term, item, times, answer = (np.array(c) for c in zip(*found))
+        self.item, self.times, self.answer = item.astype(np.int32), times.astype(np.float32), answer.astype(np.float32)
+        self.at = np.searchsorted(term, np.arange(len(terms.known) + 1))
+
+    def candidates(self, number: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, first word, word after) of two chunks that may hold the item."""
+        degree = np.append(np.diff(self.at), 0)  # of terms, and of words that are none
+        has = np.flatnonzero(degree[number] > 0)
+        if not len(has):
+            return
+        chunks = -(-np.diff(first) // self.size)
+        base = np.cumsum(chunks) - chunks
+        doc = np.searchsorted(first, has, side="right") - 1
+        inner = (has - first[doc]) // self.size
+        chunk, width = base[doc] + inner, len(degree)
+        code = np.unique(np.concatenate([chunk * width + number[has], chunk[inner > 0] * width - width + number[has[inner > 0]]]))
+        chunk, term = code // width, code % width
+        size = degree[term]
+        heads = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
+        tails = np.append(heads[1:], len(chunk))
+        work = np.add.reduceat(size, heads) + len(self.items)
+        part = np.cumsum(work) // _AT_ONCE
+        for low, high in zip(*_runs(part)):
+            a, b = heads[low], tails[high - 1]
+            n = size[a:b]
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.at[term[a:b]], n)
+            row = np.repeat(np.repeat(np.arange(high - low), tails[low:high] - heads[low:high]), n)
+            key = row * len(self.items) + self.item[place]
+            shape = high - low, len(self.items)
+            hits, answered = (np.bincount(key, weights=w[place], minlength=shape[0] * shape[1]).reshape(shape) for w in (self.times, self.answer))
+            for r, k in zip(*(x.tolist() for x in np.nonzero((hits >= self.least) | (answered >= self.least_answers)))):
+                c = chunk[heads[low + r]]
+                d = int(np.searchsorted(base, c, side="right")) - 1
+                start = int(first[d] + (c - base[d]) * self.size)
+                yield d, int(self.items[k]), start, int(min(start + 2 * self.size, first[d + 1]))
+
+
+def _runs(values: np.ndarray) -> tuple[list[int], list[int]]:
+    """(first, after) of runs of equal values."""
+    edges = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]])).tolist()
+    return edges[:-1], edges[1:]
+
+
+def by_rarest_words(whole_items: list[np.ndarray], answers: list[np.ndarray], terms: Terms, frequency: np.ndarray) -> list[Rarest]:
+    """The items' postings, one table for each power of two that an item's window fits into."""
+    sizes: dict[int, list[int]] = {}
+    for k, own in enumerate(whole_items):
+        if len(own):
+            sizes.setdefault(1 << (WINDOW + 2 * len(own) - 1).bit_length(), []).append(k)
+    return [Rarest(size, items, whole_items, answers, terms, frequency) for size, items in sorted(sizes.items())]
+
+
 @dataclass
 class Passages:
     """Windows of a batch: the term occurrences in each, its squared length and where it lies."""
@@ -261,7 +347,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     # pieces of stop words alone have no direction; their items are sought by their other pieces, or word by word if none
     blind = [k for k in range(len(whole_items)) if len(whole_items[k]) and not (length[item == k] > 1e-6).any()]
     pieces = pieces / np.maximum(length, 1e-6)[:, None]
-    shared = docs.sparkSession.sparkContext.broadcast((terms, weight, basis, pieces, item, whole_items, answers, blind))
+    rarest = by_rarest_words(whole_items, answers, terms, frequency)
+    shared = docs.sparkSession.sparkContext.broadcast((terms, weight, basis, pieces, item, whole_items, answers, blind, rarest))
 
     def found_in(words: np.ndarray, k: int, state: tuple) -> int | None:
         """The common words of item k and these words, if they make a match."""
@@ -278,11 +365,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
             return common
         return None
 
+    def cosine_of(p: Passages, at: int, own: np.ndarray, weight: np.ndarray, basis: np.ndarray) -> float:
+        """The best cosine of a passage and an item's pieces."""
+        mine = (p.block == at) | (p.block == at + 1) & p.follows[at]
+        vector = (basis[p.term[mine]] * weight[p.term[mine]].astype(np.float32)[:, None]).sum(0)
+        return float((own @ vector).max(initial=0.0) / np.sqrt(max(p.squared[at], 1e-9)))
+
     names = [f.split()[0] for f in schema.split(", ")]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, weight, basis, pieces, item, whole_items, answers, blind = shared.value
+        terms, weight, basis, pieces, item, whole_items, answers, blind, rarest = shared.value
         state = whole_items, answers
         for batch in batches:
             raw = batch.column(1).cast(pa.binary())
@@ -305,6 +398,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                         common = found_in(words[a:b], k, state)
                         if common is not None:
                             best[doc, k] = [common, own, float(cosine[r, c]), int(a - first[doc])]
+                number = terms.number(words)
+                for table in rarest:
+                    for doc, k, low_word, high_word in table.candidates(number, first):
+                        # what no window reaches, the chunks around them may; what they don't reach, no window does
+                        if (doc, k) in best or found_in(words[low_word:high_word], k, state) is None:
+                            continue
+                        own, begin, end = len(whole_items[k]), int(first[doc]), int(first[doc + 1])
+                        for start in range(begin + (low_word - begin) // STRIDE * STRIDE, high_word, STRIDE):
+                            a, b = max(begin, start - own), min(end, start + WINDOW + own)
+                            common = found_in(words[a:b], k, state)
+                            if common is not None:
+                                at = int(np.searchsorted(p.start, start))
+                                best[doc, k] = [common, own, cosine_of(p, at, pieces[item == k], weight, basis), a - begin]
+                                break
                 for k in blind:
                     for doc in range(high - low):
                         common = found_in(words[first[doc] : first[doc + 1]], k, state)

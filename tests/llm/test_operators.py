@@ -308,3 +308,15 @@ def test_media(docs, none):
     assert bytes(b ^ 0x80 for r in blocks for b in r.pcm) == flac.padded(text)
     assert [r.sample_offset for r in blocks] == list(range(0, 576 * len(blocks), 576)) and all(r.ok for r in blocks)
     assert flac.features(flac.store_texts(none)).count() == 0
+
+
+def test_decontamination_by_a_large_benchmark(spark):
+    """Verbatim copies of items of a benchmark that 128 directions don't hold: as many as brute force finds."""
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(12_000)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [prose(rng.randint(15, 25)) for _ in range(4000)]
+    rows = [(k, f"{prose(rng.randint(30, 200))} {items[k]} {prose(rng.randint(0, 90))}") for k in range(0, 4000, 80)]
+    rows += [(5000 + k, prose(300)) for k in range(1500)]
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert got == {(k, k) for k in range(0, 4000, 80)}
