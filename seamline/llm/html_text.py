@@ -5,7 +5,8 @@ the words of their class and id attributes, and what its text looks like. The fi
 other, with transition weights, and is trained by gradient steps on labelled pages: a bounded set of (html, text) rows, by
 default pages that this module generates from common page layouts.
 
-Scripts, styles, comments and other raw elements are no blocks. Character references are decoded once, white space
+Scripts, styles, comments and other raw elements are no blocks; drawings, selections and what stands in for scripts or
+objects are skipped as far as the element reaches, which is nothing if it closes itself. Character references are decoded once, white space
 inside a block becomes one space, and the main blocks are joined in page order by one space.
 
 Defined results: a null or empty html, or one without text, gives an empty text; broken markup is read as far as tags can
@@ -49,22 +50,24 @@ NAME_PARTS = {
     "ask": "newsletter subscribe signup login search form share social",
     "body": "content article post entry story main text body prose",
 }
+#: Elements of markup whose text is none of the page's. One that is never closed ends with the element around it.
+SKIPPED = frozenset("noscript template svg select object canvas".split())
 PART_OF = {word: part for part, words in NAME_PARTS.items() for word in words.split()}
 
 _TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|title|object|canvas)\b(?:(?:"[^"]*"|'[^']*'|[^'">])*+|[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<more>(?:"[^"]*"|'[^']*'|[^'">])*+|[^>]*)>""",
+    r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|iframe|textarea|title)\b(?P<attributes>(?:"[^"]*"|'[^']*'|[^'">])*+|[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<more>(?:"[^"]*"|'[^']*'|[^'">])*+|[^>]*)>""",
     re.IGNORECASE | re.DOTALL,
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 
 
 class _Node:
-    """An open tag: its name and the features that it and the tags around it give."""
+    """An open tag: its name, the features that it and the tags around it give, and whether its text is skipped."""
 
-    __slots__ = ("features", "name")
+    __slots__ = ("features", "name", "skip")
 
-    def __init__(self, name: str, features: frozenset[str]):
-        self.name, self.features = name, features
+    def __init__(self, name: str, features: frozenset[str], skip: bool = False):
+        self.name, self.features, self.skip = name, features, skip
 
 
 def _own_features(name: str, more: str) -> set[str]:
@@ -102,6 +105,8 @@ def blocks_of(page: str) -> list[tuple[str, frozenset[str], int]]:
 
     def text(piece: str) -> None:
         nonlocal around, links
+        if stack[-1].skip:
+            return
         if not pieces:
             if not piece.strip():
                 return
@@ -111,7 +116,7 @@ def blocks_of(page: str) -> list[tuple[str, frozenset[str], int]]:
             links += len(piece)
 
     at = 0
-    for m in _TAG.finditer(page):
+    while m := _TAG.search(page, at):
         if m.start() > at:
             text(page[at : m.start()])
         at = m.end()
@@ -119,14 +124,17 @@ def blocks_of(page: str) -> list[tuple[str, frozenset[str], int]]:
         if name is None:
             if m["raw"]:
                 close()
+                if stack[-1].skip and m["attributes"].endswith("/"):  # in svg these can be empty
+                    at = m.end("attributes") + 1
             continue
         name = name.lower()
         if name in INLINE:
-            if name == "a":
+            if name == "a" and not stack[-1].skip:
                 in_link = 0 if m["end"] else 1
             continue
         close()
-        in_link = 0
+        if name not in SKIPPED and not stack[-1].skip:
+            in_link = 0
         if m["end"]:
             pop(name)
             continue
@@ -135,7 +143,7 @@ def blocks_of(page: str) -> list[tuple[str, frozenset[str], int]]:
                 if stack[k].name == "p":
                     del stack[k:]
                     break
-                if stack[k].name in ENDS_PARAGRAPH:
+                if stack[k].name in ENDS_PARAGRAPH or stack[k].skip:
                     break
         if name in ENDS and stack[-1].name in (name, ENDS[name]):
             stack.pop()
@@ -145,7 +153,7 @@ def blocks_of(page: str) -> list[tuple[str, frozenset[str], int]]:
         key = (top, name, m["more"])
         if key not in cache:
             cache[key] = top | _own_features(name, m["more"])
-        stack.append(_Node(name, cache[key]))
+        stack.append(_Node(name, cache[key], stack[-1].skip or name in SKIPPED))
     if at < len(page):
         text(page[at:])
     close()

@@ -223,3 +223,10 @@ def test_html_blocks():
     assert html_text.blocks_of("") == [] and html_text.blocks_of("<p") != [] and html_text.blocks_of("<script>x") == []
 
 
+def test_html_skipped_elements():
+    texts = lambda page: [b[0] for b in html_text.blocks_of(page)]
+    for empty in ('<svg class="i"/>', "<svg><title/><style/><path d='M0'/></svg>", "<svg><text>no</text></svg>", "<noscript><p>no</p></noscript>", "<select><option>no<option>no</select>"):
+        assert texts(f"<article><p>one</p>{empty}<p>two</p></article><p>three <svg>no</svg>") == ["one", "two", "three"]
+    for never_closed in ("object", "canvas", "noscript", "select"):
+        assert texts(f"<article><p>one</p><div><{never_closed}><p>no</div><p>two</p></article><p>three") == ["one", "two", "three"]
+    assert texts("<p>one<noscript><div>no</div></noscript>two") == ["one", "two"]
