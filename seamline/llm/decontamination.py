@@ -342,13 +342,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     answers = []
     for words in whole_items:
         distinct = np.unique(words)
-        w = weight[terms.number(distinct)]
-        answers.append(distinct[np.argsort(-w, kind="stable")][: max(1, round(ANSWERS * len(distinct)))])
-    # pieces of stop words alone have no direction; their items are sought by their other pieces, or word by word if none
-    blind = [k for k in range(len(whole_items)) if len(whole_items[k]) and not (length[item == k] > 1e-6).any()]
+        answers.append(distinct[np.lexsort((distinct, frequency[terms.number(distinct)]))][: max(1, round(ANSWERS * len(distinct)))])
+    # pieces of stop words alone have no direction: their items are sought by their rarest words, however frequent
     pieces = pieces / np.maximum(length, 1e-6)[:, None]
     rarest = by_rarest_words(whole_items, answers, terms, frequency)
-    shared = docs.sparkSession.sparkContext.broadcast((terms, weight, basis, pieces, item, whole_items, answers, blind, rarest))
+    shared = docs.sparkSession.sparkContext.broadcast((terms, weight, basis, pieces, item, whole_items, answers, rarest))
 
     def found_in(words: np.ndarray, k: int, state: tuple) -> int | None:
         """The common words of item k and these words, if they make a match."""
@@ -375,7 +373,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, weight, basis, pieces, item, whole_items, answers, blind, rarest = shared.value
+        terms, weight, basis, pieces, item, whole_items, answers, rarest = shared.value
         state = whole_items, answers
         for batch in batches:
             raw = batch.column(1).cast(pa.binary())
@@ -412,11 +410,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                                 at = int(np.searchsorted(p.start, start))
                                 best[doc, k] = [common, own, cosine_of(p, at, pieces[item == k], weight, basis), a - begin]
                                 break
-                for k in blind:
-                    for doc in range(high - low):
-                        common = found_in(words[first[doc] : first[doc + 1]], k, state)
-                        if common is not None:
-                            best[doc, k] = [common, len(whole_items[k]), 0.0, 0]
                 if best:
                     ids = batch.column(0).slice(low, high - low).to_pylist()
                     rows = [[ids[doc], terms.ids[k], *found] for (doc, k), found in sorted(best.items())]

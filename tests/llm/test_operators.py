@@ -320,3 +320,13 @@ def test_decontamination_by_a_large_benchmark(spark):
     rows += [(5000 + k, prose(300)) for k in range(1500)]
     got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
     assert got == {(k, k) for k in range(0, 4000, 80)}
+
+
+def test_decontamination_of_frequent_words(spark):
+    """An item in a third of all rows has no word of weight; a long document that holds its words far apart is clean."""
+    rng = random.Random(13)
+    rows = [(k, " ".join(f"w{rng.randrange(2000)}" for _ in range(120)) + (" " + ITEM if k % 3 == 0 else "")) for k in range(90)]
+    far = " ".join(w + " " + " ".join(f"w{rng.randrange(2000)}" for _ in range(100)) for w in ITEM.split())
+    df = spark.createDataFrame([*rows, (500, far), (501, far + " " + ITEM)], "doc_id long, text string")
+    got = {r.doc_id for r in decontamination.contaminated(df, spark.createDataFrame([(1, ITEM)], "item_id long, text string")).collect()}
+    assert got == {k for k in range(0, 90, 3)} | {501}
