@@ -46,9 +46,9 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' ids in sequences of at most 2048."""
     import public_tokenizers
 
-    from seamline.llm.packing import pack
+    from seamline.llm.packing import added_tokens, pack
 
-    return pack(docs, (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    return pack(docs, (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added_tokens(public_tokenizers.path("byte_bpe_50k.json"))))
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -5,7 +5,8 @@ the ids go to a table in the shared folder with the partition's number. The part
 global offsets by a prefix sum. Pass 2 cuts the one long run of ids into windows of a fixed size; a document that
 crosses a boundary gives one record for each window that it touches.
 
-A tokenizer is (file of ranks, splitting pattern). All windows are full but the last, so padding is less than one window for the whole table.
+A tokenizer is (file of ranks, splitting pattern) or (file of ranks, splitting pattern, added tokens as (string, id) pairs): the
+strings of added tokens become their ids wherever they stand in a text, as in the tokenizers library. All windows are full but the last, so padding is less than one window for the whole table.
 
 Defined results: a null text counts as empty and is the end id alone; repeated rows are packed each on their own; rows
 with a null id are packed too; an empty table gives an empty result; other columns are dropped.
@@ -13,6 +14,7 @@ with a null id are packed too; an empty table gives an empty result; other colum
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -30,42 +32,48 @@ END_ID = 1
 
 
 class TextIds:
-    """Ids of whole texts by a byte-level BPE vocabulary, given as ranks; strings of special tokens are ordinary text.
+    """Ids of whole texts by a byte-level BPE vocabulary, given as ranks; strings of special tokens are ordinary text, unless added.
 
     tiktoken reads the ranks: on this vocabulary its ids are those of the tokenizers library, at about four times the speed.
     Ids are little-endian, 2 bytes each where the vocabulary allows.
     """
 
-    def __init__(self, ranks: str, pattern: str):
+    def __init__(self, ranks: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
         import base64
 
         import tiktoken
 
         with open(ranks, "rb") as f:
             known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        self.encoder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=known, special_tokens={})
-        self.kind = np.dtype("<u2" if max(known.values()) < 1 << 16 else "<u4")
+        self.encoder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=known, special_tokens=dict(added))
+        self.kind = np.dtype("<u2" if max([*known.values(), *dict(added).values()]) < 1 << 16 else "<u4")
 
     @classmethod
-    def of_worker(cls, ranks: str, pattern: str) -> TextIds:
+    def of_worker(cls, *tokenizer) -> TextIds:
         """One for each worker process."""
-        if (ranks, pattern) not in _of_worker:
-            _of_worker[ranks, pattern] = cls(ranks, pattern)
-        return _of_worker[ranks, pattern]
+        if tokenizer not in _of_worker:
+            _of_worker[tokenizer] = cls(*tokenizer)
+        return _of_worker[tokenizer]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids and the end id, as bytes; copies are encoded once."""
         ids: dict[str, bytes] = {}
         for text in texts:
             if text not in ids:
-                ids[text] = np.array([*self.encoder.encode_ordinary(text), END_ID], self.kind).tobytes()
+                ids[text] = np.array([*self.encoder.encode(text, allowed_special="all", disallowed_special=()), END_ID], self.kind).tobytes()
         return [ids[t] for t in texts]
 
 
-_of_worker: dict[tuple[str, str], TextIds] = {}
+_of_worker: dict[tuple, TextIds] = {}
 
 
-def tokenized(docs: DataFrame, tokenizer: tuple[str, str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """The added tokens of a tokenizers JSON file."""
+    with open(path, encoding="utf-8") as f:
+        return tuple((t["content"], t["id"]) for t in json.load(f)["added_tokens"])
+
+
+def tokenized(docs: DataFrame, tokenizer: tuple, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(part, start, n, doc_id, ids) as a written table: start counts the ids before it in its partition."""
     schema = "part int, start long, n long, doc_id long, ids binary"
 
@@ -83,7 +91,7 @@ def tokenized(docs: DataFrame, tokenizer: tuple[str, str], doc_id: str = "doc_id
     return written(docs.select(F.col(doc_id).cast("long"), whole(text)).mapInArrow(run, schema), "ids")
 
 
-def pack(docs: DataFrame, tokenizer: tuple[str, str], window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: tuple, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids): one row for each piece.
 
     ids are little-endian unsigned 32-bit integers; ids_crc32 is theirs.

@@ -330,3 +330,16 @@ def test_decontamination_of_frequent_words(spark):
     df = spark.createDataFrame([*rows, (500, far), (501, far + " " + ITEM)], "doc_id long, text string")
     got = {r.doc_id for r in decontamination.contaminated(df, spark.createDataFrame([(1, ITEM)], "item_id long, text string")).collect()}
     assert got == {k for k in range(0, 90, 3)} | {501}
+
+
+def test_packing_of_added_tokens(spark):
+    """The query's tokenizer gives an added token's id where its string stands, as the tokenizers library does."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    known = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(known)
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext| >", "x<|endoftext|>  y\n"]
+    tokenizer = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, packing.added_tokens(known)
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows} == {k: [*plain.encode(t, add_special_tokens=False).ids, 1] for k, t in enumerate(texts)}
