@@ -16,7 +16,10 @@ Equal strings must meet in one block, without all text in one place:
    over them. Of the windows of a group with 100 common bytes the first in that order stays, the others repeat it.
 4. The cells get the repeated stretches of their documents, unite them and take the covered bytes out.
 
-A very frequent text costs a bucket one segment from each cell, however many copies there are.
+A very frequent text costs a bucket one segment from each cell, however many copies there are. An anchor in many different
+segments (a frequent line between texts of its own) would not: cells tell a bucket how many bytes of distinct segments they
+have for an anchor, and beyond HOT_BYTES in all the anchor is hot. Its windows go one by one, by 128-bit hashes of their 100
+bytes, to the buckets of those; each cell sends a distinct window once, with its first place.
 
 Defined results: a null text counts as empty; rows with null ids come after all others; rows with the same id are ordered
 by their texts, and each row is a document of its own; an empty table gives an empty result; columns not named are dropped.
@@ -28,6 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +41,11 @@ from seamline.llm.shingles import mix
 
 LENGTH = 100
 GRAM = 32
-#: Bytes of segments in one BWT, unless a single anchor has more.
+#: Bytes of segments in one BWT; one anchor has at most HOT_BYTES more.
 BLOCK_BYTES = 1 << 21
+HOT_BYTES = 1 << 20
+#: A window of a hot anchor: its hash, its document's key, the document's number in its cell and its start.
+WINDOW_ROW = np.dtype([("high", "<u8"), ("low", "<u8"), ("key", "<i8"), ("ordinal", "<i4"), ("start", "<i4")])
 PLACE_BITS = 28
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _LAST = np.iinfo(np.int64).max
@@ -190,6 +197,46 @@ class _Cell:
         return anchor[real], first[real], after[real]
 
 
+    def code_sizes(self, code: np.ndarray, first: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct codes and the bytes of the distinct segments of each; of two segments both count."""
+        values, place, count = np.unique(code, return_inverse=True, return_counts=True)
+        size = after - first + LENGTH - 1
+        many = np.flatnonzero(count[place] > 2)
+        seen: set[tuple[int, bytes]] = set()
+        for k, p, a, b in zip(many.tolist(), place[many].tolist(), first[many].tolist(), (after[many] + LENGTH - 1).tolist()):
+            piece = p, self.raw[a:b]
+            if piece in seen:
+                size[k] = 0
+            else:
+                seen.add(piece)
+        return values, np.bincount(place, weights=size, minlength=len(values)).astype(np.int64)
+
+
+def _window_rows(cell: _Cell, first: np.ndarray, after: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """WINDOW_ROWs of the first places of the distinct windows of these runs; (document, start, windows) of the further places."""
+    seen: set[bytes] = set()
+    rows, places, further = [], [], []
+    for a, b, doc in zip(first.tolist(), after.tolist(), own.tolist()):
+        at = int(cell.at[doc])
+        for w in range(a, b):
+            digest = hashlib.blake2b(cell.raw[w : w + LENGTH], digest_size=16).digest()
+            if digest not in seen:
+                seen.add(digest)
+                rows.append(digest)
+                places.append((doc, w - at))
+            elif further and further[-1][0] == doc and further[-1][1] + further[-1][2] == w - at:
+                further[-1] = (doc, further[-1][1], further[-1][2] + 1)
+            else:
+                further.append((doc, w - at, 1))
+    out = np.zeros(len(rows), WINDOW_ROW)
+    if rows:
+        halves = np.frombuffer(b"".join(rows), "<u8").reshape(-1, 2)
+        out["high"], out["low"] = halves.T
+        out["ordinal"], out["start"] = np.array(places).T
+        out["key"] = cell.keys[out["ordinal"]]
+    return out, further
+
+
 def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
     return (anchor % np.uint64(buckets)).astype(np.int64)
 
@@ -198,54 +245,71 @@ def _high(anchor: np.ndarray) -> np.ndarray:
     return (anchor >> np.uint64(32)).astype("<u4")
 
 
-def repeats_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_bytes: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]): one row for each row of docs."""
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("text"))
-    dealt, cells = dealt_to_cells(plain)
+#: The most bytes of a segment: windows that share a place of 32 bytes.
+_MOST = 2 * LENGTH - GRAM
+
+
+def placed_segments(dealt: DataFrame, cells: int, hot_bytes: int) -> DataFrame:
+    """The segments that each bucket expands, and windows of hot anchors that it compares."""
+
+    def _code(anchor: np.ndarray) -> np.ndarray:
+        return _bucket(anchor, cells).astype(np.uint64) << np.uint64(32) | _high(anchor).astype(np.uint64)
 
     def anchors(group: pa.Table) -> pa.Table:
         """What a cell has: for each bucket the distinct anchors, by their high halves."""
         cell = group.column("cell")[0].as_py() if group.num_rows else 0
-        anchor = np.unique(_Cell(group, "doc_id", "text").runs()[0])
-        bucket = _bucket(anchor, cells)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(cells + 1))
-        high = _high(anchor[order])
+        texts = _Cell(group, "doc_id", "text")
+        anchor, first, after = texts.runs()
+        code, size = texts.code_sizes(_code(anchor), first, after)
+        edges = np.searchsorted(code, np.arange(cells + 1, dtype=np.uint64) << np.uint64(32))
+        high = (code & np.uint64(0xFFFFFFFF)).astype("<u4")
+        heavy = size > _MOST
         filled = np.flatnonzero(np.diff(edges)).tolist()
         return pa.table({
             "bucket": pa.array(filled, pa.int32()),
             "cell": pa.array([cell] * len(filled), pa.int32()),
-            "held": pa.array([np.unique(high[edges[b] : edges[b + 1]]).tobytes() for b in filled], pa.binary()),
+            "held": pa.array([high[edges[b] : edges[b + 1]].tobytes() for b in filled], pa.binary()),
+            "heavy": pa.array([np.stack([high, np.minimum(size, 1 << 31).astype("<u4")], 1)[edges[b] : edges[b + 1]][heavy[edges[b] : edges[b + 1]]].tobytes() for b in filled], pa.binary()),
         })
 
     def shared(group: pa.Table) -> pa.Table:
-        """What a bucket answers each cell: those of its anchors that another cell has too."""
+        """What a bucket answers each cell: those of its anchors that another cell has too, and the hot ones."""
         held = [np.frombuffer(x, "<u4") for x in group.column("held").to_pylist()]
         ordered = np.sort(np.concatenate(held))
         twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
         answers = [h[np.isin(h, twice, assume_unique=True)].tobytes() for h in held]
-        return pa.table({"cell": group.column("cell"), "bucket": group.column("bucket"), "shared": pa.array(answers, pa.binary())}).filter(pa.array([len(a) > 0 for a in answers]))
+        values, count = np.unique(ordered, return_counts=True)
+        total = count * _MOST
+        heavy = np.concatenate([np.frombuffer(x, "<u4") for x in group.column("heavy").to_pylist()]).reshape(-1, 2)
+        np.add.at(total, np.searchsorted(values, heavy[:, 0]), heavy[:, 1].astype(np.int64) - _MOST)
+        many = values[total > hot_bytes]
+        hot = [h[np.isin(h, many, assume_unique=True)].tobytes() for h in held]
+        return pa.table({"cell": group.column("cell"), "bucket": group.column("bucket"), "shared": pa.array(answers, pa.binary()), "hot": pa.array(hot, pa.binary())}).filter(pa.array([len(a) + len(b) > 0 for a, b in zip(answers, hot)]))
 
-    held = dealt.groupBy("cell").applyInArrow(anchors, "bucket int, cell int, held binary")
-    answers = held.groupBy("bucket").applyInArrow(shared, "cell int, bucket int, shared binary")
+    held = dealt.groupBy("cell").applyInArrow(anchors, "bucket int, cell int, held binary, heavy binary")
+    answers = held.groupBy("bucket").applyInArrow(shared, "cell int, bucket int, shared binary, hot binary")
 
     place = "target int, anchor long, cell int, ordinal int, key long, start int, windows int, segment binary"
     place_schema = pa.schema([("target", pa.int32()), ("anchor", pa.int64()), ("cell", pa.int32()), ("ordinal", pa.int32()), ("key", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("segment", pa.binary())])
 
     def segments(group: pa.Table, answer: pa.Table) -> pa.Table:
-        """A cell's distinct segments with repeated anchors, each at its first place; and, without a segment, its further places."""
+        """A cell's distinct segments with repeated anchors, each at its first place; and, without a segment, its further places.
+
+        Windows of hot anchors: rows with ordinal -1 that hold a bucket's WINDOW_ROWs.
+        """
         if not group.num_rows:
             return place_schema.empty_table()
         number = group.column("cell")[0].as_py()
         cell = _Cell(group, "doc_id", "text")
         anchor, first, after = cell.runs()
-        code = _bucket(anchor, cells).astype(np.uint64) << np.uint64(32) | _high(anchor).astype(np.uint64)
-        known = [np.uint64(b) << np.uint64(32) | np.frombuffer(s, "<u4").astype(np.uint64) for b, s in zip(answer.column("bucket").to_pylist(), answer.column("shared").to_pylist())]
+        code = _code(anchor)
+        known, hot = ([np.uint64(b) << np.uint64(32) | np.frombuffer(s, "<u4").astype(np.uint64) for b, s in zip(answer.column("bucket").to_pylist(), answer.column(c).to_pylist())] for c in ("shared", "hot"))
         values, place, count = np.unique(code, return_inverse=True, return_counts=True)
         wanted = count > 1
         if known:
             wanted |= np.isin(values, np.concatenate(known))
-        chosen = np.flatnonzero(wanted[place])
+        heated = np.isin(values, np.concatenate(hot)) if hot else np.zeros(len(values), bool)
+        chosen, alone = np.flatnonzero((wanted & ~heated)[place]), np.flatnonzero(heated[place])
         own = np.searchsorted(cell.at, first[chosen], side="right") - 1
         seen: set[bytes] = set()
         pieces, fresh = [], []
@@ -257,7 +321,14 @@ def repeats_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 seen.add(piece)
             fresh.append(new)
             pieces.append(piece if new else None)
-        return pa.table(
+        windows, further = _window_rows(cell, first[alone], after[alone], np.searchsorted(cell.at, first[alone], side="right") - 1)
+        target = (windows["high"] % np.uint64(cells)).astype(np.int32)
+        order = np.argsort(target, kind="stable")
+        targets, at = np.unique(target[order], return_index=True)
+        packed = [(t, 0, number, -1, 0, 0, len(w), w.tobytes()) for t, w in zip(targets.tolist(), np.split(windows[order], at[1:]))]
+        packed += [(number, 0, number, doc, int(cell.keys[doc]), start, n, None) for doc, start, n in further]
+        extra = pa.table([pa.array(c, f.type) for c, f in zip(zip(*packed), place_schema)], schema=place_schema) if packed else place_schema.empty_table()
+        plain = pa.table(
             [
                 pa.array(np.where(fresh, _bucket(anchor[chosen], cells), number), pa.int32()),
                 pa.array(anchor[chosen].view(np.int64)),
@@ -270,21 +341,37 @@ def repeats_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             ],
             schema=place_schema,
         )
+        return pa.concat_tables([plain, extra])
+
+    return dealt.groupBy("cell").cogroup(answers.groupBy("cell")).applyInArrow(segments, place)
 
+
+def repeats_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_bytes: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]): one row for each row of docs."""
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("text"))
+    dealt, cells = dealt_to_cells(plain)
+    placed = placed_segments(dealt, cells, HOT_BYTES)
     stretch = "cell int, ordinal int, start int, windows int"
 
     def expanded(group: pa.Table) -> pa.Table:
         """The stretches of windows that repeat an earlier one, from a bucket's segments; places without a segment go on."""
-        group = group.sort_by([("anchor", "ascending"), ("key", "ascending"), ("ordinal", "ascending"), ("start", "ascending")])
+        packed = [(c, np.frombuffer(x, WINDOW_ROW)) for c, o, x in zip(*(group.column(n).to_pylist() for n in ("cell", "ordinal", "segment"))) if o < 0]
+        group = group.filter(pc.greater_equal(group.column("ordinal"), 0)).sort_by([("anchor", "ascending"), ("key", "ascending"), ("ordinal", "ascending"), ("start", "ascending")])
         cell, ordinal, start, windows = (group.column(c).to_numpy() for c in ("cell", "ordinal", "start", "windows"))
         key, anchor, texts = group.column("key").to_numpy(), group.column("anchor").to_numpy(), group.column("segment").to_pylist()
-        again = np.array([t is None for t in texts])
+        again = np.array([t is None for t in texts], bool)
         firsts: dict[bytes, int] = {}
         for k, t in enumerate(texts):
             if t is not None and firsts.setdefault(t, k) != k:
                 again[k] = True  # another cell's copy of a segment whose first place is earlier
         kept = np.flatnonzero(~again)
         found = [(cell[again], ordinal[again], start[again], windows[again])]
+        if packed:
+            own, rows = np.repeat([c for c, _ in packed], [len(w) for _, w in packed]), np.concatenate([w for _, w in packed])
+            order = np.lexsort((rows["start"], rows["ordinal"], rows["key"], rows["low"], rows["high"]))
+            own, rows = own[order], rows[order]
+            later = np.flatnonzero((rows["high"][1:] == rows["high"][:-1]) & (rows["low"][1:] == rows["low"][:-1])) + 1
+            found.append((own[later], rows["ordinal"][later], rows["start"][later], np.ones(len(later), np.int32)))
         sizes = np.array([len(texts[k]) + 1 for k in kept], np.int64)
         low = 0
         while low < len(kept):
@@ -308,7 +395,6 @@ def repeats_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         columns = [np.concatenate(x) for x in zip(*found)]
         return pa.table([pa.array(c, pa.int32()) for c in columns], names=["cell", "ordinal", "start", "windows"])
 
-    placed = dealt.groupBy("cell").cogroup(answers.groupBy("cell")).applyInArrow(segments, place)
     stretches = placed.groupBy("target").applyInArrow(expanded, stretch)
 
     def removed(group: pa.Table, repeats: pa.Table) -> pa.Table:

@@ -343,3 +343,22 @@ def test_packing_of_added_tokens(spark):
     tokenizer = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, packing.added_tokens(known)
     rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer).collect()
     assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows} == {k: [*plain.encode(t, add_special_tokens=False).ids, 1] for k, t in enumerate(texts)}
+
+
+def test_suffix_dedup_of_a_hot_line(spark, monkeypatch):
+    """A line in a third of all rows, with texts of their own around it: no anchor sends a bucket more than HOT_BYTES."""
+    monkeypatch.setattr(cells, "SMALL_CELL_BYTES", 1 << 13)
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", 1 << 12)
+    rng = random.Random(14)
+    own = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, tails = "all rights reserved by the owners of this page, 2019 to 2024, see there.", [own(60) for _ in range(9)]
+    rows = [(k, own(150) + (line + rng.choice(tails) if k % 3 == 0 else "") + own(120)) for k in range(240)]
+    rows += [(300 + k, rows[3 * k][1][20:]) for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: hashlib.sha256(bytes(b for b, m in zip(raw(t), mask) if not m)).hexdigest() for (i, t), mask in zip(rows, covered([raw(t) for _, t in rows]))}
+    assert {r.doc_id: r.kept_sha256 for r in suffix_dedup.repeats_removed(df).collect()} == want
+    dealt, n = cells.dealt_to_cells(df)
+    placed = suffix_dedup.placed_segments(dealt, n, 1 << 12).filter("ordinal >= 0").groupBy("anchor").agg(F.sum(F.length("segment")).alias("n"))
+    assert placed.agg(F.max("n")).first()[0] <= 1 << 12
+    placed = suffix_dedup.placed_segments(dealt, n, 1 << 30).groupBy("anchor").agg(F.sum(F.length("segment")).alias("n"))
+    assert placed.agg(F.max("n")).first()[0] > 1 << 12
