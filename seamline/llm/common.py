@@ -50,5 +50,5 @@ def whole(text: str = "text") -> Column:
 
 
 def fold_of(doc_id: str, mod: int) -> Column:
-    """crc32 of the id's decimal text, modulo mod."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod
+    """crc32 of the id's decimal text, modulo mod; a null id reads as an empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % mod

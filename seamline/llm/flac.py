@@ -2,12 +2,12 @@
 
 Streams are mono with a fixed block size. The encoder picks for each frame a constant, a verbatim or a fixed linear
 predictor subframe with partitioned Rice residuals. The decoder finds frames by their sync code, header checksum and
-running number, verifies both checksums of each frame, and decodes Rice residuals (4 and 5 bit parameters, escapes) with
+running number (where samples look like such a header, by the frames' checksums), verifies both checksums, and decodes Rice residuals (4 and 5 bit parameters, escapes) with
 fixed and quantised linear predictors. All frames of a batch are decoded side by side: numpy steps over the samples of
 a block, not over frames, and a task holds a bounded number of frames.
 
 Defined results: a null text or payload counts as empty; payloads are padded with 255 to a positive multiple of the block
-size; a stream that can't be read, or with a wrong checksum, gives ok = false and no PCM; repeated rows give equal
+size; very long texts make streams of many frames, decoded FRAMES_AT_ONCE at a time; a stream that can't be read, or with a wrong checksum, gives ok = false and no PCM; repeated rows give equal
 values; an empty table gives an empty result; columns not named are dropped.
 """
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -387,51 +387,105 @@ def _decode_frames(data: np.ndarray, pos: np.ndarray, size: int, bits: int) -> t
     return out.T, good
 
 
+def _frames_in_turn(stream: bytes, first: int, block: int) -> tuple[list[int], list[tuple[int, int]]]:
+    """(places, heads) of frames: each begins at the first header with the next running number."""
+    starts, heads, at = [], [], first
+    while at >= 0:
+        head = _frame_at(stream, at, len(starts), block)
+        if head:
+            starts.append(at)
+            heads.append(head)
+        at = stream.find(b"\xff\xf8", at + 1)
+    return starts, heads
+
+
+def _number_at(data: bytes, at: int) -> int | None:
+    """The running number that is coded here as in UTF-8, if it is one."""
+    lead = data[at] if at < len(data) else 0xFF
+    more = next((k for k in range(7) if not lead & 0x80 >> k), 7)
+    if more in (1, 7):
+        return None
+    number = lead & 0x7F >> more
+    for byte in data[at + 1 : at + max(more, 1)]:
+        number = number << 6 | byte & 0x3F
+    return number
+
+
+def _frames_by_checksum(stream: bytes, first: int, block: int) -> tuple[list[int], list[tuple[int, int]]]:
+    """The same where samples look like a header: a frame ends where its checksum holds, and a wrong end is taken back."""
+    marks: dict[int, list[tuple[int, tuple[int, int]]]] = {}
+    at = stream.find(b"\xff\xf8", first)
+    while at >= 0:
+        number = _number_at(stream, at + 4)
+        head = None if number is None else _frame_at(stream, at, number, block)
+        if head:
+            marks.setdefault(number, []).append((at, head))
+        at = stream.find(b"\xff\xf8", at + 1)
+
+    def ends(number: int, begin: int) -> Iterator[tuple[int, tuple[int, int] | None]]:
+        for end, head in [*[m for m in marks.get(number + 1, ()) if m[0] > begin], (len(stream), None)]:
+            frame = np.frombuffer(stream, np.uint8, end - begin, begin)
+            if _crc16_rows(frame, np.zeros(1, np.int64), np.array([end - begin]))[0] == 0:
+                yield end, head
+
+    path = [m for m in marks.get(0, ()) if m[0] == first]
+    open_ends = [ends(0, first)] if path else []
+    while open_ends:
+        end, head = next(open_ends[-1], (-1, None))
+        if end == len(stream):
+            return [p for p, _ in path], [h for _, h in path]
+        if end < 0:
+            open_ends.pop()
+            path.pop()
+        else:
+            path.append((end, head))
+            open_ends.append(ends(len(path) - 1, end))
+    return [], []
+
+
 def decode(streams: list[bytes]) -> list[Decoded]:
     """Every stream's samples and frame places; frames of all streams are decoded side by side."""
-    found: list[tuple | None] = []
-    jobs: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
-    for s, stream in enumerate(streams):
-        meta = _metadata(stream)
-        if meta is None:
-            found.append(None)
-            continue
-        first, md5, points, bits, block = meta
-        starts, heads, at = [], [], first
-        while True:
-            head = _frame_at(stream, at, len(starts), block)
-            if head:
-                starts.append(at)
-                heads.append(head)
-            at = stream.find(b"\xff\xf8", at + 1)
-            if at < 0:
-                break
-        edges = [*starts, len(stream)]
-        for k, (n, size) in enumerate(heads):
-            jobs.setdefault((size, bits), []).append((s, k, edges[k], edges[k + 1], n))
-        found.append((first, md5, points, bits, edges, [None] * len(heads), bool(heads) and edges[0] == first))
-    for (size, bits), frames in jobs.items():
-        for low in range(0, len(frames), FRAMES_AT_ONCE):
-            part = frames[low : low + FRAMES_AT_ONCE]
-            length = np.array([b - a for _, _, a, b, _ in part], np.int64)
-            begin = np.cumsum(length) - length
-            data = np.frombuffer(b"".join([streams[s][a:b] for s, _, a, b, _ in part]), np.uint8)
-            right = _crc16_rows(data, begin, length) == 0  # over a frame with its checksum
-            got, good = _decode_frames(data, 8 * (begin + np.array([n for *_, n in part])), size, bits)
-            got = got.astype(np.int8 if bits == 8 else "<i2")
-            for row, (s, k, *_), fine in zip(got, part, right & good):
-                found[s][5][k] = row if fine else None
+    meta = [_metadata(stream) for stream in streams]
+    edges: list[list[int]] = [[] for _ in streams]
+    rows: list[list[np.ndarray | None]] = [[] for _ in streams]
+
+    def read(chosen: list[int], frames_of: Callable[[bytes, int, int], tuple[list[int], list[tuple[int, int]]]]) -> None:
+        jobs: dict[tuple[int, int], list[tuple[int, int, int, int, int]]] = {}
+        for s in chosen:
+            first, _, _, bits, block = meta[s]
+            starts, heads = frames_of(streams[s], first, block)
+            edges[s], rows[s] = [*starts, len(streams[s])], [None] * len(heads)
+            for k, (n, size) in enumerate(heads):
+                jobs.setdefault((size, bits), []).append((s, k, edges[s][k], edges[s][k + 1], n))
+        for (size, bits), frames in jobs.items():
+            for low in range(0, len(frames), FRAMES_AT_ONCE):
+                part = frames[low : low + FRAMES_AT_ONCE]
+                length = np.array([b - a for _, _, a, b, _ in part], np.int64)
+                begin = np.cumsum(length) - length
+                data = np.frombuffer(b"".join([streams[s][a:b] for s, _, a, b, _ in part]), np.uint8)
+                right = _crc16_rows(data, begin, length) == 0  # over a frame with its checksum
+                got, good = _decode_frames(data, 8 * (begin + np.array([n for *_, n in part])), size, bits)
+                got = got.astype(np.int8 if bits == 8 else "<i2")
+                for row, (s, k, *_), fine in zip(got, part, right & good):
+                    rows[s][k] = row if fine else None
+
+    def whole_stream(s: int) -> bool:
+        return bool(rows[s]) and edges[s][0] == meta[s][0] and all(r is not None for r in rows[s])
+
+    known = [s for s, m in enumerate(meta) if m is not None]
+    read(known, _frames_in_turn)
+    read([s for s in known if not whole_stream(s)], _frames_by_checksum)
     out = []
-    for item in found:
+    for s, m in enumerate(meta):
         none = np.zeros(0, np.int8)
-        if item is None:
+        if m is None:
             out.append(Decoded(False, none, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64)))
             continue
-        first, md5, points, bits, edges, rows, ok = item
-        ok = ok and all(r is not None for r in rows)
-        samples = np.concatenate(rows) if ok else none
+        first, md5, points, *_ = m
+        ok = whole_stream(s)
+        samples = np.concatenate(rows[s]) if ok else none
         ok = ok and (md5 == bytes(16) or hashlib.md5(samples.tobytes()).digest() == md5)
-        out.append(Decoded(ok, samples if ok else none, np.array(edges[:-1], np.int64) - first, np.array([0 if r is None else len(r) for r in rows], np.int64), points))
+        out.append(Decoded(ok, samples if ok else none, np.array(edges[s][:-1], np.int64) - first, np.array([0 if r is None else len(r) for r in rows[s]], np.int64), points))
     return out
 
 

@@ -1,24 +1,31 @@
 """LM scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-P(token | history) = P(class | features) * P(token | class, features). Features are hashed: the word before, the two before,
-and skips to the second and third word before. The most frequent training tokens (the head, a bounded number) share
-classes by rank, and a second softmax picks the token within its class. All other tokens are classed by their ending;
-within such a class a token has its smoothed share of the class's training tokens.
-
-1. Exact counts: map tasks count their words, buckets add them up; the driver reads the head and one total for each class.
-2. Training covers all training texts once, in rounds: every task makes its own AdaGrad updates from the shared weights on
-   its part of the texts, and the changes, weighted by tokens, are averaged in blocks.
+P(token | history) = P(class | features) * P(place | class, word before) * P(token | place). Features are hashed: the word
+before, the two before, and skips to the second and third word before. The most frequent training tokens (the head) share
+classes by rank and have a place each. All other tokens are classed by their ending and share a class's places by hash;
+within a place a token has its smoothed share of the place's training tokens. The hashed rows follow the square root of
+the number of training tokens, up to 2^MOST_ROW_BITS, so that weights can be sent to every task.
+
+1. Exact counts: map tasks count their words, buckets add them up; the driver reads the head and one total for each place.
+2. Training covers all training texts. Tasks add up, for every weight, how often its feature and outcome were observed
+   and how often the model expects them; the sums over all tasks make one gradient update. Its step for a weight is
+   1 / (4 features * the logarithmic mean of both), so the change is log(observed / expected) / 4: iterative scaling.
+   The first update, from zero weights, needs counts only; further ones take a part of the texts each, dealt by a hash of
+   the id. Nothing depends on how the table is partitioned. Weights of a place within its class have one feature, for
+   which the first update is the exact optimum.
 3. Scoring: cells of documents ask buckets for the counts of their words, so counts of rare words are never broadcast.
 
 Tokens are words as of the shingles module, and one end for each text. The base score is that of a smoothed unigram model.
 
-Defined results: a null text counts as empty and is one end token; rows with a null id are training rows (their id reads as
-an empty text); repeated rows get equal scores and count each time in training; with no training text all counts are 0
-and both scores are those of the smoothed model; an empty table gives an empty result; other columns are dropped.
+Defined results: a null text counts as empty and is one end token; very long texts are scored whole; rows with a null id
+are training rows (their id reads as an empty text); repeated rows get equal scores and count each time in training; with
+no training text all counts are 0 and both scores are those of the smoothed model; an empty table gives an empty result;
+other columns are dropped.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,15 +37,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamline.llm.cells import dealt_to_cells
-from seamline.llm.common import whole
+from seamline.llm.common import fold_of, whole
 from seamline.llm.shingles import byte_slices, join_texts, mix, words_of
 
-HEAD_CLASSES, CLASS_SIZE, TAIL_CLASSES = 32, 32, 32
+HEAD_CLASSES, CLASS_SIZE, TAIL_CLASSES = 16, 64, 16
 CLASSES = HEAD_CLASSES + TAIL_CLASSES
 HEAD = HEAD_CLASSES * CLASS_SIZE
-ROW_BITS, WORD_ROW_BITS = 14, 13
-#: Tokens of a gradient step, and tokens whose probabilities are worked out at once.
-ROUNDS, RATE, STEP, BATCH = 2, 0.25, 32768, 4096
+#: Bits of a hashed row of class weights, and what rows of place weights have fewer.
+LEAST_ROW_BITS, MOST_ROW_BITS, WORD_BITS_LESS = 14, 16, 1
+#: Updates after the first one, each over its part of the texts; what an observed or expected count is smoothed with.
+ROUNDS, SMOOTHING, PLACE_SMOOTHING, FEATURES = 2, 32.0, 128.0, 4
+#: Tokens whose probabilities are worked out at once.
+BATCH = 4096
+#: Text of a training task, on average: its sums of some tens of MB are sent once for all of it.
+TASK_BYTES = 64 << 20
 END = np.uint64(0x9D5C0FB1A37E2468)
 #: Weight rows in one block of what tasks send back.
 BLOCK_ROWS = 1 << 10
@@ -77,24 +89,29 @@ class Model:
     head: np.ndarray  # sorted tokens
     rank: np.ndarray  # of each, by count
     class_bias: np.ndarray
-    word_bias: np.ndarray  # (head classes, class size)
-    tail_mass: np.ndarray
+    word_bias: np.ndarray  # (classes, class size)
+    tail_mass: np.ndarray  # (tail classes, class size)
     tail_words: np.ndarray
     weights: np.ndarray  # (rows, classes)
     word_weights: np.ndarray  # (rows, class size)
 
     def targets(self, token: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(class, place in the class or -1 for tail tokens)."""
+        """(class, place in the class) of each token."""
+        tail, place = HEAD_CLASSES + kind.astype(np.int64), place_of(token)
         if not len(self.head):
-            return HEAD_CLASSES + kind.astype(np.int64), np.full(len(token), -1)
+            return tail, place
         at = np.minimum(np.searchsorted(self.head, token), len(self.head) - 1)
-        known = self.head[at] == token
-        rank = self.rank[at]
-        return np.where(known, rank // CLASS_SIZE, HEAD_CLASSES + kind.astype(np.int64)), np.where(known, rank % CLASS_SIZE, -1)
+        known, rank = self.head[at] == token, self.rank[at]
+        return np.where(known, rank // CLASS_SIZE, tail), np.where(known, rank % CLASS_SIZE, place)
 
 
-def features(token: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(tokens, 4): hashed rows of the word before, both before, and the skips; nothing reaches over a text's start."""
+def place_of(token: np.ndarray) -> np.ndarray:
+    """The place of a token that is not in the head."""
+    return (mix(token ^ np.uint64(0x3C79AC492BA7B653)) % np.uint64(CLASS_SIZE)).astype(np.int64)
+
+
+def features(token: np.ndarray, starts: np.ndarray, bits: int) -> np.ndarray:
+    """(tokens, 4): rows, hashed to so many bits, of the word before, both before, and the skips; nothing reaches over a text's start."""
     place = np.arange(len(token)) - np.repeat(starts[:-1], np.diff(starts))
     before = []
     for k in (1, 2, 3):
@@ -104,14 +121,15 @@ def features(token: np.ndarray, starts: np.ndarray) -> np.ndarray:
         before.append(shifted)
     one, two, three = before
     raw = np.stack([one ^ _FEATURES[0], mix(one + _FEATURES[1]) ^ two, two ^ _FEATURES[2], three ^ _FEATURES[3]], axis=1)
-    return (mix(raw) >> np.uint64(64 - ROW_BITS)).astype(np.int64)
+    return (mix(raw) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def word_rows(token: np.ndarray, starts: np.ndarray, classes: np.ndarray) -> np.ndarray:
+def word_rows(token: np.ndarray, starts: np.ndarray, classes: np.ndarray, bits: int) -> np.ndarray:
+    """The row of the word before in the token's class."""
     before = np.zeros(len(token), np.uint64)
     before[1:] = token[:-1]
     before[starts[:-1][starts[:-1] < len(token)]] = 0
-    return (mix(before ^ mix(classes.astype(np.uint64) + np.uint64(70))) >> np.uint64(64 - WORD_ROW_BITS)).astype(np.int64)
+    return (mix(before ^ mix(classes.astype(np.uint64) + np.uint64(70))) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _log_softmax(logits: np.ndarray) -> np.ndarray:
@@ -127,23 +145,8 @@ def _summed(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-class _Rows:
-    """AdaGrad on a table of hashed rows, all rows of it at a time."""
-
-    def __init__(self, table: np.ndarray):
-        self.table, self.seen = table.copy(), np.full(table.shape, 1e-2, np.float32)
-
-    def update(self, rows: np.ndarray, gradient: np.ndarray) -> None:
-        """rows: (n, k) rows that share the n gradients."""
-        flat = rows.T.ravel()
-        total = np.empty(self.table.shape, np.float32)
-        columns = np.ascontiguousarray(gradient.T, np.float64)
-        for c, column in enumerate(columns):
-            total[:, c] = np.bincount(flat, np.tile(column, rows.shape[1]), len(total))
-        self.seen += total * total
-        total *= RATE
-        total /= np.sqrt(self.seen)
-        self.table -= total
+def _bits(table: np.ndarray) -> int:
+    return len(table).bit_length() - 1
 
 
 def _word_counts(docs: DataFrame, buckets: int) -> DataFrame:
@@ -186,135 +189,162 @@ def _unpack(group: pa.Table, name: str, kind: str) -> np.ndarray:
 
 def _counts_model(docs: DataFrame, buckets: int) -> Model:
     """Counts over all training texts; weights are still zero."""
-    schema = "token long, kind int, c long, v long, top boolean"
+    schema = "token long, kind int, place int, c long, v long, top boolean"
 
     def add_up(group: pa.Table) -> pa.Table:
         """A bucket's most frequent tokens, and its tokens and words for each ending class."""
         token, kind, count = _counted(_unpack(group, "tokens", "<u8"), _unpack(group, "kinds", "u1"), _unpack(group, "counts", "<i8"))
         top = np.lexsort((token, -count))[:HEAD]
-        mass, words = (np.bincount(kind, weights=w, minlength=TAIL_CLASSES).astype(np.int64) for w in (count, np.ones(len(count))))
-        k = np.arange(TAIL_CLASSES)
+        cell = kind.astype(np.int64) * CLASS_SIZE + place_of(token)
+        filled = np.unique(cell)
+        mass, words = (np.bincount(cell, weights=w, minlength=TAIL_CLASSES * CLASS_SIZE).astype(np.int64)[filled] for w in (count, np.ones(len(count))))
         return pa.table({
-            "token": pa.array(np.concatenate([token[top].view(np.int64), np.zeros(TAIL_CLASSES, np.int64)])),
-            "kind": pa.array(np.concatenate([kind[top].astype(np.int32), k.astype(np.int32)])),
+            "token": pa.array(np.concatenate([token[top].view(np.int64), np.zeros(len(filled), np.int64)])),
+            "kind": pa.array(np.concatenate([kind[top], filled // CLASS_SIZE]).astype(np.int32)),
+            "place": pa.array(np.concatenate([place_of(token[top]), filled % CLASS_SIZE]).astype(np.int32)),
             "c": pa.array(np.concatenate([count[top], mass])),
             "v": pa.array(np.concatenate([np.ones(len(top), np.int64), words])),
-            "top": pa.array(np.arange(len(top) + TAIL_CLASSES) < len(top)),
+            "top": pa.array(np.arange(len(top) + len(filled)) < len(top)),
         })
 
     found = _word_counts(docs, buckets).groupBy("bucket").applyInArrow(add_up, schema).persist(StorageLevel.DISK_ONLY)
     try:
-        totals = {r.kind: (r.c, r.v) for r in found.filter("not top").groupBy("kind").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect()}
+        totals = found.filter("not top").groupBy("kind", "place").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect()
         top = found.filter("top").orderBy(F.desc("c"), "token").limit(HEAD).collect()
     finally:
         found.unpersist()
-    mass, words = (np.array([totals.get(k, (0, 0))[j] for k in range(TAIL_CLASSES)], np.int64) for j in (0, 1))
+    mass, words = np.zeros((2, TAIL_CLASSES, CLASS_SIZE), np.int64)
+    for r in totals:
+        mass[r.kind, r.place], words[r.kind, r.place] = r.c, r.v
     n, v = int(mass.sum()), int(words.sum())
-    tokens = np.array([r.token for r in top], np.int64).view(np.uint64)
-    counts = np.array([r.c for r in top], np.float64)
     for r in top:
-        mass[r.kind] -= r.c
-        words[r.kind] -= 1
-    head_counts = np.zeros(HEAD)
-    head_counts[: len(counts)] = counts
-    by_class = head_counts.reshape(HEAD_CLASSES, CLASS_SIZE)
-    held = np.concatenate([by_class.sum(1), mass + 0.5 * (words + 1)])
-    present = np.concatenate([(by_class > 0).any(1), np.ones(TAIL_CLASSES, bool)])
-    class_bias = np.where(present, np.log(np.maximum(held, 0.5)), -1e30).astype(np.float32)
-    word_bias = np.where(by_class > 0, np.log(np.maximum(by_class, 1)), -1e30).astype(np.float32)
+        mass[r.kind, r.place] -= r.c
+        words[r.kind, r.place] -= 1
+    return untrained(n, v, np.array([r.token for r in top], np.int64).view(np.uint64), np.array([r.c for r in top], np.float64), mass, words)
+
+
+def untrained(n: int, v: int, tokens: np.ndarray, counts: np.ndarray, mass: np.ndarray, words: np.ndarray) -> Model:
+    """The model of the head's tokens and counts, by rank, and of the totals of the other places; weights are zero."""
+    head = np.zeros((HEAD_CLASSES, CLASS_SIZE))
+    head.ravel()[: len(counts)] = counts
+    held = np.concatenate([head, mass + 0.5 * (words + 1)])
+    with np.errstate(divide="ignore"):
+        class_bias, word_bias = (np.where(x > 0, np.log(x), -1e30).astype(np.float32) for x in (held.sum(1), held))
     order = np.argsort(tokens)
-    zeros = np.zeros((1 << ROW_BITS, CLASSES), np.float32), np.zeros((1 << WORD_ROW_BITS, CLASS_SIZE), np.float32)
+    bits = min(max(round(np.log2(n + 1) / 2 + 3), LEAST_ROW_BITS), MOST_ROW_BITS)
+    zeros = np.zeros((1 << bits, CLASSES), np.float32), np.zeros((1 << bits - WORD_BITS_LESS, CLASS_SIZE), np.float32)
     return Model(n, v, tokens[order], np.arange(len(tokens))[order], class_bias, word_bias, mass, words, *zeros)
 
 
-def _train_round(docs: DataFrame, model: Model, turn: int) -> None:
-    """One round of updates on the training texts whose turn it is; the model's weights change."""
+def sums_of(model: Model, texts: list[bytes], first: bool, sums: dict[str, np.ndarray]) -> None:
+    """Adds what the texts show and, after the first update, what the model expects of them, to the sums of each weight."""
+    token, kind, starts = tokens_of(texts)
+    target, place = model.targets(token, kind)
+    rows, width = features(token, starts, _bits(model.weights)), model.weights.shape
+    seen = np.bincount((rows * CLASSES + target[:, None]).ravel(), minlength=model.weights.size)
+    sums["seen"] += seen.reshape(width)
+    if first:
+        row = word_rows(token, starts, target, _bits(model.word_weights))
+        for name, at, size in (("places", place, CLASS_SIZE), ("classes", target, CLASSES)):
+            sums[name] += np.bincount(row * size + at, minlength=sums[name].size).reshape(sums[name].shape)
+        return
+    for a in range(0, len(token), 32 * BATCH):
+        f = rows[a : a + 32 * BATCH]
+        p = np.empty((CLASSES, len(f)))
+        for b in range(0, len(f), BATCH):
+            p[:, b : b + BATCH] = np.exp(_log_softmax(_summed(model.weights, f[b : b + BATCH]) + model.class_bias)).T
+        flat = f.T.ravel()
+        for c, column in enumerate(p):
+            sums["expected"][:, c] += np.bincount(flat, np.tile(column, FEATURES), len(model.weights))
+
+
+def update(model: Model, sums: dict[str, np.ndarray], first: bool) -> None:
+    """One update of all weights by the sums over the texts."""
+    share = np.exp(model.class_bias.astype(np.float64) - np.logaddexp.reduce(model.class_bias.astype(np.float64)))
+    expected = sums["seen"].sum(1, keepdims=True) * share if first else sums["expected"]
+    model.weights += (np.log((sums["seen"] + SMOOTHING * share + 1e-9) / (expected + SMOOTHING * share + 1e-9)) / FEATURES).astype(np.float32)
+    if first:  # a row belongs to one class, but for hashes that meet
+        prior = np.exp(_log_softmax(model.word_bias.astype(np.float64)))
+        expected, n = sums["classes"] @ prior, sums["classes"].sum(1, keepdims=True)
+        prior = (expected + 1e-9) / (n + CLASS_SIZE * 1e-9)
+        model.word_weights += np.log((sums["places"] + PLACE_SMOOTHING * prior) / (expected + PLACE_SMOOTHING * prior)).astype(np.float32)
+
+
+def _train_round(docs: DataFrame, model: Model, turn: int, tasks: int) -> None:
+    """An update by the training texts whose turn it is; turn 0 is the first update, by all of them."""
+    first = turn == 0
+    mine = fold_of("doc_id", 5) != 1
+    if not first:
+        code = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+        mine &= F.floor(code / 5) % ROUNDS == turn - 1
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kinds = {"seen": "<u4", "places": "<u4", "classes": "<u4"} if first else {"seen": "<u4", "expected": "<f4"}
+    shapes = {k: {"places": model.word_weights.shape, "classes": (len(model.word_weights), CLASSES)}.get(k, model.weights.shape) for k in kinds}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = shared.value
-        classes, words, n = _Rows(start.weights), _Rows(start.word_weights), 0
+        sums = {k: np.zeros(shape, np.float64 if k == "expected" else np.int64) for k, shape in shapes.items()}
+        some = False
         for batch in batches:
-            ids, raw = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
+            raw = batch.column(0).cast(pa.binary())
             for low, high in byte_slices(raw, 1 << 20):
-                own = [t for i, t in zip(ids[low:high], raw.slice(low, high - low).to_pylist()) if not held_out(i) and zlib.crc32(str(i).encode()) // 5 % ROUNDS == turn]
-                if not own:
-                    continue
-                token, kind, starts = tokens_of(own)
-                target, place = start.targets(token, kind)
-                rows, row2 = features(token, starts), word_rows(token, starts, target)
-                n += len(token)
-                for a in range(0, len(token), STEP):
-                    part = slice(a, a + STEP)
-                    f, y = rows[part], target[part]
-                    p = np.empty((len(y), CLASSES), np.float32)
-                    for b in range(0, len(y), BATCH):
-                        p[b : b + BATCH] = np.exp(_log_softmax(_summed(classes.table, f[b : b + BATCH]) + start.class_bias))
-                    p[np.arange(len(y)), y] -= 1
-                    classes.update(f, p)
-                    inner = np.flatnonzero(place[part] >= 0)
-                    if len(inner):
-                        r, j = row2[part][inner], place[part][inner]
-                        q = np.exp(_log_softmax(words.table[r] + start.word_bias[y[inner]]))
-                        q[np.arange(len(j)), j] -= 1
-                        words.update(r[:, None], q)
-        for name, rows in (("c", classes.table - start.weights), ("w", words.table - start.word_weights)):
-            for b in range(0, len(rows), BLOCK_ROWS):
-                if n:
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b], pa.int32()), pa.array([n], pa.int64()), pa.array([rows[b : b + BLOCK_ROWS].astype("<f2").tobytes()], pa.binary())], names=["name", "block", "n", "change"])
-
-    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums of what each task of this side has read, block by block; at most one row for a block."""
-        total: dict[tuple[str, int], list] = {}
+                some = True
+                sums_of(start, raw.slice(low, high - low).to_pylist(), first, sums)
+        for name, table in sums.items():
+            for b in range(0, len(table), BLOCK_ROWS):
+                if some:
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b], pa.int32()), pa.array([table[b : b + BLOCK_ROWS].astype(kinds[name]).tobytes()], pa.binary())], names=["name", "block", "sums"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums over all tasks, block by block."""
+        found: dict[tuple[str, int], np.ndarray] = {}
         for batch in batches:
-            for name, block, n, change in zip(*[c.to_pylist() for c in batch.columns]):
-                seen = total.setdefault((name, block), [0, 0.0])
-                seen[0] += n
-                seen[1] = seen[1] + n * np.frombuffer(change, "<f2").astype(np.float64)
-        for (name, block), (n, change) in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int32()), pa.array([n], pa.int64()), pa.array([change.tobytes()], pa.binary())], names=["name", "block", "n", "change"])
-
-    schema = "name string, block int, n long, change binary"
-    changes = docs.mapInArrow(run, schema).repartition("name", "block").mapInArrow(average, schema)
-    for row in changes.collect():  # a row for each block of the weights
-        table = model.weights if row.name == "c" else model.word_weights
-        table[row.block : row.block + BLOCK_ROWS] += (np.frombuffer(row.change, np.float64) / row.n).reshape(-1, table.shape[1]).astype(np.float32)
-    shared.unpersist()
-
-
-def fit(docs: DataFrame, buckets: int) -> Model:
-    """docs: (doc_id, text)."""
+            for name, block, sums in zip(*[c.to_pylist() for c in batch.columns]):
+                found[name, block] = found.get((name, block), 0.0) + np.frombuffer(sums, kinds[name]).astype(np.float64)
+        for (name, block), sums in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int32()), pa.array([sums.tobytes()], pa.binary())], names=["name", "block", "sums"])
+
+    schema = "name string, block int, sums binary"
+    found = docs.filter(mine).select("text").coalesce(tasks).mapInArrow(run, schema).repartition("name", "block").mapInArrow(total, schema)
+    sums = {k: np.zeros(shape) for k, shape in shapes.items()}
+    for row in found.collect():  # a row for each block of the weights
+        block = np.frombuffer(row.sums, np.float64).reshape(-1, sums[row.name].shape[1])
+        sums[row.name][row.block : row.block + len(block)] = block
+    shared.destroy()
+    update(model, sums, first)
+
+
+def fit(docs: DataFrame, buckets: int, size: int) -> Model:
+    """docs: (doc_id, text), of size bytes."""
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / TASK_BYTES))
     model = _counts_model(docs, buckets)
-    for turn in range(ROUNDS):
-        _train_round(docs, model, turn)
+    for turn in range(ROUNDS + 1):
+        _train_round(docs, model, turn, tasks)
     return model
 
 
 def _log_probabilities(model: Model, token: np.ndarray, kind: np.ndarray, starts: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Natural logarithms of the model's probability of each token."""
     target, place = model.targets(token, kind)
-    rows, row2 = features(token, starts), word_rows(token, starts, target)
+    rows, row2 = features(token, starts, _bits(model.weights)), word_rows(token, starts, target, _bits(model.word_weights))
     out = np.empty(len(token))
     for a in range(0, len(token), BATCH):
         part = slice(a, a + BATCH)
-        f, y, j = rows[part], target[part], place[part]
-        found = _log_softmax(_summed(model.weights, f) + model.class_bias)[np.arange(len(y)), y].astype(np.float64)
-        inner, tail = np.flatnonzero(j >= 0), np.flatnonzero(j < 0)
-        if len(inner):
-            word = _log_softmax(model.word_weights[row2[part][inner]] + model.word_bias[y[inner]])
-            found[inner] += word[np.arange(len(inner)), j[inner]]
-        if len(tail):
-            k = y[tail] - HEAD_CLASSES
-            found[tail] += np.log((count[part][tail] + 0.5) / (model.tail_mass[k] + 0.5 * (model.tail_words[k] + 1)))
-        out[part] = found
+        y, j = target[part], place[part]
+        each = np.arange(len(y))
+        found = _log_softmax(_summed(model.weights, rows[part]) + model.class_bias)[each, y].astype(np.float64)
+        out[part] = found + _log_softmax(model.word_weights[row2[part]] + model.word_bias[y])[each, j]
+    tail = np.flatnonzero(target >= HEAD_CLASSES)
+    at = target[tail] - HEAD_CLASSES, place[tail]
+    out[tail] += np.log((count[tail] + 0.5) / (model.tail_mass[at] + 0.5 * (model.tail_words[at] + 1)))
     return out
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row for each row of docs."""
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("text"))
-    dealt, cells = dealt_to_cells(plain)
-    model = fit(plain, cells)
+    dealt, cells, size = dealt_to_cells(plain)
+    model = fit(plain, cells, size)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def asked(group: pa.Table) -> tuple[list[bytes], list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -339,7 +369,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         """The counts over all cells, for each cell in the order of its tokens."""
         tokens = _unpack(group, "tokens", "<u8")
         _, place = np.unique(tokens, return_inverse=True)
-        total = np.bincount(place, weights=_unpack(group, "counts", "<u4")).astype("<u4")[place]
+        total = np.bincount(place, weights=_unpack(group, "counts", "<u4")).astype("<i8")[place]
         edges = np.cumsum([0, *[len(x) // 8 for x in group.column("tokens").to_pylist()]])
         return pa.table({"cell": group.column("cell"), "bucket": group.column("bucket"), "totals": pa.array([total[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())})
 
@@ -351,7 +381,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         ids, token, kind, starts, distinct, place, bucket, order = asked(group)
         answers = answers.sort_by("bucket")
         count = np.zeros(len(distinct), np.int64)
-        count[order] = _unpack(answers, "totals", "<u4")
+        count[order] = _unpack(answers, "totals", "<i8")
         count = count[place]
         base = np.log10((count + 0.5) / (model.n + 0.5 * (model.v + 1)))
         own = _log_probabilities(model, token, kind, starts, count) / np.log(10)

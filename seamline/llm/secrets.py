@@ -1,21 +1,26 @@
 """Secret scans over a trigram inverted index, in DataFrame functions only.
 
-Each rule has a regular expression and a Boolean trigram query derived from it: an OR of ANDs over lower-case
-trigrams that every match must hold. Postings (trigram, document) are built for the trigrams of all queries, are
-intersected for each rule, and only candidates are verified with the rule's expression. A rule without mandatory
-trigrams scans every text.
+Each rule has a regular expression, and a Boolean trigram query is derived from its syntax tree: an AND over sequences,
+an OR over alternatives, and nothing where no trigram is mandatory. Texts and trigrams are lower-cased. Postings
+(trigram, document) are built for the trigrams of all queries, are intersected for each rule, and only candidates are
+verified with the rule's expression. A rule without mandatory trigrams scans every text.
 
 Matches are leftmost and don't overlap within a kind; their places are code points, the end exclusive. They come
 from split() and regexp_extract_all(), which cut a text at the same matches.
 
-Defined results: a null text counts as empty and has no spans; a repeated row, or a repeated or null id, gets the
-spans of its own text; an empty table gives an empty result; other columns stay as they are.
+Defined results: a null text counts as empty and has no spans; very long texts are searched whole; a repeated row, or a
+repeated id, gets the spans of its own text; rows with a null id have no postings and are scanned with every rule, in
+place; an empty table gives an empty result; other columns stay as they are, but a column of the result's name is
+replaced (`found`, or the name that is given; masked() adds none).
 """
 
 from __future__ import annotations
 
+import re._constants as sre
+import re._parser as sre_parser
 from dataclasses import dataclass
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,25 +28,91 @@ from pyspark.sql import functions as F
 from seamline.llm.common import whole
 
 
+#: Alternatives of a Boolean query, strings of an expanded part, and members of an expanded character class, at most;
+#: beyond them the derived query gets weaker, never wrong.
+MOST_ALTERNATIVES, MOST_STRINGS, MOST_MEMBERS = 64, 64, 8
+Query = frozenset[frozenset[str]]  # any of these sets in full
+_ANYTHING: Query = frozenset([frozenset()])
+
+
+def _least(query: set[frozenset[str]]) -> Query:
+    """Without the sets that hold another one."""
+    return frozenset(q for q in query if not any(other < q for other in query))
+
+
+def _both(x: Query, y: Query) -> Query:
+    joint = _least({p | q for p in x for q in y})
+    return joint if len(joint) <= MOST_ALTERNATIVES else min(x, y, key=len)
+
+
+def _holding(strings: set[str]) -> Query:
+    """Texts that hold one of the strings."""
+    return _least({frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in strings})
+
+
+def _members(items: list) -> set[str] | None:
+    """A character class's few members, lower-cased."""
+    found: set[str] = set()
+    for op, value in items:
+        if op is sre.LITERAL:
+            found.add(chr(value))
+        elif op is sre.RANGE and value[1] - value[0] < 2 * MOST_MEMBERS:
+            found |= {chr(c) for c in range(value[0], value[1] + 1)}
+        else:
+            return None
+    found = {c.lower() for c in found}
+    return found if len(found) <= MOST_MEMBERS and all(c.isascii() for c in found) else None
+
+
+def _derived(nodes: list) -> tuple[set[str] | None, Query]:
+    """(all the lower-case strings that the nodes match, if these are few; what a match must hold)."""
+    query, run, whole_run = _ANYTHING, {""}, True
+    for op, value in nodes:
+        exact, need = None, _ANYTHING
+        if op is sre.LITERAL:
+            exact = {chr(value).lower()} if value < 128 else None
+        elif op is sre.IN:
+            exact = _members(value)
+        elif op is sre.AT or op in (sre.ASSERT, sre.ASSERT_NOT):
+            exact = {""}
+        elif op is sre.SUBPATTERN or op is sre.ATOMIC_GROUP:
+            exact, need = _derived(value[-1] if op is sre.SUBPATTERN else value)
+        elif op is sre.BRANCH:
+            parts = [_derived(x) for x in value[1]]
+            if all(x is not None for x, _ in parts):
+                exact = set().union(*[x for x, _ in parts])
+            need = _least(set().union(*[q for _, q in parts]))
+            need = need if len(need) <= MOST_ALTERNATIVES else _ANYTHING
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT):
+            low, high, inner = value
+            once, per = _derived(inner)
+            if once is not None and high != sre.MAXREPEAT and (len(once) + 1) ** int(high) <= MOST_STRINGS:
+                exact = {"".join(x) for k in range(low, int(high) + 1) for x in product(once, repeat=k)}
+            need = per if low else _ANYTHING
+        joint = None if exact is None else {x + y for x in run for y in exact}
+        if joint is not None and len(joint) <= MOST_STRINGS:
+            run = joint
+        else:  # the run of exact strings ends here, and so may another begin
+            whole_run = False
+            query = _both(query, _holding(run))
+            run = exact if exact is not None and len(exact) <= MOST_STRINGS else {""}
+            query = _both(query, need)
+    return (run if whole_run else None), _both(query, _holding(run))
+
+
 @dataclass(frozen=True)
 class Rule:
-    """least: characters that the group must have. literals: alternatives, each with strings that a match holds."""
+    """least: characters that the group must have."""
 
     kind: str
     pattern: str
     least: int = 0
     group: int = 0
-    literals: tuple[tuple[str, ...], ...] = ()
 
     def trigrams(self) -> list[list[str]]:
-        """The Boolean query: any of these lists in full. Empty: nothing is mandatory."""
-        found = []
-        for strings in self.literals:
-            grams = sorted({s.lower()[i : i + 3] for s in strings for i in range(len(s) - 2)})
-            if not grams:
-                return []
-            found.append(grams)
-        return found
+        """The Boolean query, derived from the pattern: any of these lists in full. Empty: nothing is mandatory."""
+        query = _derived(list(sre_parser.parse(self.pattern)))[1]
+        return [] if frozenset() in query else sorted(sorted(q) for q in query)
 
 
 # fixed values: the patterns of the three base kinds
@@ -51,18 +122,17 @@ BASE = (
         r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
         6,
         2,
-        (("password",), ("passwd",), ("secret",), ("token",), ("api_key",), ("apikey",)),
     ),
-    Rule("access", r"AKIA[A-Z0-9]+", 20, 0, (("AKIA",),)),
+    Rule("access", r"AKIA[A-Z0-9]+", 20),
     # [0-9a-f]+ of 24 or more: maximal runs are the same, and short runs, which would be dropped, are never listed
-    Rule("hex", r"[0-9a-f]{24,}", 24, 0, ()),
+    Rule("hex", r"[0-9a-f]{24,}", 24),
 )
 #: Kinds beyond the base ones, of published token formats.
 MORE = (
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0, (("ghp_",), ("gho_",), ("ghu_",), ("ghs_",), ("ghr_",))),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0, (("xoxa-",), ("xoxb-",), ("xoxp-",), ("xoxr-",), ("xoxs-",))),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0, (("-----BEGIN ", "PRIVATE KEY-----"),)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*", 0, 0, (("eyJ",),)),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"),
 )
 RULES = BASE + MORE
 
@@ -89,6 +159,8 @@ def spans_of(text: Column, rule: Rule) -> Column:
 def postings(docs: DataFrame, trigrams: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(gram, doc_id): one row for each of the trigrams that a document's lower-cased text holds."""
     low = docs.select(F.col(doc_id).alias("doc_id"), F.lower(whole(text)).alias("_t"))
+    if not trigrams:
+        return low.select("doc_id", F.lit("").alias("gram")).limit(0)
     held = F.filter(F.array(*[F.when(F.contains("_t", F.lit(g)), F.lit(g)) for g in trigrams]), lambda g: g.isNotNull())
     return low.select("doc_id", F.explode(held).alias("gram"))
 
@@ -112,12 +184,14 @@ def _named(spans: Column, place: int, kind: str) -> Column:
     return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(place).alias("place"), x["e"].alias("e"), F.lit(kind).alias("kind")))
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with `found`: an array of (kind, place, s, e), ordered by start and then as the rules are listed."""
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text", into: str = "found") -> DataFrame:
+    """docs with an array of (kind, place, s, e), ordered by start and then as the rules are listed."""
     indexed = tuple(r for r in rules if r.trigrams())
     grams = sorted({g for r in indexed for alt in r.trigrams() for g in alt})
-    hits = candidates(postings(docs, grams, doc_id, text), indexed).withColumnRenamed("doc_id", "__seam_id")
-    joined = docs.join(hits, F.col(doc_id).eqNullSafe(F.col("__seam_id")), "left").drop("__seam_id")
+    named, nameless = docs.filter(F.col(doc_id).isNotNull()), docs.filter(F.col(doc_id).isNull())
+    hits = candidates(postings(named, grams, doc_id, text), indexed).withColumnRenamed("doc_id", "__seam_id")
+    joined = named.join(hits, F.col(doc_id) == F.col("__seam_id"), "left").drop("__seam_id")
+    joined = joined.unionByName(nameless.withColumn("__seam_kinds", F.array(*[F.lit(r.kind) for r in indexed]).cast("array<string>")))
     none = F.array().cast("array<struct<s:bigint,e:bigint>>")
     parts = []
     for k, rule in enumerate(rules):
@@ -125,7 +199,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str =
         if rule in indexed:
             spans = F.when(F.array_contains("__seam_kinds", rule.kind), spans).otherwise(none)
         parts.append(_named(spans, k, rule.kind))
-    return joined.withColumn("found", F.array_sort(reduce(lambda a, b: F.concat(a, b), parts))).drop("__seam_kinds")
+    return joined.withColumn(into, F.array_sort(reduce(lambda a, b: F.concat(a, b), parts))).drop("__seam_kinds")
 
 
 def listed(found: Column) -> Column:
@@ -144,6 +218,6 @@ def masked(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_
             F.when(x["s"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"]).alias("out"),
         )
 
-    rest = lambda acc: F.concat(acc["out"], F.expr(f"coalesce({text}, '')").substr((acc["at"] + 1).cast("int"), F.length(whole(text))))
-    found = find_secrets(docs, rules, doc_id, text)
-    return found.withColumn(text, F.when(F.size("found") > 0, F.aggregate("found", start, step, rest)).otherwise(F.col(text))).drop("found")
+    rest = lambda acc: F.concat(acc["out"], whole(text).substr((acc["at"] + 1).cast("int"), F.length(whole(text))))
+    found = find_secrets(docs, rules, doc_id, text, "__seam_found")
+    return found.withColumn(text, F.when(F.size("__seam_found") > 0, F.aggregate("__seam_found", start, step, rest)).otherwise(F.col(text))).drop("__seam_found")

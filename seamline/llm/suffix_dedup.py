@@ -21,8 +21,10 @@ segments (a frequent line between texts of its own) would not: cells tell a buck
 have for an anchor, and beyond HOT_BYTES in all the anchor is hot. Its windows go one by one, by 128-bit hashes of their 100
 bytes, to the buckets of those; each cell sends a distinct window once, with its first place.
 
-Defined results: a null text counts as empty; rows with null ids come after all others; rows with the same id are ordered
-by their texts, and each row is a document of its own; an empty table gives an empty result; columns not named are dropped.
+Defined results: a null text counts as empty; rows with null ids come after all others, by their cells and then by their
+texts; rows with the same id are ordered by their texts, and each row is a document of its own; of equal rows the first
+keeps what the others lose; very long texts are handled whole, their anchors in pieces; an empty table gives an empty
+result; columns not named are dropped.
 """
 
 from __future__ import annotations
@@ -47,6 +49,8 @@ HOT_BYTES = 1 << 20
 #: A window of a hot anchor: its hash, its document's key, the document's number in its cell and its start.
 WINDOW_ROW = np.dtype([("high", "<u8"), ("low", "<u8"), ("key", "<i8"), ("ordinal", "<i4"), ("start", "<i4")])
 PLACE_BITS = 28
+#: Bytes whose anchors are worked out at once.
+PIECE = 1 << 24
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _LAST = np.iinfo(np.int64).max
 
@@ -54,8 +58,6 @@ _LAST = np.iinfo(np.int64).max
 def window_anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first window, window after) of the runs of windows with the same anchor in the same place. starts: of documents, with the end."""
     n = len(data) - LENGTH + 1
-    if len(data) >> PLACE_BITS:
-        raise ValueError("a cell holds 256 MB of text at most")
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     code, factor, step = _BYTE[data], 0x9E3779B97F4A7C15, 1
@@ -190,13 +192,17 @@ class _Cell:
         self.data = np.frombuffer(self.raw, np.uint8)
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        anchor, first, after = window_anchors(self.data, np.append(self.at, len(self.data)))
+        found, edges = [], np.append(self.at, len(self.data))
+        for low in range(0, max(len(self.data), 1), PIECE):  # pieces share 99 bytes, so each window is in one of them
+            high = min(low + PIECE + LENGTH - 1, len(self.data))
+            inside = edges[(edges > low) & (edges < high)]
+            found.append((low, *window_anchors(self.data[low:high], np.concatenate([[0], inside - low, [high - low]]))))
+        anchor, first, after = (np.concatenate(x) for x in zip(*[(a, low + f, low + t) for low, a, f, t in found]))
         own = np.searchsorted(self.at, first, side="right") - 1  # windows that reach the byte between documents go
         after = np.minimum(after, self.at[own] + self.sizes[own] - LENGTH + 1)
         real = after > first
         return anchor[real], first[real], after[real]
 
-
     def code_sizes(self, code: np.ndarray, first: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The distinct codes and the bytes of the distinct segments of each; of two segments both count."""
         values, place, count = np.unique(code, return_inverse=True, return_counts=True)
@@ -349,14 +355,14 @@ def placed_segments(dealt: DataFrame, cells: int, hot_bytes: int) -> DataFrame:
 def repeats_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_bytes: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]): one row for each row of docs."""
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("text"))
-    dealt, cells = dealt_to_cells(plain)
+    dealt, cells, _ = dealt_to_cells(plain)
     placed = placed_segments(dealt, cells, HOT_BYTES)
     stretch = "cell int, ordinal int, start int, windows int"
 
     def expanded(group: pa.Table) -> pa.Table:
         """The stretches of windows that repeat an earlier one, from a bucket's segments; places without a segment go on."""
         packed = [(c, np.frombuffer(x, WINDOW_ROW)) for c, o, x in zip(*(group.column(n).to_pylist() for n in ("cell", "ordinal", "segment"))) if o < 0]
-        group = group.filter(pc.greater_equal(group.column("ordinal"), 0)).sort_by([("anchor", "ascending"), ("key", "ascending"), ("ordinal", "ascending"), ("start", "ascending")])
+        group = group.filter(pc.greater_equal(group.column("ordinal"), 0)).sort_by([(c, "ascending") for c in ("anchor", "key", "cell", "ordinal", "start")])
         cell, ordinal, start, windows = (group.column(c).to_numpy() for c in ("cell", "ordinal", "start", "windows"))
         key, anchor, texts = group.column("key").to_numpy(), group.column("anchor").to_numpy(), group.column("segment").to_pylist()
         again = np.array([t is None for t in texts], bool)
@@ -368,7 +374,7 @@ def repeats_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         found = [(cell[again], ordinal[again], start[again], windows[again])]
         if packed:
             own, rows = np.repeat([c for c, _ in packed], [len(w) for _, w in packed]), np.concatenate([w for _, w in packed])
-            order = np.lexsort((rows["start"], rows["ordinal"], rows["key"], rows["low"], rows["high"]))
+            order = np.lexsort((rows["start"], rows["ordinal"], own, rows["key"], rows["low"], rows["high"]))
             own, rows = own[order], rows[order]
             later = np.flatnonzero((rows["high"][1:] == rows["high"][:-1]) & (rows["low"][1:] == rows["low"][:-1])) + 1
             found.append((own[later], rows["ordinal"][later], rows["start"][later], np.ones(len(later), np.int32)))
@@ -385,7 +391,7 @@ def repeats_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     back -= 1
                 high = back if back > low else high
             part = kept[low:high]
-            part = part[np.lexsort((start[part], ordinal[part], key[part]))]
+            part = part[np.lexsort((start[part], ordinal[part], cell[part], key[part]))]
             runs = repeated_windows([texts[k] for k in part])
             if runs:
                 which, begin, end = (np.array(x) for x in zip(*runs))

@@ -201,25 +201,36 @@ def test_language_model(docs, none):
     assert language_model.score(none).count() == 0
 
 
+def plain_model(texts: list[str]) -> language_model.Model:
+    """The untrained model of some texts, and random weights."""
+    token, kind, _ = language_model.tokens_of([t.encode() for t in texts])
+    count = Counter(token.tolist())
+    kinds = dict(zip(token.tolist(), kind.tolist()))
+    place = lambda t: int(language_model.place_of(np.array([t], np.uint64))[0])
+    top = sorted(count, key=lambda t: (-count[t], t))[: language_model.HEAD]
+    mass, words = np.zeros((2, language_model.TAIL_CLASSES, language_model.CLASS_SIZE))
+    for t in count.keys() - set(top):
+        mass[kinds[t], place(t)] += count[t]
+        words[kinds[t], place(t)] += 1
+    model = language_model.untrained(sum(count.values()), len(count), np.array(top, np.uint64), np.array([count[t] for t in top], np.float64), mass, words)
+    rng = np.random.default_rng(0)
+    model.weights += rng.standard_normal(model.weights.shape).astype(np.float32)
+    model.word_weights += rng.standard_normal(model.word_weights.shape).astype(np.float32)
+    return model
+
+
 def test_language_model_is_a_distribution():
-    """Over all known tokens and one unknown of each ending, the probabilities after a history add up to 1."""
+    """Over all known tokens and one unknown of each place, the probabilities after a history add up to 1."""
     rng = np.random.default_rng(0)
-    texts = [" ".join(rng.choice([f"w{k}" for k in range(3000)], 400)).encode() for _ in range(20)]
-    token, kind, _ = language_model.tokens_of(texts)
+    texts = [" ".join(rng.choice([f"w{k}" for k in range(6000)], 800)) for _ in range(20)]
+    model = plain_model(texts)
+    token, kind, _ = language_model.tokens_of([t.encode() for t in texts])
     tokens, kinds, counts = language_model._counted(token, kind, np.ones(len(token), np.int64))
-    top = np.lexsort((tokens, -counts))[: language_model.HEAD]
-    mass, words = (np.bincount(kinds, weights=w, minlength=language_model.TAIL_CLASSES) for w in (counts, np.ones(len(counts))))
-    np.subtract.at(mass, kinds[top], counts[top])
-    np.subtract.at(words, kinds[top], 1)
-    by_class = counts[top].reshape(language_model.HEAD_CLASSES, -1)
-    order = np.argsort(tokens[top])
-    model = language_model.Model(
-        int(counts.sum()), len(tokens), tokens[top][order], np.arange(len(top))[order], np.log(np.concatenate([by_class.sum(1), mass + words + 1])).astype(np.float32), np.log(by_class).astype(np.float32), mass, words,
-        rng.standard_normal((1 << language_model.ROW_BITS, language_model.CLASSES)).astype(np.float32), rng.standard_normal((1 << language_model.WORD_ROW_BITS, language_model.CLASS_SIZE)).astype(np.float32),
-    )
-    unknown = np.arange(10**6, 10**6 + language_model.TAIL_CLASSES, dtype=np.uint64)
+    codes = np.arange(10**6, 10**6 + 200_000, dtype=np.uint64)
+    _, first = np.unique(language_model.place_of(codes), return_index=True)
+    unknown = np.tile(codes[first], language_model.TAIL_CLASSES)
     every = np.concatenate([tokens, unknown])
-    every_kind = np.concatenate([kinds, np.arange(language_model.TAIL_CLASSES, dtype=np.uint8)])
+    every_kind = np.concatenate([kinds, np.repeat(np.arange(language_model.TAIL_CLASSES), language_model.CLASS_SIZE).astype(np.uint8)])
     every_count = np.concatenate([counts, np.zeros(len(unknown))])
     pairs = np.stack([np.full(len(every), tokens[5]), every], axis=1).ravel()
     pair_kinds = np.stack([np.zeros(len(every), np.uint8), every_kind], axis=1).ravel()
@@ -228,6 +239,65 @@ def test_language_model_is_a_distribution():
     assert abs(p.sum() - 1) < 1e-3
 
 
+def test_language_model_sums_and_updates():
+    """Observed and expected sums, one update and log probabilities, each token for itself in plain Python."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{min(int(rng.expovariate(0.01)), 3000)}" for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    model = plain_model(texts)
+    raw_texts = [t.encode() for t in texts]
+    token, kind, starts = language_model.tokens_of(raw_texts)
+    target, place = model.targets(token, kind)
+    rows = language_model.features(token, starts, 14)
+    row2 = language_model.word_rows(token, starts, target, 13)
+    shapes = {"seen": model.weights.shape, "expected": model.weights.shape, "places": model.word_weights.shape, "classes": (len(model.word_weights), language_model.CLASSES)}
+    got, want = ({k: np.zeros(v) for k, v in shapes.items()} for _ in range(2))
+    language_model.sums_of(model, raw_texts, True, got)
+    got["seen"][:] = 0
+    language_model.sums_of(model, raw_texts, False, got)
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    logs = []
+    count = Counter(token.tolist())
+    for t, f, r, y, j in zip(token.tolist(), rows, row2, target.tolist(), place.tolist()):
+        p = soft(sum(model.weights[k].astype(float) for k in f) + model.class_bias)
+        for k in f:
+            want["seen"][k, y] += 1
+            want["expected"][k] += p
+        want["places"][r, j] += 1
+        want["classes"][r, y] += 1
+        q = p[y] * soft(model.word_weights[r].astype(float) + model.word_bias[y])[j]
+        if y >= language_model.HEAD_CLASSES:
+            q *= (count[t] + 0.5) / (model.tail_mass[y - language_model.HEAD_CLASSES, j] + 0.5 * (model.tail_words[y - language_model.HEAD_CLASSES, j] + 1))
+        logs.append(log10(q))
+    for k in shapes:
+        assert np.allclose(got[k], want[k], atol=1e-3), k
+    mine = language_model._log_probabilities(model, token, kind, starts, np.array([count[t] for t in token.tolist()])) / np.log(10)
+    assert np.allclose(mine, logs, atol=1e-4)
+    before = model.weights.astype(float).copy()
+    language_model.update(model, want, False)
+    share = soft(model.class_bias.astype(float)) * language_model.SMOOTHING
+    k, c = np.unravel_index(want["seen"].argmax(), model.weights.shape)
+    assert abs(model.weights[k, c] - before[k, c] - np.log((want["seen"][k, c] + share[c]) / (want["expected"][k, c] + share[c])) / 4) < 1e-5
+
+
+def test_language_model_whatever_the_partitions(spark):
+    """Scores agree over 1, 4 and 64 partitions, and beat the unigram model on held-out texts that have an order."""
+    rng = random.Random(9)
+    after = {k: [rng.randrange(400) for _ in range(4)] for k in range(400)}
+    rows = []
+    for i in range(400):
+        w, own = rng.randrange(400), []
+        for _ in range(rng.randint(20, 200)):
+            own.append(f"w{w}")
+            w = rng.choice(after[w])
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [{r.doc_id: r for r in language_model.score(df.repartition(n)).collect()} for n in (1, 4, 64)]
+    for i in range(400):
+        assert max(f[i].score for f in found) - min(f[i].score for f in found) < 1e-6 * abs(found[0][i].score)
+    held = [r for r in found[0].values() if r.held_out]
+    assert sum(r.score for r in held) > 0.85 * sum(r.base_score for r in held)
+
+
 def test_quality(spark, docs, none):
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdeilnorst") for _ in range(rng.randint(2, 8))) for _ in range(300)]
@@ -252,6 +322,61 @@ def test_quality(spark, docs, none):
     assert quality.classify(none, ensemble).count() == 0
 
 
+def plain_statistics(text):
+    """The statistics that the classifier names, by Python's re."""
+    n, pieces = max(len(text), 1), re.split(r"\s+", text, flags=re.A)
+    words = len(pieces)
+    count = lambda p: len(re.findall(p, text, re.A))
+    return {
+        "log_chars": np.log1p(len(text)), "word_length": n / words, "upper_runs": count(r"[A-Z]{2,}") / words, "marks": count(r"[#*$%&@^~<>{}=_+]") / n,
+        "mark_runs": count(r"[#*$%&!?@^~]{2,}") / words, "bars": count(r" [|] ") / words, "digits": count(r"[0-9]") / n, "stops": count(r"[.!?](?=\s|$)") / words,
+        "lines": count(r"\n") / n, "repeats": count(r"(?<!\S)(\S+)\s+(?=\1(?!\S))") / words, "distinct": len(dict.fromkeys(pieces)) / words,
+    }
+
+
+def test_quality_by_brute_force(spark):
+    """The compiled column against the rules in plain Python, statistics included; and the fit from any order of rows."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdeilnorst") for _ in range(rng.randint(1, 9))) for _ in range(200)]
+    rows = []
+    for i in range(500):
+        own = [rng.choice(words) for _ in range(rng.randint(0, 60))]
+        if i % 3 == 0:
+            own = [rng.choice([w.upper(), w + "!!", w + " " + w, "##" + w, "7" + w, "a | b"]) for w in own]
+        rows.append((i, rng.choice([" ", "  ", "\n"]).join(own) + rng.choice(["", ".", "? "])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(500)], "doc_id long, quality int")
+    ensemble = quality.fit(quality.training_rows(df, marks))
+    assert ensemble == quality.fit(quality.training_rows(df.repartition(7), marks.repartition(5)))
+    assert ensemble == quality.fit(quality.training_rows(df.union(df.filter("doc_id % 5 = 0")), marks))
+    got = {r.doc_id: r for r in quality.classify(df, ensemble).collect()}
+    assert len(ensemble.rules) > 5
+    for i, text in rows:
+        assert abs(got[i].score - ensemble.score_of(plain_statistics(text))) < 1e-9, text
+    x = np.random.default_rng(1).random((400, 6)) > 0.5
+    y = (x[:, 0] & ~x[:, 3]).astype(float)
+    bias, weights = quality._lasso(x.astype(float), y, 0.01)
+    loss = lambda b, w: np.mean(np.log1p(np.exp(x @ w + b)) - y * (x @ w + b)) + 0.01 * np.abs(w).sum()
+    best = loss(bias, weights)
+    for k in range(7):
+        for step in (1e-3, -1e-3):
+            moved = weights + (step * (np.arange(6) == k - 1))
+            assert loss(bias + step * (k == 0), moved) >= best - 1e-7
+
+
+def test_held_out_of_null_ids(spark):
+    from seamline.llm.common import fold_of
+
+    df = spark.createDataFrame([(None,), (7,)], "doc_id long").select(fold_of("doc_id", 4).alias("f"))
+    assert {r.f for r in df.collect()} == {0, zlib.crc32(b"7") % 4}
+
+
+def test_secrets_of_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "token=abcdef1", "x", 2), (None, "a token=abcdef2 b", "y", 3), (2, None, "z", 4), (1, "none", "w", 5)], "doc_id long, text string, found string, kinds int")
+    got = sorted(secrets.masked(df).collect(), key=lambda r: r.kinds)
+    assert [tuple(r) for r in got] == [(1, "<secret>", "x", 2), (None, "a <secret> b", "y", 3), (2, None, "z", 4), (1, "none", "w", 5)]
+
+
 def test_near_duplicates(docs, none):
     rows = odd_documents()
     sets = {}
@@ -357,7 +482,7 @@ def test_suffix_dedup_of_a_hot_line(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = {i: hashlib.sha256(bytes(b for b, m in zip(raw(t), mask) if not m)).hexdigest() for (i, t), mask in zip(rows, covered([raw(t) for _, t in rows]))}
     assert {r.doc_id: r.kept_sha256 for r in suffix_dedup.repeats_removed(df).collect()} == want
-    dealt, n = cells.dealt_to_cells(df)
+    dealt, n, _ = cells.dealt_to_cells(df)
     placed = suffix_dedup.placed_segments(dealt, n, 1 << 12).filter("ordinal >= 0").groupBy("anchor").agg(F.sum(F.length("segment")).alias("n"))
     assert placed.agg(F.max("n")).first()[0] <= 1 << 12
     placed = suffix_dedup.placed_segments(dealt, n, 1 << 30).groupBy("anchor").agg(F.sum(F.length("segment")).alias("n"))

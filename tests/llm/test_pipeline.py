@@ -36,3 +36,36 @@ def test_pipeline(spark, tmp_path):
     for i in kept:
         own = [r for r in packed if r.doc_id == i]
         assert sum(r.length for r in own) == len(plain.encode(texts[i], add_special_tokens=False).ids) + 1 == own[0].doc_tokens
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Columns with the stages' own names stay as they are; nulls, repeats, empty and long texts, and empty tables have their results."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdeilnorst") for _ in range(rng.randint(2, 8))) for _ in range(900)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n)) + "."
+    bad = lambda n: " ".join(w.upper() + "!!" for w in prose(n).split())
+    same, long_text = prose(50), prose(30_000)
+    texts = {0: prose(40), 1: None, 2: "", 3: bad(40), 4: same, 5: same, 6: prose(30) + " " + ITEM + " " + prose(30), 7: "api_key: abcdefgh " + prose(30), 8: long_text, 9: long_text + " x"}
+    rows = [(i, t) for i, t in texts.items()] + [(0, texts[0]), (None, prose(45)), (None, None)]
+    clash = ("found", "score", "predicted", "kept", "component_id", "item_id", "cell", "ids", "key", "length")
+    schema = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"{c} string" for c in clash)
+    docs = spark.createDataFrame([(i, t, None, None, None, *[f"{c} of {i}" for c in clash]) for i, t in rows], schema)
+    learned = [(100 + k, bad(30) if k % 4 == 0 else prose(rng.randint(20, 60))) for k in range(200)]
+    docs = docs.union(spark.createDataFrame([(i, t, "en", "s", len(t), *clash) for i, t in learned], schema))
+    at = str(tmp_path)
+    spark.createDataFrame([(i, int(k % 4 > 0), 0) for k, (i, _) in enumerate(learned)] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int").write.parquet(at + "/labels.parquet")
+    spark.createDataFrame([(1, ITEM), (2, None), (None, "")], "item_id long, text string").write.parquet(at + "/benchmark.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, at)
+        assert kept.schema.names == docs.schema.names, name
+    found = [r for r in kept.collect() if r.doc_id is None or r.doc_id < 100]
+    ids = [r.doc_id for r in found]
+    assert set(ids) >= {0, 4, 7, 8} and not set(ids) & {3, 5, 6, 9}
+    assert all(r[c] == f"{c} of {r.doc_id}" for r in found for c in clash)
+    masked = next(r for r in found if r.doc_id == 7)
+    assert masked.text.startswith("<secret> ") and masked.n_chars == len(masked.text)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), at).count() == 0, name
+    packed = corpus_pipeline.packing(spark, docs.filter("doc_id < 3 or doc_id is null"), at)
+    assert packed.filter("doc_id = 1").select("length").collect()[0].length == 1

@@ -1,6 +1,7 @@
 """Parts of the operators that need no Spark, against plain versions."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -170,10 +171,66 @@ def test_trie_precedence():
 
 
 def test_trigram_queries():
-    by_kind = {r.kind: r for r in secrets.RULES}
-    assert by_kind["access"].trigrams() == [["aki", "kia"]]
-    assert ["ecr", "cre", "ret", "sec"] != by_kind["assign"].trigrams()[2] and set(by_kind["assign"].trigrams()[2]) == {"sec", "ecr", "cre", "ret"}
-    assert by_kind["hex"].trigrams() == []
+    by_kind = {r.kind: r.trigrams() for r in secrets.RULES}
+    assert by_kind["access"] == [["aki", "kia"]] and by_kind["hex"] == []
+    assert ["cre", "ecr", "ret", "sec"] in by_kind["assign"] and ["api", "ike", "key", "pik"] in by_kind["assign"] and len(by_kind["assign"]) == 6
+    assert by_kind["jwt"] == [[".ey", "eyj"]] and len(by_kind["slack"]) == 5
+    assert secrets.Rule("x", "a?b?").trigrams() == [] and secrets.Rule("x", "abc|d").trigrams() == []
+    assert secrets.Rule("x", "(abcd)+x{2}").trigrams() == [["abc", "bcd"]]
+
+
+def test_derived_queries_lose_no_match():
+    """Random expressions over random texts: whatever matches holds the trigrams of an alternative."""
+    rng = random.Random(6)
+
+    def expression(depth):
+        if depth == 0 or rng.random() < 0.35:
+            return rng.choice(["a", "B", "c", "abc", "Cab", "[ab]", "[a-c]", "[^a]", ".", r"\x62", "(?i:aB)"])
+        kind = rng.randrange(4)
+        if kind == 0:
+            return "(" + "|".join(expression(depth - 1) for _ in range(rng.randint(1, 3))) + ")"
+        if kind == 1:
+            return "(?:" + expression(depth - 1) + ")" + rng.choice(["?", "*", "+", "{2}", "{0,2}", "{1,3}", "{2,}", "+?"])
+        return "".join(expression(depth - 1) for _ in range(rng.randint(1, 4)))
+
+    matched = useful = 0
+    for _ in range(1500):
+        pattern = expression(3)
+        query = secrets.Rule("x", pattern).trigrams()
+        useful += bool(query)
+        for _ in range(15):
+            text = "".join(rng.choice("aabbcABCx") for _ in range(rng.randint(0, 14)))
+            if re.search(pattern, text):
+                matched += 1
+                assert not query or any(all(g in text.lower() for g in grams) for grams in query), (pattern, text, query)
+    assert matched > 3000 and useful > 300
+
+
+def test_media_with_samples_that_look_like_headers():
+    """Bytes of a frame header with the next number and a right checksum, inside of a frame; and a stream with damage."""
+    rng = random.Random(2)
+    noise = lambda n: bytes(rng.randrange(256) for _ in range(n))
+    payloads = [flac.padded(noise(576 * k + 100) + bytes(b ^ 0x80 for b in flac._frame_header(k + 1)) + noise(900)) for k in (0, 1, 5, 130)]
+    payloads.append(flac.padded(bytes(b ^ 0x80 for b in flac._frame_header(1)) * 60 + noise(700)))
+    media = flac.encode(payloads)
+    for got, payload in zip(flac.decode(media), payloads):
+        assert got.ok and bytes(b ^ 0x80 for b in got.samples.view(np.uint8)) == payload
+    torn = bytearray(media[2])
+    torn[len(torn) // 2] ^= 4
+    assert not flac.decode([bytes(torn)])[0].ok
+
+
+def plain_features(payload):
+    x = [b - 128 for b in payload]
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+    return f"mean={sum(x) / len(x):.6f};rms={(sum(v * v for v in x) / len(x)) ** 0.5:.6f};peak={max(map(abs, x))};crossings={crossings}"
+
+
+def test_media_features():
+    for text in (b"", b"plain text, and more of it" * 90, bytes(range(256)) * 5, "é😀".encode() * 400):
+        payload = flac.padded(text)
+        got = flac.decode(flac.encode([payload]))[0]
+        assert flac._feature(got.samples) == plain_features(payload)
 
 
 def plain_lcs(a, b):
