@@ -1,4 +1,11 @@
-"""A corpus pipeline of five stages: quality, near copies, benchmark passages, secrets, packing."""
+"""A corpus pipeline of five stages: quality, near copies, benchmark passages, secrets, packing.
+
+Every stage but the last returns the columns that it gets, whatever their names; names that start with __seam are the
+stages' own. Defined results: a null text counts as empty and stays null where it is kept; very long texts are handled
+whole; rows with the same id count as one document for near copies and are packed apart otherwise; rows with a null id
+are never near copies; an empty table gives an empty result; without labels every document is kept, and without
+benchmark items none is dropped for them.
+"""
 
 from __future__ import annotations
 
@@ -14,10 +21,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble accepts."""
-    from seamline.llm.quality import classify, fit, training_rows
+    from seamline.llm.quality import accepted, fit, training_rows
 
-    ensemble = fit(training_rows(docs, table(spark, sf_dir, "labels")))
-    return classify(docs.drop("score", "predicted"), ensemble).filter("predicted = 1").select(*docs.columns)
+    return accepted(docs, fit(training_rows(docs, table(spark, sf_dir, "labels"))))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +45,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked in the text; n_chars follows."""
     from seamline.llm.secrets import masked
 
-    return masked(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    found = masked(docs)
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
