@@ -29,6 +29,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -132,16 +133,37 @@ def word_rows(token: np.ndarray, starts: np.ndarray, classes: np.ndarray, bits:
     return (mix(before ^ mix(classes.astype(np.uint64) + np.uint64(70))) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits = logits - logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+def _exps(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exponentials, their sum in each row, what was taken from each row's logits first): a row's maximum is only sought where the sum is near a float's limits."""
+    exps = np.exp(np.minimum(logits, 80))
+    total, shift = exps @ np.ones(exps.shape[1], exps.dtype), np.zeros(len(exps), logits.dtype)
+    odd = np.flatnonzero((total > 1e33) | (total < 1e-20))
+    if len(odd):
+        shift[odd] = logits[odd].max(axis=1)
+        exps[odd] = np.exp(logits[odd] - shift[odd, None])
+        total[odd] = exps[odd].sum(axis=1)
+    return exps, total, shift
 
 
-def _summed(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """For each token the sum of its rows of the table."""
-    out = table[rows[:, 0]]
+def _shares(logits: np.ndarray) -> np.ndarray:
+    """Each row's softmax."""
+    exps, total, _ = _exps(logits)
+    exps /= total[:, None]
+    return exps
+
+
+def _log_share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each row's softmax, the logarithm at one place."""
+    _, total, shift = _exps(logits)
+    return logits[np.arange(len(at)), at].astype(np.float64) - shift - np.log(total)
+
+
+def _summed(model: Model, rows: np.ndarray) -> np.ndarray:
+    """The class logits of each token: its rows of the weights, and the bias."""
+    out = np.take(model.weights, rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
-        out += table[rows[:, k]]
+        out += np.take(model.weights, rows[:, k], axis=0)
+    out += model.class_bias
     return out
 
 
@@ -229,7 +251,7 @@ def untrained(n: int, v: int, tokens: np.ndarray, counts: np.ndarray, mass: np.n
     head.ravel()[: len(counts)] = counts
     held = np.concatenate([head, mass + 0.5 * (words + 1)])
     with np.errstate(divide="ignore"):
-        class_bias, word_bias = (np.where(x > 0, np.log(x), -1e30).astype(np.float32) for x in (held.sum(1), held))
+        class_bias, word_bias = (np.where(x > 0, np.log(x / np.maximum(x.sum(-1, keepdims=True), 1e-300)), -1e30).astype(np.float32) for x in (held.sum(1), held))
     order = np.argsort(tokens)
     bits = min(max(round(np.log2(n + 1) / 2 + 3), LEAST_ROW_BITS), MOST_ROW_BITS)
     zeros = np.zeros((1 << bits, CLASSES), np.float32), np.zeros((1 << bits - WORD_BITS_LESS, CLASS_SIZE), np.float32)
@@ -252,10 +274,10 @@ def sums_of(model: Model, texts: list[bytes], first: bool, sums: dict[str, np.nd
         f = rows[a : a + 32 * BATCH]
         p = np.empty((CLASSES, len(f)))
         for b in range(0, len(f), BATCH):
-            p[:, b : b + BATCH] = np.exp(_log_softmax(_summed(model.weights, f[b : b + BATCH]) + model.class_bias)).T
-        flat = f.T.ravel()
+            p[:, b : b + BATCH] = _shares(_summed(model, f[b : b + BATCH])).T
+        columns = np.ascontiguousarray(f.T)
         for c, column in enumerate(p):
-            sums["expected"][:, c] += np.bincount(flat, np.tile(column, FEATURES), len(model.weights))
+            sums["expected"][:, c] += reduce(np.add, [np.bincount(row, column, len(model.weights)) for row in columns])
 
 
 def update(model: Model, sums: dict[str, np.ndarray], first: bool) -> None:
@@ -264,7 +286,7 @@ def update(model: Model, sums: dict[str, np.ndarray], first: bool) -> None:
     expected = sums["seen"].sum(1, keepdims=True) * share if first else sums["expected"]
     model.weights += (np.log((sums["seen"] + SMOOTHING * share + 1e-9) / (expected + SMOOTHING * share + 1e-9)) / FEATURES).astype(np.float32)
     if first:  # a row belongs to one class, but for hashes that meet
-        prior = np.exp(_log_softmax(model.word_bias.astype(np.float64)))
+        prior = _shares(model.word_bias.astype(np.float64))
         expected, n = sums["classes"] @ prior, sums["classes"].sum(1, keepdims=True)
         prior = (expected + 1e-9) / (n + CLASS_SIZE * 1e-9)
         model.word_weights += np.log((sums["places"] + PLACE_SMOOTHING * prior) / (expected + PLACE_SMOOTHING * prior)).astype(np.float32)
@@ -331,9 +353,9 @@ def _log_probabilities(model: Model, token: np.ndarray, kind: np.ndarray, starts
     for a in range(0, len(token), BATCH):
         part = slice(a, a + BATCH)
         y, j = target[part], place[part]
-        each = np.arange(len(y))
-        found = _log_softmax(_summed(model.weights, rows[part]) + model.class_bias)[each, y].astype(np.float64)
-        out[part] = found + _log_softmax(model.word_weights[row2[part]] + model.word_bias[y])[each, j]
+        inner = np.take(model.word_weights, row2[part], axis=0)
+        inner += np.take(model.word_bias, y, axis=0)
+        out[part] = _log_share(_summed(model, rows[part]), y) + _log_share(inner, j)
     tail = np.flatnonzero(target >= HEAD_CLASSES)
     at = target[tail] - HEAD_CLASSES, place[tail]
     out[tail] += np.log((count[tail] + 0.5) / (model.tail_mass[at] + 0.5 * (model.tail_words[at] + 1)))
