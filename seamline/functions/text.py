@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: letters with marks and the letters that stand for them when folded
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+def _folding() -> tuple[str, str]:
+    """Lower-case Latin letters with marks, and their base letters: what canonical decomposition leaves without marks.
+
+    Letters that don't decompose (ł, ø, đ) stay. Combining marks are listed last, beyond the base letters, so that
+    translate() drops them.
+    """
+    marked, plain = [], []
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        base = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if not unicodedata.combining(c))
+        if chr(code) == chr(code).lower() and len(base) == 1 and base != chr(code):
+            marked.append(chr(code))
+            plain.append(base)
+    return "".join(marked) + "".join(map(chr, range(0x300, 0x370))), "".join(plain)
+
+
+MARKED, PLAIN = _folding()
 
 
 def trimmed(x: Column) -> Column:
@@ -32,7 +48,7 @@ def caption(x: Column) -> Column:
 
 
 def folded(x: Column) -> Column:
-    """Lower case, marks off."""
+    """Lower case, marks off Latin letters, combining marks out."""
     return F.translate(F.lower(x), MARKED, PLAIN)
 
 
@@ -41,6 +57,11 @@ def tokens(x: Column) -> Column:
     return F.filter(F.split(folded(x), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def spaced(x: Column) -> Column:
+    """The tokens with a space around each, as of padded(tokens(x)), in one pass."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(folded(x), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+
+
 def padded(words: Column) -> Column:
     """Tokens with a space around each, so that a phrase is a substring."""
     return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))

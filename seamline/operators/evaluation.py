@@ -8,23 +8,30 @@ from pyspark.sql import functions as F
 
 from seamline.functions.vectors import dot
 
-#: Class weights are gathered into one array for each row's logits; more classes than this are joined instead.
+#: Class weights are gathered into arrays of about so many at most.
 MAX_GATHERED_CLASSES = 4096
 
 
 def logits(features: DataFrame, weights: DataFrame, vector: str = "embedding", digits: int = 6) -> DataFrame:
-    """features with logits: an array of (logit, class) in the order of classes. weights: (label, vec)."""
-    if weights.limit(MAX_GATHERED_CLASSES + 1).count() > MAX_GATHERED_CLASSES:
-        raise ValueError(f"more than {MAX_GATHERED_CLASSES} classes: use long_logits")
-    heads = weights.agg(F.array_sort(F.collect_list(F.struct(F.col("label").alias("c"), F.col("vec").alias("w")))).alias("_w"))
-    one = F.transform("_w", lambda h: F.struct(F.round(dot(F.col(vector), h["w"]), digits).alias("logit"), h["c"].alias("c")))
-    return features.crossJoin(F.broadcast(heads)).withColumn("logits", one).drop("_w")  # one row on the right
+    """features with logits: an array of (logit, class) in the order of classes. weights: (label, vec), a class dimension.
+
+    Weights meet the rows as one array for each block of MAX_GATHERED_CLASSES classes, a single row that is broadcast.
+    """
+    n = weights.count()
+    block = F.lit(0) if n <= MAX_GATHERED_CLASSES else F.pmod(F.xxhash64("label"), F.lit(-(-2 * n // MAX_GATHERED_CLASSES)))
+    heads = weights.withColumn("_b", block.cast("int"))
+    out = features.withColumn("logits", F.array().cast("array<struct<logit:double,c:int>>"))
+    for b in range(1 if n <= MAX_GATHERED_CLASSES else -(-2 * n // MAX_GATHERED_CLASSES)):
+        one = heads.filter(F.col("_b") == b).agg(F.collect_list(F.struct(F.col("label").alias("c"), F.col("vec").alias("w"))).alias("_w"))
+        found = F.transform("_w", lambda h: F.struct(F.round(dot(F.col(vector), h["w"]), digits).alias("logit"), h["c"].cast("int").alias("c")))
+        out = out.crossJoin(F.broadcast(one)).withColumn("logits", F.concat("logits", found)).drop("_w")  # one row on the right
+    return out.withColumn("logits", F.array_sort("logits", lambda a, b: a["c"] - b["c"]))
 
 
 def long_logits(features: DataFrame, weights: DataFrame, ident: str = "vec_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
-    """(id, label, c, logit): a row for each class; for many classes, or where classes are to be grouped."""
-    w = weights.select(F.col("label").alias("c"), F.col("vec").alias("w"))
-    return features.crossJoin(F.broadcast(w)).select(ident, "label", "c", F.round(dot(F.col(vector), F.col("w")), digits).alias("logit"))
+    """(id, label, c, logit): a row for each class; where classes are to be grouped."""
+    rows = logits(features, weights, vector, digits).select(ident, "label", F.explode("logits").alias("_x"))
+    return rows.select(ident, "label", F.col("_x.c").alias("c"), F.col("_x.logit").alias("logit"))
 
 
 def predicted(with_logits: DataFrame) -> DataFrame:

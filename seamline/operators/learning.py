@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -26,11 +27,38 @@ def cross_modal(rows: DataFrame, image: str = "embedding", text: str = "caption"
     return pick(image).unionByName(pick(text))
 
 
-def mixed_pairs(rows: DataFrame, share: float, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Mix-up of each row with the next one by hash: vectors blended, both labels and the share kept."""
-    from pyspark.sql import Window as W
+#: Rows of a hash group within which rows are mixed, on average.
+GROUP_ROWS = 4096
 
-    order = W.partitionBy(F.pmod(F.xxhash64(ident), F.lit(64))).orderBy(F.md5(F.col(ident).cast("string")), ident)
-    other = F.lead(F.struct(F.col(vector).alias("v"), "label")).over(order)
-    blend = F.zip_with(vector, "_o.v", lambda x, y: x.cast("double") * share + y.cast("double") * (1 - share))
-    return rows.withColumn("_o", other).filter("_o is not null").select(ident, "label", F.col("_o.label").alias("other_label"), blend.alias(vector), F.lit(share).alias("share"))
+
+def shares(ident: Column, alpha: float = 1.0, probability: float = 0.5, seed: int = 0) -> Column:
+    """A row's share of itself: drawn from Beta(alpha, alpha) with a probability, else 1. Fixed by the id and the seed.
+
+    Joehnk's method, four tries from hashed uniform numbers and the mean share if none is accepted; for alpha 1 the first
+    try is the uniform draw itself.
+    """
+
+    def uniform(k: int) -> Column:
+        return (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), ident), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+    drawn = F.lit(0.5)
+    for k in reversed(range(4)):
+        x, y = (F.pow(uniform(2 * k + j), F.lit(1.0 / alpha)) for j in (1, 2))
+        drawn = F.when((x + y <= 1) & (x + y > 0), x / (x + y)).otherwise(drawn)
+    if alpha == 1:
+        drawn = uniform(1)
+    return F.when(uniform(0) <= probability, drawn).otherwise(F.lit(1.0))
+
+
+def mixed_pairs(rows: DataFrame, share: float | Column, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Mix-up of each row with another one: vectors blended, both labels and the share kept.
+
+    Rows meet within groups dealt by a hash of the id, as many as the rows need; the last of a group meets its first.
+    """
+    groups = max(1, rows.count() // GROUP_ROWS)
+    part = W.partitionBy(F.pmod(F.xxhash64(ident), F.lit(groups)))
+    order, own = part.orderBy(F.md5(F.col(ident).cast("string")), ident), F.struct(F.col(vector).alias("v"), "label")
+    other = F.coalesce(F.lead(own).over(order), F.first(own).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    paired = rows.withColumn("_o", other).withColumn("_s", share if isinstance(share, Column) else F.lit(float(share)))
+    blend = F.zip_with(vector, "_o.v", lambda x, y: x.cast("double") * F.col("_s") + y.cast("double") * (1 - F.col("_s")))
+    return paired.select(ident, "label", F.col("_o.label").alias("other_label"), blend.alias(vector), F.col("_s").alias("share"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seamline.functions.text import caption, clean_name, padded, tokens, unpunctuated, word_set
+from seamline.functions.text import caption, clean_name, padded, spaced, tokens, unpunctuated, word_set
 
 #: A synonym table of more rows isn't broadcast; the token join is then an ordinary one.
 MAX_BROADCAST_SYNONYMS = 200_000
@@ -52,13 +52,14 @@ def matches(captions: DataFrame, phrases: DataFrame, keys: list[str], text: str
     """
     sought = phrases.filter("not skipped and first is not null").select("class_id", "synonym", "prio", "phrase", "first", "extra")
     firsts = [r[0] for r in sought.select("first").distinct().limit(MAX_LISTED_TOKENS + 1).collect()]
-    small = len(firsts) <= MAX_LISTED_TOKENS or sought.limit(MAX_BROADCAST_SYNONYMS + 1).count() <= MAX_BROADCAST_SYNONYMS
-    sought = F.broadcast(sought) if small else sought
-    texts = captions.select(*keys, caption(F.col(text)).alias("text")).withColumn("words", tokens(F.col("text")))
-    texts = texts.withColumn("hay", padded(F.col("words")))  # once for each text, before its tokens become rows
-    listed = F.array(*[F.lit(t) for t in firsts]).cast("array<string>")
-    own = F.array_intersect("words", listed) if len(firsts) <= MAX_LISTED_TOKENS else F.array_distinct("words")
-    rows = texts.withColumn("own", own).select(*keys, "text", "hay", F.explode("own").alias("first"))
+    if sought.limit(MAX_BROADCAST_SYNONYMS + 1).count() <= MAX_BROADCAST_SYNONYMS:
+        sought = F.broadcast(sought)
+    texts = captions.select(*keys, caption(F.col(text)).alias("text")).withColumn("hay", spaced(F.col("text")))
+    words = F.array_distinct(F.split(F.trim("hay"), " "))
+    if len(firsts) <= MAX_LISTED_TOKENS:
+        words = F.array_intersect(words, F.array(*[F.lit(t) for t in firsts]).cast("array<string>"))
+    # an outer explode: no filter is inferred from it that would work the tokens out again
+    rows = texts.select(*keys, "text", "hay", F.explode_outer(words).alias("first"))
     found = rows.join(sought, "first").filter(F.contains("hay", "phrase"))
     found = found.filter(F.col("extra").isNull() | F.contains("hay", F.concat(F.lit(" "), F.col("extra"), F.lit(" "))))
     return found.select(*keys, "text", "class_id", "synonym", "prio")
@@ -73,7 +74,7 @@ def attributed(found: DataFrame, keys: list[str]) -> DataFrame:
 def synonym_counts(found: DataFrame, phrases: DataFrame) -> DataFrame:
     """Texts for each synonym, overlaps counted for each; 0 where none; skipped ones keep their old count."""
     n = found.groupBy("class_id", "synonym").agg(F.count(F.lit(1)).alias("n"))
-    out = phrases.select("class_id", "synonym", "cnt", "ord", "skipped").join(F.broadcast(n), ["class_id", "synonym"], "left")
+    out = phrases.select("class_id", "synonym", "cnt", "ord", "skipped").join(n, ["class_id", "synonym"], "left")
     return out.select("class_id", "synonym", "ord", "skipped", F.when(F.col("skipped"), F.col("cnt").cast("long")).otherwise(F.coalesce("n", F.lit(0))).alias("cnt"))
 
 

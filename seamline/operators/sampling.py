@@ -53,12 +53,16 @@ def sample(scored: DataFrame, k: int, order: list[Column], accept: Column | None
     return rows.withColumn("rank", F.row_number().over(W.partitionBy("label").orderBy(*order, ident))).filter(F.col("rank") <= k)
 
 
-def audited(scored: DataFrame, k: int, order: list[Column], accept: Column, ident: str = "vec_id") -> DataFrame:
-    """Rows that a scan down the ranking looks at until it has k: status sampled or filtered."""
-    seen = W.partitionBy("label").orderBy(*order, ident).rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = scored.withColumn("ok", F.coalesce(accept, F.lit(False))).withColumn("taken", F.sum(F.col("ok").cast("int")).over(seen))
-    status = F.when(F.col("ok") & (F.col("taken") <= k), "sampled").when(~F.col("ok") & (F.col("taken") < k), "filtered")
-    return rows.withColumn("status", status).filter("status is not null").drop("ok", "taken")
+def audited(scored: DataFrame, k: int, score: str, accept: Column, ident: str = "vec_id") -> DataFrame:
+    """Rows that a scan down the scores looks at until it has k: status sampled or filtered.
+
+    The k-th accepted row of each class, found by the capped sampler, says where the scan ends.
+    """
+    rows = scored.withColumn("status", F.when(F.coalesce(accept, F.lit(False)), "sampled").otherwise("filtered"))
+    last = sample(rows, k, [F.desc(score)], F.col("status") == "sampled", ident=ident).filter(F.col("rank") == k)
+    last = last.select("label", F.col(score).alias("_s"), F.col(ident).alias("_i"))
+    seen = F.col("_i").isNull() | (F.col(score) > F.col("_s")) | ((F.col(score) == F.col("_s")) & (F.col(ident) <= F.col("_i")))
+    return rows.join(last, "label", "left").filter(seen).drop("_s", "_i")
 
 
 def near_duplicates(features: DataFrame, threshold: float = NEAR_DUPLICATE, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -69,7 +73,7 @@ def near_duplicates(features: DataFrame, threshold: float = NEAR_DUPLICATE, iden
     """
     rows = features.select("label", F.col(ident).alias("id"), F.col(vector).alias("v"))
     sizes = rows.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    dealt = rows.join(F.broadcast(sizes), "label").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = rows.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("label", "id", "v", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from seamline.operators import learning as L
 from seamline.operators import matching as M
 from seamline.operators.sampling import few_shot
-from seamline.plans.common import table
+from seamline.plans.common import scratch, table
 from seamline.plans.text_queries import phrase_sql, synonyms
 from seamline.plans.vector_queries import SPLIT_SQL, features
 
@@ -21,14 +19,6 @@ def query(f):
     return f
 
 
-def _scratch(spark) -> str:
-    """A new folder that all executors share."""
-    import uuid
-
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="seamline-")
-    return f"{at.rstrip('/')}/seamline/{uuid.uuid4().hex}"
-
-
 @query
 def linear_probe(spark, sf_dir):
     """Predictions for all rows of a probe trained on 16 rows of each class."""
@@ -49,17 +39,12 @@ def source_classifier(spark, sf_dir):
     return L.probe(L.fit_probe(rows, label="source"), rows).select("vec_id", "source", "pred")
 
 
-@query
-def mixup_rows(spark, sf_dir):
-    return L.mixed_pairs(table(spark, sf_dir, "embeddings"), 0.7).select("vec_id", "label", "other_label", F.round(F.col("embedding")[0], 6).alias("head"))
-
-
 @query
 def incremental_mining(spark, sf_dir):
     """Documents mined as a stream, to a table; the same rows as the batch form without attribution."""
     from seamline.streaming.incremental import mined_stream, run_once
 
-    at = _scratch(spark)
+    at = scratch(spark)
     docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*")
     timed = docs.withColumn("ts", F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(secs=F.pmod("doc_id", F.lit(60))))
     run_once(mined_stream(timed, M.phrases_of(synonyms(spark)), ["doc_id"], "ts"), f"{at}/mined", f"{at}/state")
@@ -79,7 +64,7 @@ def split_round_trip(spark, sf_dir):
     from seamline.plans.vector_queries import split
     from seamline.sources.files import read_split, write_split
 
-    at = _scratch(spark)
+    at = scratch(spark)
     write_split(split(spark, sf_dir), f"{at}/split")
     return read_split(spark, [(f"{at}/split", "images")])
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seamline.functions import vectors as V
 from seamline.operators import sampling as S
 from seamline.plans.common import table
+from seamline.sources.files import numbered
 
 QUERIES, ORACLES = {}, {}
 K, SHOWN = 10, 4
@@ -144,7 +145,7 @@ def t2t_rank_i2i_tshd(spark, sf_dir):
 (SELECT *, sum(ok::INT) OVER (PARTITION BY label ORDER BY sim DESC, vec_id ROWS UNBOUNDED PRECEDING) AS taken FROM (SELECT t2t.*, embedding[1] >= 0 AS ok FROM t2t JOIN embeddings USING (vec_id)))) WHERE status IS NOT NULL"""
 )
 def sample_audit(spark, sf_dir):
-    out = S.audited(t2t(spark, sf_dir), 5, [F.desc("sim")], F.col("embedding")[0] >= 0)
+    out = S.audited(t2t(spark, sf_dir), 5, "sim", F.col("embedding")[0] >= 0)
     return out.select("label", "vec_id", "status", F.format_string("%.6f", "sim").alias("line"))
 
 
@@ -164,7 +165,7 @@ def random_topk_tail_head(spark, sf_dir):
     """Only classes with fewer than 50 rows keep the threshold."""
     scored = S.prompt_score(features(spark, sf_dir), prompts(spark, sf_dir), "embedding", "sim2")
     counts = scored.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    rows = scored.join(F.broadcast(counts), "label")
+    rows = scored.join(counts, "label")
     out = S.sample(rows, K, [F.md5(F.concat(F.lit("3|"), F.col("vec_id").cast("string")))], (F.col("n") >= 50) | (F.col("sim2") >= S.IMAGE_TEXT))
     return out.select("label", "vec_id", F.col("rank").cast("long").alias("rank"))
 
@@ -225,12 +226,12 @@ SELECT CAST(b AS INTEGER) AS batch, CAST(s AS INTEGER) AS slot, path FROM slots
 def ratio_batches(spark, sf_dir):
     """20 batches of 32: 9 few-shot rows each, the rest retrieved; a part that runs out starts anew."""
     rows = split(spark, sf_dir)
-    order = S.W.partitionBy("source").orderBy(F.md5("path"), "path")
-    placed = rows.withColumn("k", F.row_number().over(order) - 1)
-    sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    placed = numbered(rows.withColumn("h", F.md5("path")), "source", "h", "path")
+    sizes = placed.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("low"))  # two rows
+    placed = placed.join(F.broadcast(sizes.select("source", "low")), "source").withColumn("k", F.col("row") - F.col("low"))
     slots = spark.range(20 * 32, numPartitions=1).select((F.col("id") / 32).cast("int").alias("batch"), (F.col("id") % 32).cast("int").alias("slot"))
     slots = slots.withColumn("source", F.when(F.col("slot") < 9, 1).otherwise(0)).withColumn("place", F.when(F.col("slot") < 9, F.col("batch") * 9 + F.col("slot")).otherwise(F.col("batch") * 23 + F.col("slot") - 9))
-    return slots.join(F.broadcast(sizes), "source").withColumn("k", (F.col("place") % F.col("n")).cast("int")).join(placed, ["source", "k"]).select("batch", "slot", "path")
+    return slots.join(F.broadcast(sizes), "source").withColumn("k", F.col("place") % F.col("n")).join(placed, ["source", "k"]).select("batch", "slot", "path")
 
 
 @query("SELECT DISTINCT doc_id FROM (SELECT doc_id FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id FROM labels WHERE quality = 1)")
@@ -249,10 +250,3 @@ def set_intersect(spark, sf_dir):
 def set_except(spark, sf_dir):
     a, b = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id"), table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
     return a.subtract(b)
-
-
-@query("SELECT label, vec_id, CAST(1 + vec_id % 4 AS INTEGER) AS place FROM embeddings")
-def random_prompt_index(spark, sf_dir):
-    """The place of the prompt that a row is shown with, from an array of its class's prompts."""
-    places = F.array(*[F.lit(k) for k in range(1, 5)])
-    return table(spark, sf_dir, "embeddings").select("label", "vec_id", F.element_at(places, (F.lit(1) + F.pmod("vec_id", F.lit(4))).cast("int")).alias("place"))
