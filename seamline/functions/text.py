@@ -33,7 +33,7 @@ def trimmed(x: Column) -> Column:
 
 def _spelled(x: Column) -> Column:
     """Quotes out, hyphens and underscores to spaces."""
-    return F.translate(F.translate(x, "'\"", ""), "-_", "  ")
+    return F.translate(x, "-_'\"", "  ")
 
 
 def clean_name(x: Column, squeeze: bool = True) -> Column:
@@ -57,9 +57,13 @@ def tokens(x: Column) -> Column:
     return F.filter(F.split(folded(x), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def spaced(x: Column) -> Column:
-    """The tokens with a space around each, as of padded(tokens(x)), in one pass."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(folded(x), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+def spaced_caption(x: Column) -> Column:
+    """padded(tokens(caption(x))) in one pass of each kind."""
+    low = F.lower(F.when(F.coalesce(x, F.lit("")) == "", F.lit("N.A.")).otherwise(x))
+    plain = F.translate(low, "-_'\"", "  ")
+    marks = F.translate(low, "-_" + MARKED + "'\"", "  " + PLAIN)
+    one = F.when(F.octet_length(low) == F.char_length(low), plain).otherwise(marks)
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(one, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
 def padded(words: Column) -> Column:

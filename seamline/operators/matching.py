@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seamline.functions.text import caption, clean_name, padded, spaced, tokens, unpunctuated, word_set
+from seamline.functions.text import caption, clean_name, padded, spaced_caption, tokens, unpunctuated, word_set
 
 #: A synonym table of more rows isn't broadcast; the token join is then an ordinary one.
 MAX_BROADCAST_SYNONYMS = 200_000
@@ -54,15 +54,14 @@ def matches(captions: DataFrame, phrases: DataFrame, keys: list[str], text: str
     firsts = [r[0] for r in sought.select("first").distinct().limit(MAX_LISTED_TOKENS + 1).collect()]
     if sought.limit(MAX_BROADCAST_SYNONYMS + 1).count() <= MAX_BROADCAST_SYNONYMS:
         sought = F.broadcast(sought)
-    texts = captions.select(*keys, caption(F.col(text)).alias("text")).withColumn("hay", spaced(F.col("text")))
-    words = F.array_distinct(F.split(F.trim("hay"), " "))
-    if len(firsts) <= MAX_LISTED_TOKENS:
-        words = F.array_intersect(words, F.array(*[F.lit(t) for t in firsts]).cast("array<string>"))
-    # an outer explode: no filter is inferred from it that would work the tokens out again
+    # never null, and an outer explode: no filter is inferred that would work out a text's tokens again
+    texts = captions.select(*keys, F.col(text).alias("text"), F.coalesce(spaced_caption(F.col(text)), F.lit("")).alias("hay"))
+    words = F.split("hay", " ")
+    words = F.array_intersect(words, F.array(*[F.lit(t) for t in firsts]).cast("array<string>")) if len(firsts) <= MAX_LISTED_TOKENS else F.array_distinct(words)
     rows = texts.select(*keys, "text", "hay", F.explode_outer(words).alias("first"))
     found = rows.join(sought, "first").filter(F.contains("hay", "phrase"))
     found = found.filter(F.col("extra").isNull() | F.contains("hay", F.concat(F.lit(" "), F.col("extra"), F.lit(" "))))
-    return found.select(*keys, "text", "class_id", "synonym", "prio")
+    return found.select(*keys, caption(F.col("text")).alias("text"), "class_id", "synonym", "prio")
 
 
 def attributed(found: DataFrame, keys: list[str]) -> DataFrame:
