@@ -119,3 +119,48 @@ def yes_or_no(x: Column) -> Column:
     """Booleans as people write them; anything else is an error."""
     low = F.lower(trimmed(x))
     return F.when(low.isin("yes", "true", "t", "y", "1"), F.lit(True)).when(low.isin("no", "false", "f", "n", "0"), F.lit(False)).when(x.isNotNull(), F.raise_error(F.concat(F.lit("not a boolean: "), x)).cast("boolean"))
+
+
+def shown_number(x: Column, digits: int = 4) -> Column:
+    """A rounded number without trailing zeros, but with one digit after the point."""
+    return F.regexp_replace(F.format_string(f"%.{digits}f", F.round(x, digits)), r"(\.\d+?)0+$", "$1")
+
+
+def audit_line(score: Column, threshold: Column | None, path: Column, text: Column, second: Column | None = None, second_threshold: Column | None = None) -> Column:
+    """"score/threshold[, second/threshold], path, caption" of a row that a sampler looked at."""
+
+    def of(x: Column, limit: Column | None) -> Column:
+        return F.concat_ws("/", shown_number(x), *([] if limit is None else [shown_number(limit, 6)]))
+
+    return F.concat_ws(", ", of(score, threshold), *([] if second is None else [of(second, second_threshold)]), path, text)
+
+
+def with_attribute(template: Column, name: Column, attribute: Column) -> Column:
+    """A prompt that says what a thing is and has."""
+    return F.concat_ws(" ", from_template(template, name), F.replace(attribute, F.lit("Has"), F.lit("has")))
+
+
+def regrouped_path(path: Column, parts: dict[str, str]) -> Column:
+    """"split/class/name_id.ext" to "new split/class_id.ext"; a split that isn't listed is an error."""
+    piece = F.split(path, "/")
+    new = F.try_element_at(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]), piece[0])
+    known = F.coalesce(new, F.raise_error(F.concat(F.lit("unknown part: "), piece[0])).cast("string"))
+    return F.concat(known, F.lit("/"), piece[1], F.lit("_"), F.element_at(F.split(piece[2], "_"), -1))
+
+
+def path_and_name(line: Column) -> Column:
+    """(path, name): the first word of a line, and the rest."""
+    parts = F.split(line, " ", 2)
+    return F.struct(parts[0].alias("path"), F.get(parts, F.lit(1)).alias("name"))
+
+
+def model_parts(config: Column) -> Column:
+    """(architecture, family, pretraining) of names joined by underscores; the last may be missing."""
+    parts = F.split(config, "_", 3)
+    return F.struct(*[F.get(parts, F.lit(k)).alias(n) for k, n in enumerate(("architecture", "family", "pretraining"))])
+
+
+def question(kind: Column, name: Column, templates: dict[str, str], default: str) -> Column:
+    """A question about a name by its kind of set."""
+    own = F.try_element_at(F.create_map(*[F.lit(x) for kv in templates.items() for x in kv]), kind)
+    return from_template(F.coalesce(own, F.lit(default)), name)

@@ -144,7 +144,7 @@ def weight_ensemble(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     keyed = exemplars(e.withColumn("embedding", F.struct("vec_id", "embedding")), 4)
     first = keyed.groupBy("label").agg(F.min_by("ex", "ex.vec_id").alias("m")).select("label", F.col("m.embedding").alias("other"))
-    w = prompts(spark, sf_dir).join(F.broadcast(first), "label").select("label", V.blended(F.col("vec"), F.transform("other", lambda x: x.cast("double")), 0.5).alias("vec"))
+    w = prompts(spark, sf_dir).join(first, "label").select("label", V.blended(F.col("vec"), F.transform("other", lambda x: x.cast("double")), 0.5).alias("vec"))
     return E.predicted(E.logits(e, w)).select("vec_id", "label", "pred")
 
 
@@ -227,23 +227,6 @@ def confidence_mask(spark, sf_dir):
     return predictions(spark, sf_dir).withColumn("confidence", p).filter("confidence >= 0.5").select("vec_id", "label", "pred", "confidence")
 
 
-@query(
-    PROMPTS
-    + f""", cx AS (SELECT a.vec_id, a.label, b.vec_id AS other, list_transform(a.embedding, lambda x: x::DOUBLE) AS x, list_transform(b.embedding, lambda x: x::DOUBLE) AS y FROM embeddings a JOIN (SELECT label, ex_id AS vec_id, ex AS embedding FROM ex) b ON a.label = b.label AND a.vec_id <> b.vec_id),
-cy AS (SELECT vec_id, label, list_sum(list_transform(x, lambda v: exp(v))) AS zx, {DOT.format(a="x", b="y")} AS xy, list_sum(y) AS sy FROM cx)
-SELECT vec_id, label, round(avg(ln(zx) * sy - xy), 6) AS ce FROM cy GROUP BY ALL"""
-)
-def crossentropy_rank(spark, sf_dir):
-    """The mean of cross-entropies between a row's vector, read as logits, and its class's exemplars, read as targets."""
-    from seamline.operators.sampling import exemplars
-
-    e = table(spark, sf_dir, "embeddings")
-    shown = exemplars(e.withColumn("embedding", F.struct("vec_id", "embedding")), 4).select("label", F.col("ex.vec_id").alias("other"), F.transform("ex.embedding", lambda x: x.cast("double")).alias("y"))
-    rows = e.join(F.broadcast(shown), "label").filter("vec_id <> other").withColumn("x", F.transform("embedding", lambda v: v.cast("double")))
-    ce = V.log_sum_exp(F.col("x")) * F.aggregate("y", F.lit(0.0), lambda s, v: s + v) - V.dot(F.col("x"), F.col("y"))
-    return rows.groupBy("vec_id", "label").agg(F.round(F.avg(ce), 6).alias("ce"))
-
-
 @query(LOGITS + "SELECT vec_id, label, c AS best FROM lg WHERE vec_id IN (SELECT ex_id FROM ex) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, c) = 1 AND c = label")
 def self_classify_synonyms(spark, sf_dir):
     """Names kept because their own class is the most similar one; exemplars play the names' part."""

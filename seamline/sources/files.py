@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -115,8 +116,118 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
 
     Rows are sorted in ranges; each range's size gives the next one's first number.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number, which stays as it is at run time
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
     ranged = ranged.withColumn("_in", F.col("_m") - F.shiftleft(F.col("_p").cast("long"), 33))
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
     firsts = sizes.select("_p", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_first"))
     return ranged.join(F.broadcast(firsts), "_p").withColumn("row", F.col("_first") + F.col("_in")).drop("_p", "_m", "_in", "_first")
+
+
+RUN_KEYS = ("dataset", "method", "datasource", "shots", "seed")
+
+
+def metrics_file(folder: str, dataset: str, kind: str | None = None) -> str:
+    """The path of a dataset's metrics; kind: a variant such as "query" or "coarse"."""
+    return f"{folder.rstrip('/')}/{dataset}/{dataset}_metrics{'_' + kind if kind else ''}.json"
+
+
+def read_config(spark: SparkSession, path: str) -> dict[str, str]:
+    """The "key: value" lines of a small settings file."""
+    pair = F.split("value", r":\s*", 2)
+    rows = spark.read.text(path).filter(F.col("value").rlike(r"^\s*[\w-]+\s*:") & ~F.col("value").rlike(r"^\s*#")).limit(1000)
+    return {r.k: r.v for r in rows.select(F.trim(pair[0]).alias("k"), F.regexp_replace(F.trim(pair[1]), r"^['\"]|['\"]$", "").alias("v")).collect()}
+
+
+def write_ordered_split(rows: DataFrame, path: str, place: str, mode: str = "errorifexists") -> None:
+    """"path label source" lines by label; rows of a label stay in the order of their place in the input."""
+    lines = rows.sort("label", place).select(F.concat_ws(" ", "path", F.col("label").cast("string"), F.col("source").cast("string")).alias("value"))
+    lines.write.mode(mode).text(path)
+
+
+def tagged_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    """(path, label) of "path label" lines whose paths may have spaces: the label is the last word, and a path ends at ".JPG " if it has that."""
+    cut = F.regexp_extract(F.trim(value), r"^(.*\.JPG)\s+(-?\d+)$", 1)
+    path = F.when(cut != "", cut).otherwise(F.regexp_extract(F.trim(value), r"^(.*?)\s+(-?\d+)$", 1))
+    return lines.select(path.alias("path"), F.regexp_extract(F.trim(value), r"\s(-?\d+)$", 1).cast("int").alias("label"))
+
+
+def with_pseudo_labels(labelled: DataFrame, pseudo: DataFrame) -> DataFrame:
+    """Labelled rows, then rows with labels that a model gave; is_pseudo tells them apart."""
+    return labelled.select("path", "label", F.lit(False).alias("is_pseudo")).unionByName(pseudo.select("path", "label", F.lit(True).alias("is_pseudo")))
+
+
+def write_lines(rows: DataFrame, path: str, *order: str, line: str = "line", mode: str = "errorifexists") -> None:
+    """Text lines in an order."""
+    rows.sort(*order).select(F.col(line).alias("value")).write.mode(mode).text(path)
+
+
+def write_audit(rows: DataFrame, folder: str, prefix: str, *order: str) -> None:
+    """Two lists of lines: what a sampler took, and what it passed over on the way."""
+    for status in ("sampled", "filtered"):
+        write_lines(rows.filter(F.col("status") == status), f"{folder.rstrip('/')}/{prefix}_{status}_list", *order)
+
+
+def write_counts_json(counts: DataFrame, path: str, label: str = "label", n: str = "n", mode: str = "errorifexists") -> None:
+    """One JSON object of counts by class, classes in order; a class dimension, so one row."""
+    counts_json(counts, label, n).select("json").write.mode(mode).text(path)
+
+
+def counts_json(counts: DataFrame, label: str = "label", n: str = "n") -> DataFrame:
+    entries = F.array_sort(F.collect_list(F.struct(F.col(label).cast("int").alias("k"), F.col(n).cast("long").alias("v"))))
+    return counts.agg(F.to_json(F.map_from_entries(F.transform(entries, lambda e: F.struct(e["k"].cast("string").alias("key"), e["v"].alias("value"))))).alias("json"))
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Rows added to a CSV log with a header in each of its files."""
+    rows.write.mode("append").option("header", True).csv(path)
+
+
+def write_scores(scores: DataFrame, root: str, run: dict[str, object], mode: str = "errorifexists") -> None:
+    """Scores of a run as JSON lines, in folders named for the run's keys."""
+    keyed = scores.withColumns({k: F.lit(run[k]) for k in RUN_KEYS})
+    keyed.write.mode(mode).partitionBy(*RUN_KEYS).json(root)
+
+
+def read_scores(spark: SparkSession, root: str, **run: object) -> DataFrame:
+    """Scores of the runs with these keys; only their folders are read."""
+    schema = "class_id int, recall double, precision double, f1 double, dataset string, method string, datasource string, shots int, seed int"
+    rows = spark.read.schema(schema).json(root)
+    return rows.filter(reduce(lambda a, b: a & b, [F.col(k) == F.lit(v) for k, v in run.items()], F.lit(True)))
+
+
+def write_confusion(cells: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """A sparse confusion table (label, pred, n)."""
+    cells.select("label", "pred", "n").write.mode(mode).parquet(path)
+
+
+def write_predictions(rows: DataFrame, path: str, *order: str, mode: str = "errorifexists") -> None:
+    """"pred max_logit" lines in the order of the rows that they are for."""
+    rows.sort(*order).select("pred", "max_logit").write.mode(mode).option("sep", " ").csv(path)
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("pred int, max_logit double").option("sep", " ").csv(path)
+
+
+def write_caption_map(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """(class_id, img_id, caption), a folder for each class."""
+    rows.select("class_id", "img_id", "caption").write.mode(mode).partitionBy("class_id").parquet(path)
+
+
+def append_features(rows: DataFrame, path: str) -> None:
+    """A chunk of stored vectors (path, label, image_vec, caption_vec), added to those that are there."""
+    rows.select("path", "label", "image_vec", "caption_vec").write.mode("append").parquet(path)
+
+
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("path string, label int, image_vec array<float>, caption_vec array<float>").parquet(path)
+
+
+def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame], again: bool = False) -> DataFrame:
+    """The table stored at a path; made and stored first if it isn't there, or again."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    done = at.suffix("/_SUCCESS")
+    if again or not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -36,7 +36,7 @@ def test_sampler_boundaries(spark):
 
 def test_audit_equals_a_scan(spark):
     df, v = embeddings(spark)
-    rows = S.audited(df.withColumn("sim", F.round(F.col("embedding")[0].cast("double"), 6)), 5, [F.desc("sim")], F.col("embedding")[1] >= 0).collect()
+    rows = S.audited(df.withColumn("sim", F.round(F.col("embedding")[0].cast("double"), 6)), 5, "sim", F.col("embedding")[1] >= 0).collect()
     got = {(r.vec_id, r.status) for r in rows}
     want = set()
     for label in (0, 1):
