@@ -9,7 +9,8 @@ Scripts, styles, comments and other raw elements are no blocks; drawings, select
 objects are skipped as far as the element reaches, which is nothing if it closes itself. Character references are decoded once, white space
 inside a block becomes one space, and the main blocks are joined in page order by one space.
 
-Defined results: a null or empty html, or one without text, gives an empty text; broken markup is read as far as tags can
+Defined results: a null or empty html, or one without text, gives an empty text; very long pages are read whole, a batch
+of them at a time; of two pages that differ only in what is skipped the texts are equal; broken markup is read as far as tags can
 be told; a "<" that begins no tag is text; repeated rows give equal texts; an empty table gives an empty result; other
 columns stay, but text and n_chars are replaced.
 """
@@ -31,7 +32,7 @@ from seamline.llm.shingles import byte_slices
 
 #: The field is fitted on at most so many labelled pages.
 MAX_LABELLED = 2_000
-GENERATED = 500
+GENERATED = 700
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,7 +56,7 @@ SKIPPED = frozenset("noscript template svg select object canvas".split())
 PART_OF = {word: part for part, words in NAME_PARTS.items() for word in words.split()}
 
 _TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|iframe|textarea|title)\b(?P<attributes>(?:"[^"]*"|'[^']*'|[^'">])*+|[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<more>(?:"[^"]*"|'[^']*'|[^'">])*+|[^>]*)>""",
+    r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|iframe|textarea|title)(?=[\s/>])(?P<attributes>(?:"[^"]*"|'[^']*'|[^'">])*+|[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<more>(?:"[^"]*"|'[^']*'|[^'">])*+|[^>]*)>""",
     re.IGNORECASE | re.DOTALL,
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
@@ -91,7 +92,7 @@ def blocks_of(page: str) -> list[tuple[str, frozenset[str], int]]:
     def close() -> None:
         nonlocal links
         if pieces:
-            text = " ".join(html.unescape("".join(pieces)).split())
+            text = " ".join("".join(pieces).split())
             if text:
                 out.append((text, around.features, links))
             pieces.clear()
@@ -111,7 +112,7 @@ def blocks_of(page: str) -> list[tuple[str, frozenset[str], int]]:
             if not piece.strip():
                 return
             around = next(n for n in reversed(stack) if n.name not in INLINE)
-        pieces.append(piece)
+        pieces.append(html.unescape(piece))  # a reference doesn't reach over tags
         if in_link:
             links += len(piece)
 
@@ -312,10 +313,10 @@ def generated_pages(n: int = GENERATED, seed: int = 5) -> list[tuple[str, str]]:
     def other(kind: str) -> str:
         prose = f"<p>{sentences(1, 3)}</p>" if rng.random() < 0.6 else sentences(1, 2)
         return {
-            "nav": lambda: f"<nav><ul>{links(rng.randint(3, 8))}</ul></nav>",
-            "menu": lambda: boxed("menu navbar breadcrumb topbar", f"<ul>{links(rng.randint(2, 6))}</ul>"),
+            "nav": lambda: rng.choice([f"<nav><ul>{links(rng.randint(3, 8))}</ul></nav>", f"<ul>{links(rng.randint(3, 8))}</ul>", f"<table><tr>{links(4).replace('li>', 'td>')}</tr></table>"]),
+            "menu": lambda: rng.choice([boxed("menu navbar breadcrumb topbar", f"<ul>{links(rng.randint(2, 6))}</ul>"), f"<div>{' | '.join(f'<a href=/{k}>{words(1, 2)}</a>' for k in range(rng.randint(2, 6)))}</div>"]),
             "header": lambda: f"<header><div>{words(1, 4)}</div><p>{words(3, 8)}</p></header>",
-            "footer": lambda: rng.choice([f"<footer>&copy; {words(1, 3)} &middot; {sentences(1, 2)}</footer>", f"<footer><p>{sentences(1, 2)}</p><ul>{links(3)}</ul></footer>"]),
+            "footer": lambda: rng.choice([f"<footer>&copy; {words(1, 3)} &middot; {sentences(1, 2)}</footer>", f"<footer><p>{sentences(1, 2)}</p><ul>{links(3)}</ul></footer>", f"<{(tag := rng.choice(['div', 'p', 'td']))}>Copyright {rng.randint(1996, 2030)} {words(1, 4, '.')} {words(1, 5, '.')}</{tag}>", f"<div><a href=/a>{words(1, 2)}</a> &copy; {words(1, 4)}</div>"]),
             "side": lambda: rng.choice([f"<aside><h3>{words(1, 3)}</h3>{prose}<ul>{links(4)}</ul></aside>", boxed("sidebar widget related popular", f"<h4>{words(1, 3)}</h4>{prose}")]),
             "ad": lambda: boxed("ad ads advert sponsored promo", prose),
             "note": lambda: boxed("cookie-notice consent notice alert gdpr", prose + f"<button>{words(1, 2)}</button>"),
@@ -350,13 +351,20 @@ def generated_pages(n: int = GENERATED, seed: int = 5) -> list[tuple[str, str]]:
                 main += items
             if rng.random() < 0.05:
                 inner += other(rng.choice(["ad", "note", "side"]))
-        shell = rng.random()
-        if shell < 0.55:
+        shell, plain = rng.random(), f'class="{words(1, 2).lower()}"'
+        if shell < 0.4:
             inner = f"<article>{inner}</article>"
-        elif shell < 0.7:
+        elif shell < 0.5:
             inner = f"<main>{inner}</main>"
-        elif shell < 0.9:
+        elif shell < 0.65:
             inner = f'<div class="{rng.choice(["content", "post", "entry-content", "story", "article-body"])}">{inner}</div>'
+        elif shell < 0.75:
+            inner = f"<div>{inner}</div>"
+        elif shell < 0.82:
+            inner = f"<div {plain}><section>{inner}</section></div>"
+        elif shell < 0.92:
+            cells = inner.replace("<p>", "<td>").replace("</p>", "</td>") if rng.random() < 0.3 else f"<td>{inner}</td>"
+            inner = f"<table {plain}><tr>{cells}</tr></table>"
         before = [other(x) for x in rng.sample(["nav", "menu", "header", "note", "ad", "form"], rng.randint(1, 4))]
         behind = [other(x) for x in rng.sample(["side", "ad", "talk", "form", "note"], rng.randint(0, 4))] + [other("footer")] * (rng.random() < 0.9)
         head = f"<head><title>{title}</title><style>p{{}}</style><script>var x='</p>';</script></head>"
