@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,10 @@ MIN_COSINE = 0.15
 VERBATIM, PARAPHRASE, ANSWER_SHARE, ANSWERS = 0.7, 0.5, 0.9, 0.25
 #: Below so many words an item counts as found only nearly whole.
 SHORT, SHORT_SHARE = 8, 0.9
-#: The benchmark is read by the driver and sent to all tasks; a larger one is to be checked in parts.
-MAX_ITEMS = 100_000
+#: The benchmark is read by the driver and sent to all tasks; a larger one is checked in parts of so many items or bytes.
+PART_ITEMS, PART_BYTES = 10_000, 2 << 20
+#: Benchmark pieces that passages are compared with at once.
+PIECES_AT_ONCE = 4096
 #: Share of an item's words, beyond those that a match may leave out, by which the exact way seeks it.
 SOUGHT = 0.2
 #: Postings, or chunks x items, that are added up at once.
@@ -319,10 +322,20 @@ def common_subsequence(item: np.ndarray, words: np.ndarray) -> int:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, common_words, item_words, cosine, first_word): a row for each row of docs and item found in it."""
-    rows = benchmark.select(F.col(item_id).cast("long").alias("i"), F.lower(whole(item_text)).alias("t")).limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} benchmark items: check them in parts")
+    """(doc_id, item_id, common_words, item_words, cosine, first_word): a row for each row of docs and item found in it.
+
+    A benchmark of any size: its parts are checked one after the other, each against all documents. Which items match
+    doesn't hang on the parts, as the exact way finds every match.
+    """
+    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.lower(whole(item_text)).alias("t"))
+    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    parts = max(1, math.ceil(n / PART_ITEMS), math.ceil(size / PART_BYTES))
+    own = F.pmod(F.xxhash64("i", "t"), F.lit(parts))
+    return reduce(DataFrame.unionByName, [_contaminated(docs, items.filter(own == k).collect(), doc_id, text) for k in range(parts)])
+
+
+def _contaminated(docs: DataFrame, rows: list, doc_id: str, text: str) -> DataFrame:
+    """The same for a part of the benchmark: rows of (i, t)."""
     terms = Terms(sorted(((r.i, r.t.encode()) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
     schema = "doc_id long, item_id long, common_words int, item_words int, cosine double, first_word long"
     if not len(terms.known):
@@ -383,19 +396,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                 best: dict[tuple[int, int], list] = {}
                 near = np.flatnonzero(p.within >= MIN_COSINE**2 * p.squared) if len(pieces) else np.zeros(0, np.int64)
                 if len(near):
-                    cosine = _projected(p, weight, basis)[near] @ pieces.T / np.sqrt(np.maximum(p.squared[near], 1e-9))[:, None]
-                    row, column = np.nonzero(cosine >= MIN_COSINE)
-                    for r, c in zip(row.tolist(), column.tolist()):
+                    projected = _projected(p, weight, basis)[near] / np.sqrt(np.maximum(p.squared[near], 1e-9))[:, None]
+                    met = []
+                    for c in range(0, len(pieces), PIECES_AT_ONCE):
+                        cosine = projected @ pieces[c : c + PIECES_AT_ONCE].T
+                        row, column = np.nonzero(cosine >= MIN_COSINE)
+                        met += zip(row.tolist(), (column + c).tolist(), cosine[row, column].tolist())
+                    for r, c, likeness in sorted(met):
                         at, k, doc = near[r], int(item[c]), int(p.doc[near[r]])
                         if (doc, k) in best:
-                            best[doc, k][2] = max(best[doc, k][2], float(cosine[r, c]))
+                            best[doc, k][2] = max(best[doc, k][2], likeness)
                             continue
                         own = len(whole_items[k])
                         a = max(first[doc], p.start[at] - own)
                         b = min(first[doc + 1], p.start[at] + WINDOW + own)
                         common = found_in(words[a:b], k, state)
                         if common is not None:
-                            best[doc, k] = [common, own, float(cosine[r, c]), int(a - first[doc])]
+                            best[doc, k] = [common, own, likeness, int(a - first[doc])]
                 number = terms.number(words)
                 for table in rarest:
                     for doc, k, low_word, high_word in table.candidates(number, first):

@@ -174,11 +174,13 @@ def test_decontamination(spark, docs):
 def test_url_forms_agree(spark):
     rules = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("allow", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
     urls = [None, "", "no scheme", "http://", "HTTP://WWW.Example.ORG/es/1?x#y", "a://example.org", "a://example.org?x/es/", "b://x.com/de/2#/fr/", "c://com/fr/", "c://É.org/", "x://y://z.org/"]
-    df = spark.createDataFrame([(k, u, 1) for k, u in enumerate(urls)], "page_id long, url string, rule int")
+    urls.append("http://a.b.example.org/" + "x/" * 3000 + "?q")
+    df = spark.createDataFrame([(k, u, 1, 2) for k, u in enumerate(urls)], "page_id long, url string, rule int, _j int")
     a = url_filter.judge_urls(df, rules)
-    b = url_filter.judge_urls(df, rules, max_trie_rules=0)
+    b = url_filter.judge_urls(df, rules, max_trie_bytes=0)
     pick = lambda x: {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in x.collect()}
-    assert pick(a) == pick(b)
+    assert pick(a) == pick(b) and a.columns == ["page_id", "url", "rule", "_j", "host", "path", "verdict"] == b.select(*a.columns).columns
+    assert {r._j for r in a.collect()} == {r._j for r in b.collect()} == {2}
     assert pick(a)[4] == ("www.example.org", "/es/1", "example.org/es/", "block") and pick(a)[0] == ("", "", None, "allow")
     assert pick(a)[6] == ("example.org", "", None, "allow") and pick(a)[9][0] == "É.org"
     assert url_filter.judge_urls(df.limit(0), rules).count() == 0
@@ -447,6 +449,58 @@ def test_decontamination_by_a_large_benchmark(spark):
     assert got == {(k, k) for k in range(0, 4000, 80)}
 
 
+def plain_match(item, words, answers):
+    """The longest common subsequence's share of the item in the window, or None where that is no match."""
+    from .test_small import plain_lcs
+
+    common = plain_lcs(item, words)
+    share = common / len(item)
+    if len(item) < decontamination.SHORT:
+        return common if share >= decontamination.SHORT_SHARE else None
+    met = sum(w in words for w in answers) / len(answers)
+    return common if share >= decontamination.VERBATIM or share >= decontamination.PARAPHRASE and met >= decontamination.ANSWER_SHARE else None
+
+
+def test_paraphrases_by_brute_force(spark, monkeypatch):
+    """Items with words left out, put in and exchanged: every window of every document against every item, in plain Python.
+
+    The same with the benchmark in parts.
+    """
+    rng = random.Random(21)
+    vocabulary = [f"w{k}" for k in range(1500)]
+    items = [[rng.choice(vocabulary) for _ in range(rng.randint(10, 30))] for _ in range(40)]
+    rows, planted = [], {}
+    for i in range(160):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(20, 150))]
+        if i % 2 == 0:
+            k = rng.randrange(40)
+            own = [w for w in items[k] if rng.random() > rng.choice([0.05, 0.2, 0.3, 0.4])]
+            for _ in range(rng.randrange(6)):
+                own.insert(rng.randrange(len(own) + 1), rng.choice(vocabulary))
+            at = rng.randrange(len(words))
+            words[at:at] = own
+            planted[i] = k
+        rows.append((i, " ".join(words)))
+    frequency = Counter(w for _, t in rows for w in set(t.split()))
+    want = set()
+    for i, text in rows:
+        words = text.split()
+        for k, item in enumerate(items):
+            code = {w: int(c) for w, c in zip(item, decontamination._words([" ".join(item).encode()])[0].tolist())}
+            distinct = sorted(set(item), key=lambda w: (frequency[w], code[w]))
+            answers = distinct[: max(1, round(decontamination.ANSWERS * len(distinct)))]
+            for start in range(0, len(words), decontamination.STRIDE):
+                if plain_match(item, words[max(0, start - len(item)) : start + decontamination.WINDOW + len(item)], answers) is not None:
+                    want.add((i, k))
+                    break
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id) for r in decontamination.contaminated(df, bench).collect())
+    assert set(got) == want and set(got.values()) == {1} and len(want) > 40
+    monkeypatch.setattr(decontamination, "PART_ITEMS", 9)
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(df, bench).collect()} == want
+
+
 def test_decontamination_of_frequent_words(spark):
     """An item in a third of all rows has no word of weight; a long document that holds its words far apart is clean."""
     rng = random.Random(13)
