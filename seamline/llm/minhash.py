@@ -17,8 +17,9 @@ run of a table, and all coordinates of a document are one minimum over rows.
 drops one with about 1e-5. A larger similarity makes both smaller.
 
 Defined results: a null text counts as empty; documents without words have no shingles and are linked with nothing; a
-row with a null id keeps a null component and is kept; rows with the same id count as one document; ties and repeated
-rows fall into one class; an empty table gives an empty result; columns not named are dropped.
+row with a null id keeps a null component and is kept; rows with the same id count as one document, which is linked where
+one of its texts is; very long texts are shingled whole; ties and repeated rows fall into one class; an empty table gives
+an empty result; columns not named are dropped.
 """
 
 from __future__ import annotations
@@ -179,8 +180,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """(doc_id, n_shingles, component_id, kept): one row for each row of docs."""
     rows = described(docs, doc_id, text)
     classes = written(rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = rows.join(classes, (F.col("doc_id") == F.col("rep")) & (rows.digest == classes.digest)).dropDuplicates(["rep"])
-    reps = written(reps.select("rep", "n", "s1", "s2", "keys"), "reps")
+    own = classes.withColumnRenamed("digest", "_d")
+    reps = rows.join(own, (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("_d"))).dropDuplicates(["rep", "digest"])
+    reps = written(reps.select("rep", "n", "s1", "s2", "keys"), "reps")  # a row for each of the texts of an id
     banded = reps.select(F.explode("keys").alias("key"), "rep")
     sizes = written(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("low")).filter("size > 1"), "sizes")
     met = written(banded.join(sizes, "key"), "met")
@@ -192,12 +194,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     def facts(side: str) -> DataFrame:
         return reps.select(F.col("rep").alias(side), *[F.col(c).alias(side + c) for c in ("n", "s1", "s2")])
 
-    pairs = written(pairs.join(facts("a"), "a").join(facts("b"), "b").filter(_possible("a", "b")).select("a", "b"), "pairs")
+    pairs = written(pairs.join(facts("a"), "a").join(facts("b"), "b").filter(_possible("a", "b")).select("a", "b").distinct(), "pairs")
     nodes = met.select(F.col("rep").alias("node")).distinct()
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("text"))
-    texts = written(texts.join(nodes, F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"]), "texts")
-    links = written(verified(pairs, texts), "links")
-    labels = components(links)
+    texts = texts.join(nodes, F.col("doc_id") == F.col("node"), "left_semi").withColumn("_h", F.md5("text"))
+    texts = written(texts.dropDuplicates(["doc_id", "_h"]).drop("_h"), "texts")
+    links = verified(pairs, texts)
+    several = rows.filter("digest is not null and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("_a"), F.max("digest").alias("_b"))
+    several = written(several.filter("_a <> _b").select("doc_id"), "several")
+    if not several.isEmpty():  # an id with several texts links their classes
+        of_ids = rows.join(several, "doc_id").join(classes, "digest").select("doc_id", "rep").distinct()
+        least = of_ids.groupBy("doc_id").agg(F.min("rep").alias("a"))
+        links = links.union(of_ids.join(least, "doc_id").filter("a <> rep").select("a", F.col("rep").alias("b")))
+    links = written(links.distinct(), "links")
+    labels = written(components(links), "first-labels")
 
     # what leaders didn't join: members outside a bucket's largest component, against those of other components
     own = met.select("key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
@@ -218,8 +228,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     more = x.filter("xc <> xmain").join(y, (x.key == y.key) & (F.col("xc") != F.col("yc")) & once & _possible("x", "y") & enough)
     more = more.select(F.least("xrep", "yrep").alias("a"), F.greatest("xrep", "yrep").alias("b")).distinct()
     more = written(more.join(pairs, ["a", "b"], "left_anti"), "more")
-    links = links.union(verified(more, texts))
-    labels = components(written(links, "links"))
+    further = written(verified(more, texts).distinct(), "further")
+    if not further.isEmpty():  # links between components: these stand for their members
+        of = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias("c" + side))
+        between = further.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        joined = components(written(between, "between")).withColumnsRenamed({"node": "component", "component": "lowest"})
+        ends = further.select(F.col("a").alias("node")).union(further.select("b")).distinct()
+        known = labels.join(ends, "node", "full").select("node", F.coalesce("component", "node").alias("component"))
+        labels = known.join(joined, "component", "left").select("node", F.coalesce("lowest", "component").alias("component"))
 
     named = written(classes.join(labels, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("class_component")), "named")
     out = rows.select("doc_id", "digest", "n").join(named, "digest", "left")

@@ -402,6 +402,16 @@ def test_near_duplicates(docs, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    """A document of two texts links their groups, whichever text has the smaller id elsewhere."""
+    rng = random.Random(15)
+    text = lambda: " ".join(rng.choice("abcdefghijklmnopqrst") + str(rng.randrange(90)) for _ in range(40))
+    a, b, c = text(), text(), text()
+    rows = [(5, a), (5, b), (3, b + " x"), (9, a), (7, "y " + a), (8, c), (2, text()), (5, a)]
+    got = sorted({(r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()})
+    assert got == [(2, 2), (3, 3), (5, 3), (7, 3), (8, 8), (9, 3)]
+
+
 def test_near_duplicates_in_a_group_of_edits(spark):
     """Copies with edits of their own: chains of links that leaders alone don't show."""
     rng = random.Random(5)
