@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     if not further.isEmpty():  # links between components: these stand for their members
         of = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias("c" + side))
         between = further.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        joined = components(written(between, "between")).withColumnsRenamed({"node": "component", "component": "lowest"})
+        joined = components(written(between, "between")).select(F.col("node").alias("component"), F.col("component").alias("lowest"))
         ends = further.select(F.col("a").alias("node")).union(further.select("b")).distinct()
         known = labels.join(ends, "node", "full").select("node", F.coalesce("component", "node").alias("component"))
         labels = known.join(joined, "component", "left").select("node", F.coalesce("lowest", "component").alias("component"))

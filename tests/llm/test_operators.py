@@ -412,8 +412,9 @@ def test_near_duplicates_of_ids_with_several_texts(spark):
     assert got == [(2, 2), (3, 3), (5, 3), (7, 3), (8, 8), (9, 3)]
 
 
-def test_near_duplicates_in_a_group_of_edits(spark):
-    """Copies with edits of their own: chains of links that leaders alone don't show."""
+@pytest.mark.parametrize("late", ["none", "all", "some"])
+def test_near_duplicates_in_a_group_of_edits(spark, monkeypatch, late):
+    """Copies with edits of their own; also where leaders show none or few of the links, so that the rest is found late."""
     rng = random.Random(5)
     base = [f"w{rng.randrange(5000)}" for _ in range(120)]
     rows = []
@@ -422,6 +423,16 @@ def test_near_duplicates_in_a_group_of_edits(spark):
         for _ in range(rng.randrange(8)):
             own[rng.randrange(120)] = f"e{rng.randrange(30)}"
         rows.append((i, " ".join(own)))
+    calls, rounds = [], []
+    settled, possible = minhash.components, minhash._possible
+    monkeypatch.setattr(minhash, "components", lambda edges: rounds.append(1) or settled(edges))
+
+    def fewer(x, y):
+        calls.append(1)
+        hidden = {"none": F.lit(True), "all": F.lit(False), "some": F.col(f"{x}n") % 3 == 0}[late] if len(calls) == 1 else F.lit(True)
+        return possible(x, y) & hidden
+
+    monkeypatch.setattr(minhash, "_possible", fewer)
     sets = [plain_shingles(t) for _, t in rows]
     root = list(range(150))
     for a in range(150):
@@ -430,7 +441,7 @@ def test_near_duplicates_in_a_group_of_edits(spark):
                 p, q = root[a], root[b]
                 root = [min(p, q) if r in (p, q) else r for r in root]
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == dict(enumerate(root)) and 1 < len(set(root)) < 120
+    assert got == dict(enumerate(root)) and len(set(root)) < 120 and len(rounds) == 1 + (late != "none")
 
 
 def test_media(docs, none):
