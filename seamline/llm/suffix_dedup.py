@@ -43,14 +43,14 @@ from seamline.llm.shingles import mix
 
 LENGTH = 100
 GRAM = 32
-#: Bytes of segments in one BWT; one anchor has at most HOT_BYTES more.
-BLOCK_BYTES = 1 << 21
+#: Bytes of segments in one BWT, whose arrays stay in the cache; one anchor has at most HOT_BYTES more.
+BLOCK_BYTES = 1 << 18
 HOT_BYTES = 1 << 20
 #: A window of a hot anchor: its hash, its document's key, the document's number in its cell and its start.
 WINDOW_ROW = np.dtype([("high", "<u8"), ("low", "<u8"), ("key", "<i8"), ("ordinal", "<i4"), ("start", "<i4")])
 PLACE_BITS = 28
-#: Bytes whose anchors are worked out at once.
-PIECE = 1 << 24
+#: Bytes whose anchors are worked out at once: arrays that stay in the cache.
+PIECE = 1 << 18
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _LAST = np.iinfo(np.int64).max
 
