@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seamline.llm import decontamination, flac, html_text, minhash, secrets, shingles, suffix_dedup
@@ -344,3 +345,15 @@ def test_html_references_and_names():
     assert texts("<p>A&am<b>p;</b>B &lt;b&gt;</p>") == ["A&amp;B <b>"]
     assert texts("<p>x</p><title-bar>y</title-bar><p>z</p><style-guide>q</style-guide>") == ["x", "y", "z", "q"]
     assert texts("<style>a</style><p>b</p><textarea rows=2>c</textarea>d") == ["b", "d"]
+
+
+def test_anchors_in_pieces(monkeypatch):
+    """Every window has the same anchor whatever the pieces."""
+    texts = [t.decode() for t in mixed_texts()] + ["", "x" * 350, "short"]
+    group = pa.table({"doc_id": list(range(len(texts))), "text": texts})
+    found = []
+    for piece in (1 << 18, 1000, 130, 1):
+        monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+        anchor, first, after = suffix_dedup._Cell(group, "doc_id", "text").runs()
+        found.append({w: a for a, b, e in zip(anchor.tolist(), first.tolist(), after.tolist()) for w in range(b, e)})
+    assert len(found[0]) == sum(max(len(t) - 99, 0) for t in texts) and all(f == found[0] for f in found)
