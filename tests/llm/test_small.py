@@ -356,4 +356,4 @@ def test_anchors_in_pieces(monkeypatch):
         monkeypatch.setattr(suffix_dedup, "PIECE", piece)
         anchor, first, after = suffix_dedup._Cell(group, "doc_id", "text").runs()
         found.append({w: a for a, b, e in zip(anchor.tolist(), first.tolist(), after.tolist()) for w in range(b, e)})
-    assert len(found[0]) == sum(max(len(t) - 99, 0) for t in texts) and all(f == found[0] for f in found)
+    assert len(found[0]) == sum(max(len(t.encode()) - 99, 0) for t in texts) and all(f == found[0] for f in found)
