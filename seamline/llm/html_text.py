@@ -378,7 +378,7 @@ def trained(pages: list[tuple[str, str]] | None = None) -> Field:
     for page, text in (generated_pages() if pages is None else pages)[:MAX_LABELLED]:
         blocks = blocks_of(page or "")
         examples.append((features_of(blocks), labels_from_text(blocks, text or "")))
-    return fit(examples)
+    return fit(examples, steps=max(80, min(300, 56_000 // max(1, len(examples)))))  # few pages need more steps, and take less time for each
 
 
 def extract(pages: DataFrame, labelled: DataFrame | None = None, html_column: str = "html") -> DataFrame:
