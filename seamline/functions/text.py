@@ -9,18 +9,20 @@ from pyspark.sql import functions as F
 
 
 def _folding() -> tuple[str, str]:
-    """Lower-case Latin letters with marks, and their base letters: what canonical decomposition leaves without marks.
+    """Lower-case letters that are an ASCII letter with one mark, and that letter: what canonical decomposition leaves.
 
-    Letters that don't decompose (ł, ø, đ) stay. Combining marks are listed last, beyond the base letters, so that
-    translate() drops them.
+    Letters with two marks, and those that don't decompose (ł, ø, đ), stay. The marks themselves are listed last, beyond
+    the plain letters, so that translate() drops them.
     """
-    marked, plain = [], []
+    marked, plain, marks = [], [], set()
     for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
-        base = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if not unicodedata.combining(c))
-        if chr(code) == chr(code).lower() and len(base) == 1 and base != chr(code):
-            marked.append(chr(code))
-            plain.append(base)
-    return "".join(marked) + "".join(map(chr, range(0x300, 0x370))), "".join(plain)
+        parts = unicodedata.normalize("NFD", chr(code).casefold())
+        if parts[0].isascii() and parts[0].isalpha() and len(parts) == 1 + sum(map(bool, map(unicodedata.combining, parts))):
+            marks |= set(parts[1:])
+            if chr(code) == chr(code).lower() and len(parts) <= 2 and parts[0] != chr(code):
+                marked.append(chr(code))
+                plain.append(parts[0])
+    return "".join(marked) + "".join(sorted(marks)), "".join(plain)
 
 
 MARKED, PLAIN = _folding()
@@ -48,7 +50,7 @@ def caption(x: Column) -> Column:
 
 
 def folded(x: Column) -> Column:
-    """Lower case, marks off Latin letters, combining marks out."""
+    """Lower case, one mark off a letter, marks that stand alone out."""
     return F.translate(F.lower(x), MARKED, PLAIN)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seamline.functions.text import clean_name
 from seamline.functions.vectors import class_means, dot, log_sum_exp
+from seamline.operators.ranges import running_sums
 from seamline.operators.sampling import sample
 
 
@@ -19,24 +20,6 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(head, 16, 10).cast("double") + 0.5) / 4294967296.0
 
 
-def running_sums(df: DataFrame, group: str, order: str, **values: Column) -> DataFrame:
-    """df with each value's sum over the rows of its group that come before the row, and <name>_all over the whole group.
-
-    Rows are sorted in ranges, so no task reads a whole group; a row for each range and group carries the sums on.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.withColumns({f"_v{k}": v for k, v in enumerate(values.values())})
-    ranged = rows.repartitionByRange(parts, group, order).withColumn("_p", F.spark_partition_id())
-    sums = ranged.groupBy("_p", group).agg(*[F.sum(f"_v{k}").alias(f"_t{k}") for k in range(len(values))])
-    before = W.partitionBy(group).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(group)
-    carried = sums.select("_p", group, *[F.coalesce(F.sum(f"_t{k}").over(before), F.lit(0)).alias(f"_b{k}") for k in range(len(values))], *[F.sum(f"_t{k}").over(whole).alias(f"{n}_all") for k, n in enumerate(values)])
-    inside = W.partitionBy("_p", group).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    out = ranged.withColumns({n: F.coalesce(F.sum(f"_v{k}").over(inside), F.lit(0)) for k, n in enumerate(values)}).join(carried, ["_p", group])
-    out = out.withColumns({n: F.col(n) + F.col(f"_b{k}") for k, n in enumerate(values)})
-    return out.drop("_p", *[f"_{c}{k}" for c in "vb" for k in range(len(values))])
-
-
 def mean_cross_entropy(features: DataFrame, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """features with ce: the mean of a row's cross-entropies with all other rows of its class.
 
@@ -79,9 +62,13 @@ def gated_random(scored: DataFrame, k: int, least: int, score: str, threshold: f
 
 
 def soft_filtered(scored: DataFrame, k: int, score: str, threshold: float, exclude: DataFrame | None = None, ident: str = "vec_id") -> DataFrame:
-    """The k best rows of each class; a class of fewer than k rows only gives rows above the threshold."""
+    """Of the k best rows of each class, with rank, those that aren't excluded; a class of fewer than k rows only gives rows above the threshold.
+
+    A place that an excluded row takes stays empty: rows beyond the k first never move up. exclude: (label, id) pairs.
+    """
     sizes = scored.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
-    return sample(scored.join(sizes, "label"), k, [F.desc(score)], (F.col("_n") >= k) | (F.col(score) > threshold), exclude, ident).drop("_n")
+    first = sample(scored.join(sizes, "label"), k, [F.desc(score)], ident=ident).filter((F.col("_n") >= k) | (F.col(score) > threshold)).drop("_n")
+    return first if exclude is None else first.join(exclude.select("label", ident).distinct(), ["label", ident], "left_anti")
 
 
 def lowest_above(scored: DataFrame, k: int, score: str, threshold: float, ident: str = "vec_id") -> DataFrame:

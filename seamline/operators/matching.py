@@ -1,7 +1,7 @@
 """Mining of captions: which class and synonym a text belongs to.
 
-A synonym is a phrase of tokens. A text holds it if the tokens stand in it one after the other. Each text of a class is
-credited to one synonym only, the first in the class's order.
+A synonym is sought by a match expression (see expressions), most often one phrase: a text holds it if the tokens stand in
+it one after the other. Each text of a class is credited to one synonym only, the first in the class's order.
 """
 
 from __future__ import annotations
@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seamline.functions.text import caption, clean_name, padded, spaced_caption, tokens, unpunctuated, word_set
+from seamline.functions.text import caption, clean_name, spaced_caption, unpunctuated, word_set
+from seamline.operators.expressions import compiled, expression_of, holds, lookup_key, pattern
 
 #: A synonym table of more rows isn't broadcast; the token join is then an ordinary one.
 MAX_BROADCAST_SYNONYMS = 200_000
-#: Up to so many first tokens a text's tokens are cut down to them before they become rows.
+#: Up to so many different keys a text's tokens are cut down to them before they become rows.
 MAX_LISTED_TOKENS = 2_000
 
 
@@ -30,40 +31,54 @@ def by_priority(synonyms: DataFrame) -> DataFrame:
     return synonyms.withColumn("prio", F.row_number().over(order))
 
 
-def phrases_of(synonyms: DataFrame, prefix: str | None = None) -> DataFrame:
-    """synonyms with phrase (padded tokens), first (its first token), extra (a token needed anywhere) and skipped.
+def phrases_of(synonyms: DataFrame, prefix: str | None = None, raw: bool = False) -> DataFrame:
+    """synonyms with phrases (what a text must hold), key (a token needed anywhere), error (why a name asks nothing) and skipped.
 
-    A name with a dot or slash, or with both brackets, is one phrase together with the prefix; otherwise the prefix is a
-    word of its own. Of two synonyms of a class that clean to the same name only the first in order is sought.
+    Names become match expressions, which are compiled; one that can't be read matches nothing and says so. Of two
+    synonyms of a class that clean to the same name only the first in order is sought.
     """
-    cleaned = clean_name(F.col("synonym"))
-    quoted = F.col("cleaned").contains(".") | F.col("cleaned").contains("/") | (F.col("cleaned").contains("(") & F.col("cleaned").contains(")"))
-    with_prefix = F.when(quoted & F.lit(prefix is not None), F.concat(F.lit(f"{prefix} "), F.col("cleaned"))).otherwise(F.col("cleaned"))
-    out = by_priority(synonyms).withColumn("cleaned", cleaned).withColumn("words", tokens(with_prefix))
+    out = by_priority(synonyms).withColumn("cleaned", clean_name(F.col("synonym")))
+    out = out.withColumn("_c", compiled(expression_of(F.col("synonym"), prefix, raw))).select("*", "_c.phrases", "_c.error").drop("_c")
     out = out.withColumn("skipped", F.row_number().over(W.partitionBy("class_id", "cleaned").orderBy("prio")) > 1)
-    extra = F.when(quoted, F.lit(None)).otherwise(F.lit(prefix)) if prefix else F.lit(None).cast("string")
-    return out.withColumn("phrase", padded(F.col("words"))).withColumn("first", F.try_element_at("words", F.lit(1))).withColumn("extra", extra).drop("words")
+    return out.withColumn("key", lookup_key(F.col("phrases")))
+
+
+def _beginnings(words: Column, n: int) -> Column:
+    """"*" and the first n characters of each word that has them."""
+    return F.transform(words, lambda w: F.when(F.length(w) >= n, F.concat(F.lit("*"), F.substring(w, 1, n))))
 
 
 def matches(captions: DataFrame, phrases: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """One row for each caption and phrase that it holds: keys, text (as indexed), class_id, synonym, prio.
+    """One row for each caption and synonym whose phrases it holds: keys, text (as indexed), class_id, synonym, prio.
 
-    Captions meet phrases over the phrase's first token, so no pair is looked at that shares no token.
+    Captions meet synonyms over one token, so no pair is looked at that shares no token. A synonym that asks for the
+    beginning of a token alone is met over the beginnings, of the lengths that are asked for.
     """
-    sought = phrases.filter("not skipped and first is not null").select("class_id", "synonym", "prio", "phrase", "first", "extra")
-    firsts = [r[0] for r in sought.select("first").distinct().limit(MAX_LISTED_TOKENS + 1).collect()]
+    sought = phrases.filter("not skipped and key is not null").select("class_id", "synonym", "prio", "key", "phrases")
+    listed = [r[0] for r in sought.select("key").distinct().limit(MAX_LISTED_TOKENS + 1).collect()]
+    lengths = sorted({len(k) - 1 for k in listed if k.startswith("*")}) if len(listed) <= MAX_LISTED_TOKENS else [r[0] for r in sought.filter(F.col("key").startswith("*")).select(F.length("key") - 1).distinct().collect()]
     if sought.limit(MAX_BROADCAST_SYNONYMS + 1).count() <= MAX_BROADCAST_SYNONYMS:
         sought = F.broadcast(sought)
     # never null, and an outer explode: no filter is inferred that would work out a text's tokens again
     texts = captions.select(*keys, F.col(text).alias("text"), F.coalesce(spaced_caption(F.col(text)), F.lit("")).alias("hay"))
     words = F.split("hay", " ")
-    words = F.array_intersect(words, F.array(*[F.lit(t) for t in firsts]).cast("array<string>")) if len(firsts) <= MAX_LISTED_TOKENS else F.array_distinct(words)
-    rows = texts.select(*keys, "text", "hay", F.explode_outer(words).alias("first"))
-    found = rows.join(sought, "first").filter(F.contains("hay", "phrase"))
-    found = found.filter(F.col("extra").isNull() | F.contains("hay", F.concat(F.lit(" "), F.col("extra"), F.lit(" "))))
+    if lengths:
+        words = F.filter(F.concat(words, *[_beginnings(words, n) for n in lengths]), lambda w: w.isNotNull())
+    words = F.array_intersect(words, F.array(*[F.lit(t) for t in listed]).cast("array<string>")) if len(listed) <= MAX_LISTED_TOKENS else F.array_distinct(words)
+    rows = texts.select(*keys, "text", "hay", F.explode_outer(words).alias("key"))
+    one = F.get("phrases", F.lit(0))
+    found = rows.join(sought.withColumns({"_one": F.when((F.size("phrases") == 1) & ~one["first"], pattern(one))}), "key")
+    # most synonyms are one phrase, a plain substring
+    found = found.filter(F.when(F.col("_one").isNotNull(), F.contains("hay", "_one")).otherwise(holds(F.col("hay"), F.col("phrases"))))
     return found.select(*keys, caption(F.col("text")).alias("text"), "class_id", "synonym", "prio")
 
 
+def diagnostics(phrases: DataFrame) -> DataFrame:
+    """(class_id, synonym, error) of synonyms that can't match as they are written: unreadable ones, and those without tokens."""
+    why = F.coalesce("error", F.when(F.size("phrases") == 0, F.lit("no tokens")))
+    return phrases.filter("not skipped").select("class_id", "synonym", why.alias("error")).filter("error is not null")
+
+
 def attributed(found: DataFrame, keys: list[str]) -> DataFrame:
     """Of a caption's matches in a class the first by priority."""
     order = W.partitionBy("class_id", *keys).orderBy("prio")

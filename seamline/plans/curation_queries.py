@@ -11,11 +11,12 @@ from seamline.operators import evaluation as E
 from seamline.operators import learning as L
 from seamline.operators import matching as M
 from seamline.operators import sampling as S
+from seamline.operators.ranges import numbered
 from seamline.plans.common import scratch, table
 from seamline.plans.evaluation_queries import LOGITS, cm, losses, predictions, with_logits
 from seamline.plans.evaluation_queries import ORACLES as SCORED
 from seamline.plans.evaluation_queries import tau_sweep
-from seamline.plans.text_queries import CLASSES, CLEAN, SYN_SQL, TOKENS
+from seamline.plans.text_queries import CLASSES, CLEAN, FOLD, SYN_SQL, TOKENS
 from seamline.plans.vector_queries import DOT, PROMPTS, SPLIT_SQL, features, prompts, shown, split, t2t
 from seamline.sources import files
 
@@ -40,7 +41,7 @@ MARKED = ["Łódź by the ő", "ệ and ǭ, ā", "ŒUVRE d'été", "Å-ström_Ÿ
 MARKED_SQL = "m(k, t) AS (VALUES " + ", ".join(f"({k}, {quote(t)})" for k, t in enumerate(MARKED)) + ")"
 
 
-@query(f"WITH {MARKED_SQL} SELECT CAST(k AS INTEGER) AS k, strip_accents(lower(t)) AS folded, array_to_string({TOKENS.format(x='t')}, ' ') AS words FROM m UNION ALL SELECT CAST(-1 - item_id AS INTEGER), strip_accents(lower(text)), array_to_string({TOKENS.format(x='text')}, ' ') FROM benchmark")
+@query(f"WITH {MARKED_SQL} SELECT CAST(k AS INTEGER) AS k, {FOLD.format(x='t')} AS folded, array_to_string({TOKENS.format(x='t')}, ' ') AS words FROM m UNION ALL SELECT CAST(-1 - item_id AS INTEGER), {FOLD.format(x='text')}, array_to_string({TOKENS.format(x='text')}, ' ') FROM benchmark")
 def fold_text(spark, sf_dir):
     rows = spark.createDataFrame(list(enumerate(MARKED)), "k int, t string")
     rows = rows.union(table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).cast("int"), "text"))
@@ -90,9 +91,9 @@ def random_topk_i2i(spark, sf_dir):
     return C.gated_random(scored, 10, 50, "sim2", 0.2, 5).select("label", "vec_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query(PROMPTS + ", n AS (SELECT *, count(*) OVER (PARTITION BY label) AS n FROM i2t WHERE true) SELECT label, vec_id, sim, row_number() OVER (PARTITION BY label ORDER BY sim DESC, vec_id) AS rank FROM n WHERE (n >= 52 OR sim > 0.1) AND NOT EXISTS (SELECT 1 FROM dup WHERE dup.vec_id = n.vec_id) QUALIFY rank <= 52")
+@query(PROMPTS + ", n AS (SELECT *, count(*) OVER (PARTITION BY label) AS n, row_number() OVER (PARTITION BY label ORDER BY sim DESC, vec_id) AS rank FROM i2t WHERE true) SELECT label, vec_id, sim, rank FROM n WHERE rank <= 52 AND (n >= 52 OR sim > 0.1) AND NOT EXISTS (SELECT 1 FROM dup WHERE dup.vec_id = n.vec_id)")
 def soft_filter_topk(spark, sf_dir):
-    """The best rows of each class; a class that is smaller than the cap also needs a least score, and near duplicates never count."""
+    """The first places of each class without near duplicates; a class that is smaller than the cap also needs a least score."""
     scored = S.exemplar_score(features(spark, sf_dir), shown(spark, sf_dir), "caption", "sim")
     out = C.soft_filtered(scored, 52, "sim", 0.1, S.near_duplicates(table(spark, sf_dir, "embeddings"), 0.3))
     return out.select("label", "vec_id", "sim", F.col("rank").cast("long").alias("rank"))
@@ -369,14 +370,14 @@ def largest_confusions(spark, sf_dir):
 def frequency_sort(spark, sf_dir):
     """Classes by their counts, the most frequent first; a class list, so one task sorts it."""
     freq = listed(metrics(spark)).groupBy("class_id").agg(F.sum("n").alias("freq"))
-    return files.numbered(freq.withColumn("down", -F.col("freq")), "down", "class_id").select("class_id", "freq", (F.col("row") + 1).alias("place"))
+    return numbered(freq.withColumn("down", -F.col("freq")), "down", "class_id").select("class_id", "freq", (F.col("row") + 1).alias("place"))
 
 
 @query("SELECT CAST(c_nationkey AS VARCHAR) AS key, row_number() OVER (ORDER BY c_nationkey) - 1 AS place FROM (SELECT DISTINCT c_nationkey FROM customer)")
 def integer_key_sort(spark, sf_dir):
     """Keys that are numbers as text, in the order of the numbers."""
     keys = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("key")).distinct()
-    return files.numbered(keys.withColumn("i", F.col("key").cast("int")), "i").select("key", F.col("row").alias("place"))
+    return numbered(keys.withColumn("i", F.col("key").cast("int")), "i").select("key", F.col("row").alias("place"))
 
 
 @query(
@@ -483,7 +484,7 @@ def ordered_split(spark, sf_dir):
     rows = split(spark, sf_dir).withColumn("h", F.md5("path")).withColumn("path", F.concat(F.lit("images/"), "path"))
     files.write_ordered_split(rows, at, "h")
     read = spark.read.text(at).withColumn("f", F.col("_metadata.file_name")).withColumn("m", F.monotonically_increasing_id())
-    return files.numbered(read, "f", "m").select("value", F.col("row").alias("place"))
+    return numbered(read, "f", "m").select("value", F.col("row").alias("place"))
 
 
 @query(PROMPTS + "SELECT label, round(vec[1], 6) AS head FROM prompts")

@@ -37,7 +37,8 @@ NAME_SQL = "names(class_id, name) AS (VALUES " + ", ".join(f"({c}, {_quote(n)})"
 SPELL = "translate(translate({x}, '''\"', ''), '-_', '  ')"
 CLEAN = "lower(replace(" + SPELL.format(x="regexp_replace({x}, '^\\s+|\\s+$', '', 'g')") + ", '  ', ' '))"
 CAPTION = "CASE WHEN coalesce({x}, '') = '' THEN 'N.A.' ELSE " + SPELL + " END"
-TOKENS = "list_filter(regexp_split_to_array(strip_accents(lower({x})), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+FOLD = f"translate(lower({{x}}), '{X.MARKED}', '{X.PLAIN}')"
+TOKENS = "list_filter(regexp_split_to_array(" + FOLD + ", '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 WORDS = "list_sort(list_distinct(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')))"
 BARE = "regexp_replace({x}, '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]', '', 'g')"
 
@@ -48,7 +49,7 @@ def phrase_sql(prefix: str | None = None) -> str:
     extra = f"CASE WHEN quoted THEN NULL ELSE '{prefix}' END" if prefix else "NULL"
     return f"""WITH {SYN_SQL},
 pr AS (SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY cnt DESC, ord DESC) AS prio, {CLEAN.format(x="synonym")} AS cleaned FROM syn),
-pq AS (SELECT *, contains(cleaned, '.') OR contains(cleaned, '/') OR (contains(cleaned, '(') AND contains(cleaned, ')')) AS quoted,
+pq AS (SELECT *, contains(cleaned, '.') OR contains(cleaned, '/') AS quoted,
   row_number() OVER (PARTITION BY class_id, cleaned ORDER BY prio) > 1 AS skipped FROM pr),
 ph AS (SELECT *, ' ' || array_to_string({words}, ' ') || ' ' AS phrase, {extra} AS extra FROM pq),
 dt AS (SELECT doc_id, {CAPTION.format(x="text")} AS text FROM documents),

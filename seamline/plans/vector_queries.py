@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from seamline.functions import vectors as V
 from seamline.operators import sampling as S
+from seamline.operators.ranges import numbered
 from seamline.plans.common import table
-from seamline.sources.files import numbered
 
 QUERIES, ORACLES = {}, {}
 K, SHOWN = 10, 4

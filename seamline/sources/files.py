@@ -6,7 +6,6 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,19 +110,6 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(parts[1].cast("int").alias("class_id"), parts[3].cast("long").alias("n"))
 
 
-def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """df with row = 0, 1, ... over the order, which is found without one task reading all rows.
-
-    Rows are sorted in ranges; each range's size gives the next one's first number.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number, which stays as it is at run time
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("_in", F.col("_m") - F.shiftleft(F.col("_p").cast("long"), 33))
-    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
-    firsts = sizes.select("_p", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_first"))
-    return ranged.join(F.broadcast(firsts), "_p").withColumn("row", F.col("_first") + F.col("_in")).drop("_p", "_m", "_in", "_first")
-
-
 RUN_KEYS = ("dataset", "method", "datasource", "shots", "seed")
 
 

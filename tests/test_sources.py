@@ -1,5 +1,6 @@
 import json
 
+from seamline.operators.ranges import numbered
 from seamline.sources import files as S
 
 
@@ -20,7 +21,7 @@ def test_metrics_round_trip(spark, tmp_path):
 
 
 def test_numbered(spark):
-    got = S.numbered(spark.range(0, 1000, 1, 7).selectExpr("id * 7 % 1000 AS v"), "v").orderBy("v").collect()
+    got = numbered(spark.range(0, 1000, 1, 7).selectExpr("id * 7 % 1000 AS v"), "v").orderBy("v").collect()
     assert [r.row for r in got] == list(range(1000))
 
 
