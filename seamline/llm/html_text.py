@@ -20,7 +20,8 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,36 +56,113 @@ NAME_PARTS = {
 SKIPPED = frozenset("noscript template svg select object canvas".split())
 PART_OF = {word: part for part, words in NAME_PARTS.items() for word in words.split()}
 
-_TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|iframe|textarea|title)(?=[\s/>])(?P<attributes>(?:"[^"]*"|'[^']*'|[^'">])*+|[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<more>(?:"[^"]*"|'[^']*'|[^'">])*+|[^>]*)>""",
-    re.IGNORECASE | re.DOTALL,
-)
+#: What begins markup at a "<": a comment's start, a raw element's, a declaration's, or a tag's name.
+_BEGINS = re.compile(r"<(?:(?P<comment>!--)|(?P<other>[!?])|(?P<raw>script|style|iframe|textarea|title)(?=[\s/>])|(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*))", re.IGNORECASE)
+#: A tag's attributes: whatever stands in quotes, or isn't a quote or the tag's end. Nothing is tried twice.
+_ATTRIBUTES = re.compile(r"""(?:"[^"]*"|'[^']*'|[^'">])*+""")
+_RAW_ENDS = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in "script style iframe textarea title".split()}
+_LONG_REFERENCE = re.compile(r"&#(?:0*+[0-9]{8,}|[xX]0*+[0-9a-fA-F]{7,});?")
+
+
+def tags_of(page: str, raw_may_be_empty: Callable[[], bool] = lambda: False) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it ends an element, attributes) of a page's tags, from left to right; name is empty for comments
+    and declarations, and raw elements are one piece each, named raw. In drawings raw elements that close themselves are empty.
+
+    Nothing is looked for again where it was once not found: without a further ">" the rest is text, and after a quote
+    that is never closed quotes no longer count. So the time is in proportion to the page, whatever is in it.
+    """
+    at, quotes = 0, True
+    while (at := page.find("<", at)) >= 0:
+        m = _BEGINS.match(page, at)
+        if m is None:
+            at += 1
+            continue
+        if m["comment"]:
+            end = page.find("-->", m.end())
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", False, ""
+            at = end
+            continue
+        near = page.find(">", m.end())
+        if near < 0:
+            # the rest of the page has no tag's end; raw text and comments apart, it is text
+            rest = page.find("<!--", at)
+            if rest >= 0:
+                yield rest, len(page), "", False, ""
+            return
+        if m["other"]:
+            yield at, near + 1, "", False, ""
+            at = near + 1
+            continue
+        end = near
+        if quotes:
+            full = _ATTRIBUTES.match(page, m.end()).end()
+            if full < len(page) and page[full] == ">":
+                end = full
+            else:
+                quotes = False
+        more = page[m.end() : end]
+        if m["raw"]:
+            raw = m["raw"].lower()
+            if more.endswith("/") and raw_may_be_empty():
+                last = end + 1
+            else:
+                closing = _RAW_ENDS[raw].search(page, end + 1)
+                last = closing.end() if closing else len(page)
+            yield at, last, "raw", False, ""
+            at = last
+            continue
+        yield at, end + 1, m["name"].lower(), bool(m["end"]), more
+        at = end + 1
+
+
+def unescaped(text: str) -> str:
+    """Character references decoded once; numbers beyond any character are U+FFFD, however long."""
+    if "&" not in text:
+        return text
+    return html.unescape(_LONG_REFERENCE.sub("�", text) if "&#" in text else text)
+
+
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 
 
 class _Node:
-    """An open tag: its name, the features that it and the tags around it give, and whether its text is skipped."""
+    """An open tag: its name, the features that it and the tags around it give, whether its text is skipped, and the place
+    in the stack of the nearest tag that a paragraph can't reach over."""
+
+    __slots__ = ("barrier", "features", "name", "skip")
 
-    __slots__ = ("features", "name", "skip")
+    def __init__(self, name: str, features: frozenset[str], skip: bool, barrier: int):
+        self.name, self.features, self.skip, self.barrier = name, features, skip, barrier
 
-    def __init__(self, name: str, features: frozenset[str], skip: bool = False):
-        self.name, self.features, self.skip = name, features, skip
 
+#: A word of a class that says what there is beside the element, not what it is: "with-sidebar".
+_BESIDE = re.compile(r"\b(?:with|has|no|without|left|right)[-_]+\w+|\b\w+[-_](?:left|right|fixed|sticky|visible|hidden|on|off|dark|light)\b")
+#: Tags that say themselves what part of a page they are.
+PART_TAGS = {"nav": "menu", "menu": "menu", "aside": "side", "footer": "foot", "header": "head", "form": "ask", "article": "body", "main": "body", "dialog": "note"}
 
-def _own_features(name: str, more: str) -> set[str]:
-    found = {"tag=" + name} if name in TAGS else set()
-    if more:
+
+def _own_features(name: str, more: str) -> tuple[set[str], str | None]:
+    """The features of a tag, and the part of a page that it names, if any.
+
+    A name of main text beside others wins, as in "main-content with-sidebar"; the names of the whole page's element say nothing.
+    """
+    found, parts = {"tag=" + name} if name in TAGS else set(), []
+    if more and name not in ("body", "html"):
         for groups in _NAMED.findall(more):
-            for word in re.split(r"[^a-z0-9]+", "".join(groups).lower()):
-                if word in PART_OF:
-                    found.add("part=" + PART_OF[word])
-    return found
+            words = _BESIDE.sub(" ", "".join(groups).lower())
+            parts += [PART_OF[w] for w in re.split(r"[^a-z0-9]+", words) if w in PART_OF]
+    if "body" in parts:
+        parts = ["body"]
+    found |= {"part=" + p for p in parts}
+    return found, parts[0] if parts else PART_TAGS.get(name)
 
 
 def blocks_of(page: str) -> list[tuple[str, frozenset[str], int]]:
     """(text, features of the tags around it, characters inside links) of a page's leaf blocks."""
-    root = _Node("", frozenset())
+    root = _Node("", frozenset(), False, 0)
     stack, out = [root], []
+    opened: dict[str, int] = {}  # open tags by name: an end without a beginning costs nothing
     pieces: list[str] = []
     links, in_link, around = 0, 0, root
     cache: dict[tuple, frozenset[str]] = {}
@@ -98,11 +176,10 @@ def blocks_of(page: str) -> list[tuple[str, frozenset[str], int]]:
             pieces.clear()
         links = 0
 
-    def pop(name: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name == name:
-                del stack[k:]
-                return
+    def cut(k: int) -> None:
+        for node in stack[k:]:
+            opened[node.name] -= 1
+        del stack[k:]
 
     def text(piece: str) -> None:
         nonlocal around, links
@@ -111,50 +188,50 @@ def blocks_of(page: str) -> list[tuple[str, frozenset[str], int]]:
         if not pieces:
             if not piece.strip():
                 return
-            around = next(n for n in reversed(stack) if n.name not in INLINE)
-        pieces.append(html.unescape(piece))  # a reference doesn't reach over tags
+            around = stack[-1]
+        pieces.append(unescaped(piece))  # a reference doesn't reach over tags
         if in_link:
             links += len(piece)
 
     at = 0
-    while m := _TAG.search(page, at):
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        name = m["name"]
-        if name is None:
-            if m["raw"]:
-                close()
-                if stack[-1].skip and m["attributes"].endswith("/"):  # in svg these can be empty
-                    at = m.end("attributes") + 1
+    for start, end, name, ends, more in tags_of(page, lambda: stack[-1].skip):
+        if start > at:
+            text(page[at:start])
+        at = end
+        if not name:
+            continue
+        if name == "raw":
+            close()
             continue
-        name = name.lower()
         if name in INLINE:
             if name == "a" and not stack[-1].skip:
-                in_link = 0 if m["end"] else 1
+                in_link = 0 if ends else 1
             continue
         close()
         if name not in SKIPPED and not stack[-1].skip:
             in_link = 0
-        if m["end"]:
-            pop(name)
+        if ends:
+            if opened.get(name):
+                k = len(stack) - 1
+                while stack[k].name != name:
+                    k -= 1
+                cut(k)
             continue
-        if name in ENDS_PARAGRAPH:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == "p":
-                    del stack[k:]
-                    break
-                if stack[k].name in ENDS_PARAGRAPH or stack[k].skip:
-                    break
+        if name in ENDS_PARAGRAPH and stack[stack[-1].barrier].name == "p" and not stack[-1].skip:
+            cut(stack[-1].barrier)
         if name in ENDS and stack[-1].name in (name, ENDS[name]):
-            stack.pop()
-        if name in VOID or m["more"].endswith("/"):
+            cut(len(stack) - 1)
+        if name in VOID or more.endswith("/"):
             continue
-        top = stack[-1].features
-        key = (top, name, m["more"])
+        top = stack[-1]
+        key = (top.features, name, more)
         if key not in cache:
-            cache[key] = top | _own_features(name, m["more"])
-        stack.append(_Node(name, cache[key], stack[-1].skip or name in SKIPPED))
+            own, part = _own_features(name, more)
+            kept = top.features if part is None else frozenset(f for f in top.features if not f.startswith("near="))
+            cache[key] = kept | own | ({"near=" + part} if part else set())
+        skip = top.skip or name in SKIPPED
+        opened[name] = opened.get(name, 0) + 1
+        stack.append(_Node(name, cache[key], skip, len(stack) if name in ENDS_PARAGRAPH or skip else top.barrier))
     if at < len(page):
         text(page[at:])
     close()
@@ -170,6 +247,8 @@ def features_of(blocks: list[tuple[str, frozenset[str], int]]) -> list[list[str]
         own = [*around, "bias", f"words={min(int(np.log2(words)), 7)}", f"links={min(4, round(4 * links / n))}", f"first={min(k, 3)}", f"last={min(len(blocks) - 1 - k, 3)}"]
         if text[-1] in ".!?:\"')”»":
             own.append("ends")
+        if len(blocks) < 4:
+            own.append(f"of={len(blocks)}")
         if "©" in text or "copyright" in text[:60].lower():
             own.append("rights")
         out.append(own)
@@ -324,23 +403,40 @@ def generated_pages(n: int = GENERATED, seed: int = 5) -> list[tuple[str, str]]:
             "talk": lambda: boxed("comments comment-list discussion", f"<h3>{words(1, 2)}</h3>" + "".join(f'<div class="comment"><b>{words(1, 2)}</b><p>{sentences(1, 4)}</p></div>' for _ in range(rng.randint(1, 4)))),
         }[kind]()
 
+    def theme(names: str) -> str:
+        """A class as themes have them: what an element is, with words on what stands beside it, or none of that."""
+        beside = rng.choice(["", "", "with-sidebar", "has-sidebar", "no-sidebar", "right-sidebar", "sidebar-left", "clearfix", "col-md-8", "header-fixed"])
+        return " ".join(x for x in rng.sample([rng.choice(names.split()), beside], 2) if x)
+
     pages = []
     for k in range(n):
-        title, main = words(2, 12), []
-        inner = f"<h1>{title}</h1>"
-        main.append(title)
-        if rng.random() < 0.5:
+        title, main, inner = words(2, 12), [], ""
+        heading, lines, bare = rng.random(), rng.random(), rng.random() < 0.1  # bare: nothing but main text
+        short = bare and rng.random() < 0.6
+        heading = 1 if short and rng.random() < 0.7 else heading
+        if heading < 0.7:
+            level = 1 if heading < 0.5 else rng.choice([2, 3])
+            inner = f"<h{level}>{title}</h{level}>"
+            main.append(title)
+        if not short and rng.random() < 0.4:
             lead = sentences(1, 2) if rng.random() < 0.5 else title
             inner += rng.choice([f"<p><b>{lead}<br>", f"<p>{lead}</p>", f"<p><em>{lead}</em></p>"])
             main.append(lead)
-        for _ in range(rng.randint(1, 14)):
+        for _ in range(rng.randint(1, 2 if short else 14)):
             kind, body = rng.random(), sentences(1, 8) if rng.random() < 0.85 else words(1, 3, ".")
             if kind < 0.1:
                 head = words(1, 6)
                 inner += f"<h2>{head}</h2>"
                 main.append(head)
-            if kind < 0.9:
-                inner += rng.choice([f"<p>{body}</p>", f"<p>{body}</p>", f"<p>{body}\n"])
+            if short and rng.random() < 0.5:
+                inner += body
+                main.append(body)
+                break
+            if lines < 0.15:
+                inner += body + rng.choice(["<br>", "<br/>\n", "<br><br>"])
+                main.append(body)
+            elif kind < 0.9:
+                inner += rng.choice([f"<p>{body}</p>", f"<p>{body}</p>", f"<p>{body}\n", f"<div>{body}</div>"] if lines < 0.3 else [f"<p>{body}</p>", f"<p>{body}</p>", f"<p>{body}\n"])
                 main.append(body)
             elif kind < 0.95:
                 inner += f"<blockquote>{body}</blockquote>"
@@ -349,33 +445,54 @@ def generated_pages(n: int = GENERATED, seed: int = 5) -> list[tuple[str, str]]:
                 items = [words(2, 9) for _ in range(3)]
                 inner += "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
                 main += items
-            if rng.random() < 0.05:
+            if not bare and rng.random() < 0.05:
                 inner += other(rng.choice(["ad", "note", "side"]))
         shell, plain = rng.random(), f'class="{words(1, 2).lower()}"'
-        if shell < 0.4:
+        if shell < 0.36:
             inner = f"<article>{inner}</article>"
-        elif shell < 0.5:
+        elif shell < 0.44:
             inner = f"<main>{inner}</main>"
-        elif shell < 0.65:
-            inner = f'<div class="{rng.choice(["content", "post", "entry-content", "story", "article-body"])}">{inner}</div>'
-        elif shell < 0.75:
+        elif shell < 0.62:
+            name = theme("content post entry-content story article-body main-content site-main post-body page-content")
+            inner = f'<div {rng.choice(["class", "id"])}="{name}">{inner}</div>'
+        elif shell < 0.72:
             inner = f"<div>{inner}</div>"
-        elif shell < 0.82:
+        elif shell < 0.8:
             inner = f"<div {plain}><section>{inner}</section></div>"
-        elif shell < 0.92:
+        elif shell < 0.9:
             cells = inner.replace("<p>", "<td>").replace("</p>", "</td>") if rng.random() < 0.3 else f"<td>{inner}</td>"
             inner = f"<table {plain}><tr>{cells}</tr></table>"
+        if rng.random() < 0.15:
+            inner = f'<div class="{theme("site wrap container page layout")}">{inner}</div>'
+        head = f"<head><title>{title}</title><style>p{{}}</style><script>var x='</p>';</script></head>"
+        if bare:
+            pages.append((rng.choice([f"<html>{head}<body>{inner}</body></html>", inner]), html.unescape(" ".join(main))))
+            continue
         before = [other(x) for x in rng.sample(["nav", "menu", "header", "note", "ad", "form"], rng.randint(1, 4))]
         behind = [other(x) for x in rng.sample(["side", "ad", "talk", "form", "note"], rng.randint(0, 4))] + [other("footer")] * (rng.random() < 0.9)
-        head = f"<head><title>{title}</title><style>p{{}}</style><script>var x='</p>';</script></head>"
-        pages.append((f"<!DOCTYPE html><html>{head}<body>{''.join(before)}{inner}{''.join(behind)}</body></html>", html.unescape(" ".join(main))))
+        page = "".join(before) + inner + "".join(behind)
+        around = rng.random()
+        if around < 0.15:
+            page = f'<div {rng.choice(["class", "id"])}="{theme("site page wrap wrapper container layout")}">{page}</div>'
+        elif around < 0.2:  # an outer wrapper whose name is that of a part of it
+            page = f'<div class="{rng.choice(["site-header-fixed site", "layout header footer", "page sidebar", "banner-page"])}">{page}</div>'
+        body = f' class="{theme("home single post page")}"' if rng.random() < 0.3 else ""
+        pages.append((f"<!DOCTYPE html><html>{head}<body{body}>{page}</body></html>", html.unescape(" ".join(main))))
     return pages
 
 
+@lru_cache(maxsize=1)
+def default_field() -> Field:
+    """The field of the generated pages; it hangs on nothing else, so a process fits it once."""
+    return trained(generated_pages())
+
+
 def trained(pages: list[tuple[str, str]] | None = None) -> Field:
     """A field fitted on labelled pages, at most MAX_LABELLED of them."""
+    if pages is None:
+        return default_field()
     examples = []
-    for page, text in (generated_pages() if pages is None else pages)[:MAX_LABELLED]:
+    for page, text in pages[:MAX_LABELLED]:
         blocks = blocks_of(page or "")
         examples.append((features_of(blocks), labels_from_text(blocks, text or "")))
     return fit(examples, steps=max(80, min(300, 56_000 // max(1, len(examples)))))  # few pages need more steps, and take less time for each
