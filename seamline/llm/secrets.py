@@ -8,7 +8,7 @@ verified with the rule's expression. A rule without mandatory trigrams scans eve
 Matches are leftmost and don't overlap within a kind; their places are code points, the end exclusive. They come
 from split() and regexp_extract_all(), which cut a text at the same matches.
 
-Defined results: a null text counts as empty and has no spans; very long texts are searched whole; a repeated row, or a
+Defined results: a null text counts as empty and has no spans; very long texts are searched whole, in time in proportion to their length and matches; a repeated row, or a
 repeated id, gets the spans of its own text; rows with a null id have no postings and are scanned with every rule, in
 place; an empty table gives an empty result; other columns stay as they are, but a column of the result's name is
 replaced (`found`, or the name that is given; masked() adds none).
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re._constants as sre
 import re._parser as sre_parser
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -137,23 +138,52 @@ MORE = (
 RULES = BASE + MORE
 
 
+def _let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body of x, which is worked out once however often body names it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
+#: Entries of an array that one running aggregate adds up: what it copies stays small, so long arrays take linear time.
+STRIDE = 256
+
+
+def running(xs: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each entry of an array of whole numbers (none below 0) op over the entries before it; 0 for the first.
+
+    Strides are added up on their own, then their totals, and each stride is carried on.
+    """
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+
+    def one(v: Column, value: Callable[[Column], Column]) -> Column:
+        return F.aggregate(v, start, lambda s, x: F.struct(op(s["at"], value(x)).cast("long").alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))
+
+    def joined(v: Column) -> Column:
+        strides = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / STRIDE).cast("int")), lambda k: one(F.slice(v, k * STRIDE + 1, STRIDE), lambda x: x.cast("long")))
+        return _let(strides, lambda parts: _let(one(parts, lambda p: p["at"])["out"], lambda bases: F.flatten(F.transform(parts, lambda p, k: F.transform(p["out"], lambda y: op(y, F.get(bases, k)))))))
+
+    return _let(xs, lambda v: F.when(F.size(v) > 0, joined(v)).otherwise(F.array().cast("array<bigint>")))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
     """Array of (s, e) of the rule's matches, in order; matches whose group is too short take their place but are left out."""
     pattern = F.lit(rule.pattern)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     kept = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
-    gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
-    sizes = F.transform(F.arrays_zip(gaps.alias("g"), F.transform(found, F.length).alias("m"), F.transform(kept, F.length).alias("k")), lambda x: x)
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<s:bigint,e:bigint>>").alias("out"))
+    gaps = F.split(text, rule.pattern, -1)
+    none = F.array().cast("array<struct<s:bigint,e:bigint>>")
 
-    def step(acc, x):
-        start = acc["at"] + x["g"]
-        end = start + F.coalesce(x["m"], F.lit(0))
-        hit = x["m"].isNotNull() & (x["k"] >= rule.least)
-        one = F.array(F.struct(start.cast("long").alias("s"), end.cast("long").alias("e")))
-        return F.struct(end.cast("long").alias("at"), F.when(hit, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def placed(sizes: Column) -> Column:
+        ends = running(F.transform(sizes, lambda x: x["g"] + x["m"]), _plus)
+        spans = F.zip_with(sizes, ends, lambda x, at: F.struct((at + x["g"]).cast("long").alias("s"), (at + x["g"] + x["m"]).cast("long").alias("e"), (x["k"] >= rule.least).alias("ok")))
+        return F.transform(F.filter(spans, lambda x: x["ok"]), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
 
-    return F.when(F.size(found) > 0, F.aggregate(sizes, empty, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<s:bigint,e:bigint>>"))
+    # the last gap has no match behind it
+    sizes = F.transform(F.filter(F.arrays_zip(gaps.alias("g"), found.alias("m"), kept.alias("k")), lambda x: x["m"].isNotNull()), lambda x: F.struct(F.length(x["g"]).alias("g"), F.length(x["m"]).alias("m"), F.length(x["k"]).alias("k")))
+    return F.when(F.size(found) > 0, _let(sizes, placed)).otherwise(none)
 
 
 def postings(docs: DataFrame, trigrams: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -207,17 +237,33 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def masked(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text", mask: str = "<secret>") -> DataFrame:
-    """docs with every span of a match replaced by the mask; overlapping spans become one."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+#: Code points of a piece that a text is cut into before spans are looked up in it.
+PIECE = 1024
+
+
+def without_spans(text: Column, spans: Column, mask: str) -> Column:
+    """text with its spans (s, e), in the order of their starts, replaced by the mask; those that overlap become one.
+
+    The text is cut into pieces once, and every gap between spans is taken from the pieces that it lies in.
+    """
 
-    def step(acc, x):
-        gap = F.substring(whole(text), (acc["at"] + 1).cast("int"), F.greatest(x["s"] - acc["at"], F.lit(0)).cast("int"))
-        return F.struct(
-            F.greatest(acc["at"], x["e"]).alias("at"),
-            F.when(x["s"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"]).alias("out"),
-        )
+    def taken(pieces: Column, s: Column, e: Column) -> Column:
+        a, b = F.floor(s / PIECE).cast("int"), F.floor(F.greatest(e - 1, s) / PIECE).cast("int")
+        cut = lambda k, low, n: F.substring(F.coalesce(F.get(pieces, k), F.lit("")), (low + 1).cast("int"), n.cast("int"))
+        first = cut(a, s - a * PIECE, F.when(a == b, e - s).otherwise(F.lit(PIECE)))
+        rest = F.concat(F.array_join(F.slice(pieces, a + 2, F.greatest(b - a - 1, F.lit(0))), ""), cut(b, F.lit(0), e - b * PIECE))
+        return F.concat(first, F.when(b > a, rest).otherwise(F.lit("")))
 
-    rest = lambda acc: F.concat(acc["out"], whole(text).substr((acc["at"] + 1).cast("int"), F.length(whole(text))))
+    def joined(pieces: Column) -> Column:
+        reached = running(F.transform(spans, lambda x: x["e"]), F.greatest)  # the furthest end before each span
+        gaps = F.filter(F.zip_with(spans, reached, lambda x, at: F.struct(at.alias("at"), x["s"].alias("s"))), lambda g: g["s"] >= g["at"])
+        body = F.array_join(F.transform(gaps, lambda g: F.concat(taken(pieces, g["at"], g["s"]), F.lit(mask))), "")
+        return _let(F.array_max(F.transform(spans, lambda x: x["e"])), lambda last: F.concat(body, taken(pieces, last, F.greatest(last, F.length(text).cast("long")))))
+
+    return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), joined)
+
+
+def masked(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text", mask: str = "<secret>") -> DataFrame:
+    """docs with every span of a match replaced by the mask; overlapping spans become one."""
     found = find_secrets(docs, rules, doc_id, text, "__seam_found")
-    return found.withColumn(text, F.when(F.size("__seam_found") > 0, F.aggregate("__seam_found", start, step, rest)).otherwise(F.col(text))).drop("__seam_found")
+    return found.withColumn(text, F.when(F.size("__seam_found") > 0, without_spans(whole(text), F.col("__seam_found"), mask)).otherwise(F.col(text))).drop("__seam_found")
