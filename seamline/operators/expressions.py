@@ -2,19 +2,21 @@
 
 An expression is a list of phrases that a text must all hold. A phrase is one string or several with + between them; a
 string is a bareword (ASCII letters and digits, underscores, anything beyond ASCII) or stands in double quotes. A * after
-a phrase leaves its last token open at the end; a ^ before it asks for it at the start of the text. A string before a
-colon names a column. Anything else is a syntax error. Strings are tokenised as texts are, so one may give several
-tokens, or none; phrases without tokens are dropped.
+a string leaves the token before it open at the end; a ^ before a phrase asks for it at the start of the text. A string
+before a colon names a column. Anything else is a syntax error. Strings are tokenised as texts are, so one may give several
+tokens, or none; phrases without tokens are dropped. Open tokens are written with a * behind them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from seamline.functions.text import clean_name, tokens
 
-PHRASES = "array<struct<words:array<string>,open:boolean,first:boolean>>"
+PHRASES = "array<struct<words:array<string>,first:boolean>>"
 _STATE = f"struct<phrases:{PHRASES},at:string,error:string>"
 #: White space is what separates here; any other single character is a piece of its own.
 _PIECE = r'(?:[A-Za-z0-9_\x1A]|[^\x00-\x7F])+|"(?:[^"]|"")*"|[^ \t\n\r]'
@@ -51,14 +53,19 @@ def compiled(expression: Column, column: str = "text") -> Column:
     def state(phrases: Column, at: str | Column, error: Column | None = None) -> Column:
         return F.struct(phrases.alias("phrases"), (F.lit(at) if isinstance(at, str) else at).alias("at"), (F.lit(None).cast("string") if error is None else error).alias("error")).cast(_STATE)
 
+    def with_last(words: Column, change: Callable[[Column], Column]) -> Column:
+        return F.transform(words, lambda w, k: F.when(k == F.size(words) - 1, change(w)).otherwise(w))
+
     def step(s: Column, piece: Column) -> Column:
         old, at = s["phrases"], s["at"]
         is_string = (piece.rlike(r"^(?:[A-Za-z0-9_\x1A]|[^\x00-\x7F])") & ~piece.isin("AND", "OR", "NOT")) | (piece.startswith('"') & (piece != '"'))
         words, last = _string_tokens(piece), F.element_at(old, -1)
-        fresh = F.struct(words.alias("words"), F.lit(False).alias("open"), (at == "caret").alias("first"))
-        longer = F.struct(F.concat(last["words"], words).alias("words"), F.lit(False).alias("open"), last["first"].alias("first"))
+        fresh = F.struct(words.alias("words"), (at == "caret").alias("first"))
+        # what follows without a token of its own closes the token before it again
+        before = F.when(F.size(words) > 0, last["words"]).otherwise(with_last(last["words"], lambda w: F.rtrim(w, F.lit("*"))))
+        longer = F.struct(F.concat(before, words).alias("words"), last["first"].alias("first"))
         but_last = F.slice(old, 1, F.greatest(F.size(old) - 1, F.lit(0)))
-        opened = F.struct(last["words"].alias("words"), F.lit(True).alias("open"), last["first"].alias("first"))
+        opened = F.struct(with_last(last["words"], lambda w: F.concat(F.rtrim(w, F.lit("*")), F.lit("*"))).alias("words"), last["first"].alias("first"))
         after = at.isin("string", "more", "star")
         names_column = (piece == ":") & (at == "string") & ~last["first"]
         return (
@@ -86,19 +93,31 @@ def compiled(expression: Column, column: str = "text") -> Column:
     return F.aggregate(pieces, start, step, finish)
 
 
+def is_plain(phrase: Column) -> Column:
+    """Whether a phrase is a plain substring: no token but the last is open, and it may stand anywhere."""
+    inner = F.slice(phrase["words"], 1, F.greatest(F.size(phrase["words"]) - 1, F.lit(0)))
+    return ~phrase["first"] & ~F.exists(inner, lambda w: w.endswith("*"))
+
+
 def pattern(phrase: Column) -> Column:
-    """The string that a text of padded tokens holds if it holds the phrase."""
-    return F.concat(F.lit(" "), F.array_join(phrase["words"], " "), F.when(phrase["open"], F.lit("")).otherwise(F.lit(" ")))
+    """The string that a text of padded tokens holds if it holds a plain phrase."""
+    said = F.concat(F.lit(" "), F.array_join(phrase["words"], " "), F.lit(" "))
+    return F.regexp_replace(said, r"\* $", "")
+
+
+def _expression(phrase: Column) -> Column:
+    """A regular expression for any phrase; tokens are letters and digits alone."""
+    said = F.concat(F.when(phrase["first"], F.lit("^ ")).otherwise(F.lit(" ")), F.array_join(phrase["words"], " "), F.lit(" "))
+    return F.replace(said, F.lit("*"), F.lit("[^ ]*"))
 
 
 def lookup_key(phrases: Column) -> Column:
     """A token that a matching text must hold: the longest of all; "*" and a beginning where only open tokens are asked for."""
-    closed = F.flatten(F.transform(phrases, lambda p: F.when(p["open"], F.slice(p["words"], 1, F.size(p["words"]) - 1)).otherwise(p["words"])))
+    words = F.flatten(phrases["words"])
     longest = lambda xs: F.array_max(F.transform(xs, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    ends = F.transform(phrases, lambda p: F.element_at(p["words"], -1))
-    return F.coalesce(longest(closed), F.concat(F.lit("*"), longest(ends)))
+    return F.coalesce(longest(F.filter(words, lambda w: ~w.endswith("*"))), F.concat(F.lit("*"), F.rtrim(longest(words), F.lit("*"))))
 
 
 def holds(hay: Column, phrases: Column) -> Column:
     """Whether a text of padded tokens holds all phrases."""
-    return (F.size(phrases) > 0) & F.forall(phrases, lambda p: F.when(p["first"], F.startswith(hay, pattern(p))).otherwise(F.contains(hay, pattern(p))))
+    return (F.size(phrases) > 0) & F.forall(phrases, lambda p: F.when(is_plain(p), F.contains(hay, pattern(p))).otherwise(F.rlike(hay, _expression(p))))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seamline.functions.text import caption, clean_name, spaced_caption, unpunctuated, word_set
-from seamline.operators.expressions import compiled, expression_of, holds, lookup_key, pattern
+from seamline.operators.expressions import compiled, expression_of, holds, is_plain, lookup_key, pattern
 
 #: A synonym table of more rows isn't broadcast; the token join is then an ordinary one.
 MAX_BROADCAST_SYNONYMS = 200_000
@@ -67,7 +67,7 @@ def matches(captions: DataFrame, phrases: DataFrame, keys: list[str], text: str
     words = F.array_intersect(words, F.array(*[F.lit(t) for t in listed]).cast("array<string>")) if len(listed) <= MAX_LISTED_TOKENS else F.array_distinct(words)
     rows = texts.select(*keys, "text", "hay", F.explode_outer(words).alias("key"))
     one = F.get("phrases", F.lit(0))
-    found = rows.join(sought.withColumns({"_one": F.when((F.size("phrases") == 1) & ~one["first"], pattern(one))}), "key")
+    found = rows.join(sought.withColumns({"_one": F.when((F.size("phrases") == 1) & is_plain(one), pattern(one))}), "key")
     # most synonyms are one phrase, a plain substring
     found = found.filter(F.when(F.col("_one").isNotNull(), F.contains("hay", "_one")).otherwise(holds(F.col("hay"), F.col("phrases"))))
     return found.select(*keys, caption(F.col("text")).alias("text"), "class_id", "synonym", "prio")

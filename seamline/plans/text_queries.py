@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seamline.functions import text as X
 from seamline.operators import matching as M
-from seamline.plans.common import table
+from seamline.operators import positional_index as I
+from seamline.plans.common import scratch, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -289,3 +291,50 @@ def keyed_map_counts(spark, sf_dir):
 def transpose_by_group(spark, sf_dir):
     """One row for each class from parallel columns, without gathering the class."""
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.sum("vec_id").alias("total"))
+
+
+def _indexed(spark, sf_dir):
+    """Documents as a stored index: the shards of even numbers first, then those of odd numbers, and one of them again."""
+    at = scratch(spark)
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 4).cast("int").alias("shard"), F.col("doc_id").alias("row"), "text")
+    I.add_shards(docs.filter("shard % 2 = 0"), at)
+    I.add_shards(docs.filter("shard % 2 = 1"), at)
+    I.add_shards(docs.filter("shard = 3"), at)
+    return at
+
+
+@query(phrase_sql() + "SELECT class_id, synonym, doc_id FROM found")
+def phrase_match_indexed(spark, sf_dir):
+    """Names found in a stored index; the texts are read when it is built, not when it is asked."""
+    return I.indexed_matches(spark, _indexed(spark, sf_dir), M.phrases_of(synonyms(spark))).select("class_id", "synonym", F.col("row").alias("doc_id"))
+
+
+#: Names as lists have them, with what a full-text search makes of each: phrases of tokens, "*" after an open one, or none
+ODD_NAMES = ["of & the", "the, of", "is (in)", "de/la", "c++", "th* of", "the ^of", "(the", "über", "u. s.", "le les", "and:", "—", "f-16"]
+ODD_SQL = """odd(synonym, asks) AS (VALUES ('of & the', NULL), ('the, of', NULL), ('is (in)', ['% to %', '% is in %']), ('de/la', ['% to de la %']), ('c++', NULL), ('th* of', ['% to %', '% th% of %']), ('the ^of', NULL),
+  ('(the', NULL), ('über', ['% to %', '% uber %']), ('u. s.', ['% to u s %']), ('le les', ['% to %', '% le les %']), ('and:', NULL), ('—', ['% to %']), ('f-16', ['% to %', '% f 16 %']))"""
+
+
+@query(phrase_sql() + f", {ODD_SQL} SELECT synonym, asks IS NOT NULL AS readable, count(doc_id) AS n FROM odd LEFT JOIN dh ON asks IS NOT NULL AND len(list_filter(asks, lambda a: NOT regexp_matches(hay, replace(replace(trim(a, '%'), '% ', '[^ ]* '), '%', '.*')))) = 0 GROUP BY ALL")
+def phrase_match_expressions(spark, sf_dir):
+    """Names with signs in them, sought with a prefix: whether they can be read, and the documents that they match."""
+    names = spark.createDataFrame([(k, n, 1, k) for k, n in enumerate(ODD_NAMES)], "class_id int, synonym string, cnt int, ord int")
+    phrases = M.phrases_of(names, "to")
+    n = M.matches(table(spark, sf_dir, "documents"), phrases, ["doc_id"]).groupBy("synonym").agg(F.count(F.lit(1)).alias("n"))
+    return phrases.select("synonym", F.col("error").isNull().alias("readable")).join(n, "synonym", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+@query(
+    phrase_sql()
+    + """, sized AS (SELECT doc_id, doc_id % 4 AS shard, hay, len(string_split(trim(hay), ' ')) AS n FROM dh),
+sh AS (SELECT shard, count(*) AS rows, avg(n) AS mean FROM sized GROUP BY shard),
+hit AS (SELECT class_id, synonym, s.doc_id, s.shard, n, CAST((length(hay) - length(replace(hay, phrase, repeat(' ', CAST(length(phrase) - 1 AS INT))))) AS DOUBLE) AS tf FROM found f JOIN sized s USING (doc_id) JOIN ph USING (class_id, synonym)),
+df AS (SELECT class_id, synonym, shard, count(*) AS df FROM hit GROUP BY ALL),
+sco AS (SELECT class_id, synonym, doc_id, shard, greatest(CASE WHEN ln((rows - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((rows - df + 0.5) / (df + 0.5)) END, 0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)) AS score FROM hit JOIN df USING (class_id, synonym, shard) JOIN sh USING (shard))
+SELECT class_id, synonym, CAST(shard AS INT) AS shard, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY class_id, synonym, shard ORDER BY round(score, 6) DESC, doc_id) AS rank FROM sco QUALIFY rank <= 5"""
+)
+def phrase_rank(spark, sf_dir):
+    """The five most relevant documents of each shard for each name."""
+    rows = I.ranked(spark, _indexed(spark, sf_dir), M.phrases_of(synonyms(spark))).withColumn("score", F.round("score", 6))
+    order = W.partitionBy("class_id", "synonym", "shard").orderBy(F.desc("score"), "row")
+    return rows.withColumn("rank", F.row_number().over(order)).filter("rank <= 5").select("class_id", "synonym", "shard", F.col("row").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
