@@ -122,24 +122,25 @@ def cached_counts(spark: SparkSession, cache: str, version: str) -> DataFrame:
 
 
 def _first_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the copies that a task reads, the first."""
+    """Of the copies that a task reads, the first, packed: texts are most of what is shuffled."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3).compress
     seen: set[bytes] = set()
     for batch in batches:
-        new = []
-        for k, digest in enumerate(batch.column(0).to_pylist()):
+        digests, texts = [], []
+        for digest, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             if digest not in seen:
                 seen.add(digest)
-                new.append(k)
-        if len(new) == batch.num_rows:
-            yield batch
-        elif new:
-            yield batch.take(pa.array(new))
+                digests.append(digest)
+                texts.append(pack(text.as_buffer()))
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(texts, pa.binary())], names=["digest", "packed"])
 
 
 def missing_texts(docs: DataFrame, missing: DataFrame, text: str = "text") -> DataFrame:
-    """(digest, text) of the missing digests, dealt by digest; copies of one digest share a task."""
+    """(digest, packed) of the missing digests, dealt by digest; copies of one digest share a task. packed: the text's bytes by zstd."""
     plain = docs.select(normalised(text).alias("text")).select(_digest(F.col("text")).alias("digest"), "text")
-    first = plain.mapInArrow(_first_copies, "digest binary, text string")
+    first = plain.mapInArrow(_first_copies, "digest binary, packed binary")
     if missing.count() <= MAX_BROADCAST_MISSES:
         return first.join(F.broadcast(missing), "digest", "left_semi").repartition("digest")
     return first.join(missing.hint("shuffle_hash"), "digest", "left_semi")
@@ -149,14 +150,16 @@ def encode_missing(texts: DataFrame, model: str) -> DataFrame:
     """(digest, n_tokens); a task encodes a digest once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, seen = Counter.of_worker(model), set()
+        import zstandard
+
+        counter, seen, unpack = Counter.of_worker(model), set(), zstandard.ZstdDecompressor().decompress
         for batch in batches:
             digests, counts = [], []
-            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for digest, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if digest not in seen:
                     seen.add(digest)
                     digests.append(digest)
-                    counts.append(counter.count(text.as_buffer().to_pybytes().decode("utf-8", "replace")))
+                    counts.append(counter.count(unpack(packed.as_buffer()).decode("utf-8", "replace")))
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
 
     return texts.mapInArrow(run, CACHE_SCHEMA)
