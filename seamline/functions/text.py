@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from seamline.functions.numbers import exact_round
+
 
 def _folding() -> tuple[str, str]:
     """Lower-case letters that are an ASCII letter with one mark, and that letter: what canonical decomposition leaves.
@@ -124,8 +126,11 @@ def yes_or_no(x: Column) -> Column:
 
 
 def shown_number(x: Column, digits: int = 4) -> Column:
-    """A rounded number without trailing zeros, but with one digit after the point."""
-    return F.regexp_replace(F.format_string(f"%.{digits}f", F.round(x, digits)), r"(\.\d+?)0+$", "$1")
+    """A number rounded from its binary value, as short as it goes: one digit after the point at least, powers below 0.0001."""
+    v = exact_round(x, digits)
+    plain = F.regexp_replace(F.format_string(f"%.{digits}f", v), r"(\.\d+?)0+$", "$1")
+    small = F.regexp_replace(F.format_string("%.15e", v), r"\.?0+e", "e")
+    return F.when((v != 0) & (F.abs(v) < 1e-4), small).otherwise(plain)
 
 
 def audit_line(score: Column, threshold: Column | None, path: Column, text: Column, second: Column | None = None, second_threshold: Column | None = None) -> Column:

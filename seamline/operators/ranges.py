@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seamline.functions.numbers import permuted
 from seamline.storage import stored
 
 
@@ -43,3 +44,16 @@ def running_sums(df: DataFrame, group: str, order: str, **values: Column) -> Dat
     out = ranged.withColumns({n: F.coalesce(F.sum(f"_v{k}").over(inside), F.lit(0)) for k, n in enumerate(values)}).join(carried, ["_p", group])
     out = out.withColumns({n: F.col(n) + F.col(f"_b{k}") for k, n in enumerate(values)})
     return out.drop("_p", "_in", *[f"_{c}{k}" for c in "vb" for k in range(len(values))])
+
+
+def epoch_batches(rows: DataFrame, slots: DataFrame, seed: int, *order: str) -> DataFrame:
+    """slots with the row of their source that stands there: each pass over a source is a new shuffle of all its rows.
+
+    slots: (source, place, ...). rows are numbered once; a pass takes the numbers in the order of a permutation that seed,
+    source and pass decide, so no pass sorts anything, and the end of one is the beginning of the next. rows has a column source.
+    """
+    placed = numbered(rows, "source", *order)
+    sizes = placed.groupBy("source").agg(F.count(F.lit(1)).alias("_n"), F.min("row").alias("_low"))  # a row for each source
+    found = slots.join(F.broadcast(sizes), "source").withColumn("epoch", F.floor(F.col("place") / F.col("_n")))
+    number = permuted(F.col("place") % F.col("_n"), F.col("_n"), F.lit(seed), F.col("source"), F.col("epoch"))
+    return found.withColumn("row", F.col("_low") + number).drop("_n", "_low").join(placed.drop("source"), "row").drop("row")

@@ -16,7 +16,7 @@ from seamline.plans.common import scratch, table
 from seamline.plans.evaluation_queries import LOGITS, cm, losses, predictions, with_logits
 from seamline.plans.evaluation_queries import ORACLES as SCORED
 from seamline.plans.evaluation_queries import tau_sweep
-from seamline.plans.text_queries import CLASSES, CLEAN, FOLD, SYN_SQL, TOKENS
+from seamline.plans.text_queries import CAPTION, CLEAN, FOLD, TOKENS
 from seamline.plans.vector_queries import DOT, PROMPTS, SPLIT_SQL, features, prompts, shown, split, t2t
 from seamline.sources import files
 
@@ -48,13 +48,17 @@ def fold_text(spark, sf_dir):
     return rows.select("k", X.folded(F.col("t")).alias("folded"), F.array_join(X.tokens(F.col("t")), " ").alias("words"))
 
 
-@query(f"WITH {MARKED_SQL}, s(synonym) AS (VALUES ('łodz'), ('Ệ'), ('a'), ('CAFÉ NOIR'), ('oeuvre'), ('nang'), ('å strom')), c AS (SELECT synonym, ' ' || array_to_string({TOKENS.format(x='synonym')}, ' ') || ' ' AS phrase FROM s) "
-       f"SELECT synonym, CAST(k AS INTEGER) AS k FROM m JOIN c ON contains(' ' || array_to_string({TOKENS.format(x='translate(translate(t, chr(39), chr(32)), chr(45) || chr(95), chr(32) || chr(32))')}, ' ') || ' ', phrase)")
+FOLDED_NAMES = ["fur", "Étè", "uber", "ça", "después", "NIÑO", "mas", "où est", "tambien", "ệ"]
+
+
+@query(
+    "WITH s(synonym) AS (VALUES " + ", ".join(f"({quote(n)})" for n in FOLDED_NAMES) + f"), c AS (SELECT synonym, ' ' || array_to_string({TOKENS.format(x='synonym')}, ' ') || ' ' AS phrase FROM s), "
+    f"h AS (SELECT doc_id, ' ' || array_to_string({TOKENS.format(x=CAPTION.format(x='text'))}, ' ') || ' ' AS hay FROM documents) SELECT synonym, doc_id FROM h JOIN c ON contains(hay, phrase)"
+)
 def phrase_match_folded(spark, sf_dir):
-    texts = spark.createDataFrame([(k, t.replace("'", " ")) for k, t in enumerate(MARKED)], "k int, text string")
-    names = ["łodz", "Ệ", "a", "CAFÉ NOIR", "oeuvre", "nang", "å strom"]
-    phrases = M.phrases_of(spark.createDataFrame([(0, n, 0, k) for k, n in enumerate(names)], "class_id int, synonym string, cnt int, ord int"))
-    return M.matches(texts, phrases, ["k"]).select("synonym", "k")
+    """Names with and without marks on their letters, in documents of several languages."""
+    phrases = M.phrases_of(spark.createDataFrame([(0, n, 0, k) for k, n in enumerate(FOLDED_NAMES)], "class_id int, synonym string, cnt int, ord int"))
+    return M.matches(table(spark, sf_dir, "documents"), phrases, ["doc_id"]).select("synonym", "doc_id")
 
 
 @query(
@@ -104,10 +108,10 @@ def lowest_above_threshold(spark, sf_dir):
     return C.lowest_above(t2t(spark, sf_dir), 10, "sim", 0.05).select("label", "vec_id", "sim", F.col("rank").cast("long").alias("rank"))
 
 
-@query(PROMPTS + "SELECT label, kept, removed FROM (SELECT e.label, count(*) - count(d.vec_id) AS kept, count(d.vec_id) AS removed FROM embeddings e LEFT JOIN dup d USING (label, vec_id) GROUP BY e.label) WHERE kept < removed AND kept < 100")
+@query(PROMPTS + "SELECT label, kept, removed FROM (SELECT e.label, count(*) - count(d.vec_id) AS kept, count(d.vec_id) AS removed FROM embeddings e LEFT JOIN dup d USING (label, vec_id) GROUP BY e.label) WHERE kept < removed AND kept < 100".replace("dup d", "(SELECT DISTINCT b.label, b.vec_id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE " + DOT.format(a="a.embedding", b="b.embedding") + " > 0.24) d"))
 def problem_classes(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return C.problem_classes(e, S.near_duplicates(e, 0.3))
+    return C.problem_classes(e, S.near_duplicates(e, 0.24))
 
 
 @query("WITH u AS (SELECT source, round(count(DISTINCT text) / count(*), 6) AS fraction FROM documents GROUP BY source) SELECT source, fraction FROM u UNION ALL SELECT 'mean', round(avg(fraction), 6) FROM u")
@@ -150,11 +154,15 @@ def empty_class_skip(spark, sf_dir):
     return out.select("n_name", F.coalesce("a", F.lit(0)).alias("all_rows"), kept.alias("kept"), (kept == 0).alias("skipped"))
 
 
-@query("SELECT vec_id, CASE WHEN vec_id % 3 = 1 THEN 'train' ELSE 'test' END AS part FROM embeddings")
+@query("SELECT CAST(doc_id AS INTEGER) AS img_id, 'docs/' || doc_id || '.txt' AS filepath, toxic AS target, CASE WHEN quality = 1 THEN 'train' ELSE 'test' END AS part FROM labels")
 def train_test_flag(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 3 == 1).cast("int").alias("is_training_img"))
-    train, test = rows.filter("is_training_img = 1"), rows.filter("is_training_img = 0")
-    return train.select("vec_id", F.lit("train").alias("part")).unionByName(test.select("vec_id", F.lit("test").alias("part")))
+    """Three files that share a key, written and read back, and the part that their flag says."""
+    rows, at = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("int").alias("img_id"), "quality", "toxic"), scratch(spark)
+    columns = {"images": F.concat(F.lit("docs/"), F.col("img_id").cast("string"), F.lit(".txt")), "labels": F.col("toxic"), "flags": F.col("quality")}
+    for name, c in columns.items():
+        rows.select("img_id", c.alias("c")).write.option("sep", " ").csv(f"{at}/{name}")
+    read = files.read_keyed_triple(spark, *[f"{at}/{n}" for n in columns])
+    return read.select("img_id", "filepath", "target", F.when(F.col("is_training_img") == 1, "train").otherwise("test").alias("part"))
 
 
 @query("SELECT c_custkey, n_nationkey AS label FROM customer JOIN nation ON n_nationkey = c_nationkey")
@@ -218,11 +226,12 @@ def label_line_parse(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.path_and_name(line).alias("x")).select("p_partkey", "x.*")
 
 
-@query("SELECT DISTINCT p_size % 3 AS k, 'vitb' || (p_size % 3) AS architecture, 'openclip' AS family, CASE WHEN p_size % 3 > 0 THEN 'laion_400m' END AS pretraining FROM part")
+@query("SELECT DISTINCT config, string_split(config, '_')[1] AS architecture, string_split(config, '_')[2] AS family, CASE WHEN len(string_split(config, '_')) > 2 THEN array_to_string(string_split(config, '_')[3:], '_') END AS pretraining FROM (SELECT lower(replace(p_name, ' ', '_')) || CASE WHEN p_size % 2 = 0 THEN '_' || lower(p_type) || '_' || p_size ELSE '' END AS config FROM part)")
 def model_config_parse(spark, sf_dir):
-    k = F.col("p_size") % 3
-    config = F.concat(F.lit("vitb"), k.cast("string"), F.lit("_openclip"), F.when(k > 0, "_laion_400m").otherwise(""))
-    return table(spark, sf_dir, "part").select(k.alias("k"), X.model_parts(config).alias("x")).distinct().select("k", "x.*")
+    """Names joined by underscores, taken apart; the third part may be missing, and may hold underscores."""
+    tail = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("_"), F.lower("p_type"), F.lit("_"), F.col("p_size").cast("string"))).otherwise("")
+    config = F.concat(F.lower(F.replace("p_name", F.lit(" "), F.lit("_"))), tail)
+    return table(spark, sf_dir, "part").select(config.alias("config")).distinct().select("config", X.model_parts(F.col("config")).alias("x")).select("config", "x.*")
 
 
 @query("SELECT n_name, CASE r_name WHEN 'ASIA' THEN 'Which birds live in ' || n_name || '?' WHEN 'EUROPE' THEN 'List names for ' || n_name || '.' ELSE 'What is ' || n_name || '?' END AS question FROM nation JOIN region ON r_regionkey = n_regionkey")
@@ -232,48 +241,54 @@ def question_text(spark, sf_dir):
     return rows.select("n_name", asked.alias("question"))
 
 
-EXTRA = [(0, "Of The!", ["of the", "The-Of", "new 'one'"]), (1, "And", ["or_else"]), (2, "Is It", []), (3, "Der Die", ["das", "das"])]
-EXTRA_SQL = "ex(class_id, name, others) AS (VALUES " + ", ".join(f"({c}, {quote(n)}, [{', '.join(quote(o) for o in others)}]::VARCHAR[])" for c, n, others in EXTRA) + ")"
+#: A class for each brand: its name as a list has it, and its lower-cased part names with the number of parts
+METRICS_SQL = "al(class_id, alternate, n) AS (SELECT p_brand, lower(p_name), count(*) FROM part GROUP BY ALL), nm(class_id, name) AS (SELECT p_brand, max(upper(p_name[1]) || p_name[2:]) FROM part GROUP BY ALL)"
 
 
-def metrics(spark):
-    rows = [(c, n, dict(names)) for c, n, names in CLASSES]
-    return spark.createDataFrame(rows, "class_id int, name string, alternates map<string, bigint>")
+def metrics(spark, sf_dir):
+    """(class_id, name, alternates): metrics of the brands of the part table; a brand has few different part names."""
+    part = table(spark, sf_dir, "part").select(F.col("p_brand").alias("class_id"), "p_name")
+    counts = part.groupBy("class_id", F.lower("p_name").alias("alternate")).agg(F.count(F.lit(1)).alias("n"))
+    maps = counts.groupBy("class_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("alternate", "n")))).alias("alternates"))
+    names = part.groupBy("class_id").agg(F.max(F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 1000))).alias("name"))
+    return names.join(maps, "class_id")
 
 
 def listed(classes, *more: str):
     return classes.select("class_id", *more, F.explode("alternates").alias("alternate", "n"))
 
 
+EXTRA_SQL = "ex(class_id, name, others) AS (SELECT p_brand, min(upper(p_brand) || '!'), list(DISTINCT CASE WHEN p_size % 2 = 0 THEN p_type || '_' || p_size ELSE upper(p_name) END) FROM part WHERE p_size < 9 GROUP BY p_brand)"
+
+
 @query(
-    f"""WITH {SYN_SQL}, {EXTRA_SQL}, w AS (SELECT class_id, unnest(list_prepend(name, others)) AS o FROM ex),
-a AS (SELECT class_id, synonym AS alternate, cnt AS n FROM syn WHERE class_id IN (SELECT class_id FROM ex) UNION ALL
-  SELECT DISTINCT class_id, {CLEAN.format(x="o")}, 0 FROM w WHERE NOT EXISTS (SELECT 1 FROM syn s WHERE s.class_id = w.class_id AND s.synonym = {CLEAN.format(x="o")}))
+    f"""WITH {METRICS_SQL}, {EXTRA_SQL}, w AS (SELECT class_id, unnest(list_prepend(name, others)) AS o FROM ex),
+a AS (SELECT class_id, alternate, n FROM al WHERE class_id IN (SELECT class_id FROM ex) UNION ALL
+  SELECT DISTINCT class_id, {CLEAN.format(x="o")}, 0 FROM w WHERE NOT EXISTS (SELECT 1 FROM al s WHERE s.class_id = w.class_id AND s.alternate = {CLEAN.format(x="o")}))
 SELECT class_id, name, alternate, CAST(n AS BIGINT) AS n FROM a JOIN ex USING (class_id)"""
 )
 def metrics_combined(spark, sf_dir):
-    extra = spark.createDataFrame(EXTRA, "class_id int, name string, others array<string>")
-    return listed(C.combined_metrics(metrics(spark), extra), "name")
-
-
-NAMES_SQL = "nm(class_id, name) AS (VALUES " + ", ".join(f"({c}, {quote(n.title())})" for c, n, _ in CLASSES) + ")"
+    small = table(spark, sf_dir, "part").filter("p_size < 9")
+    other = F.when(F.col("p_size") % 2 == 0, F.concat("p_type", F.lit("_"), F.col("p_size").cast("string"))).otherwise(F.upper("p_name"))
+    extra = small.groupBy(F.col("p_brand").alias("class_id")).agg(F.min(F.concat(F.upper("p_brand"), F.lit("!"))).alias("name"), F.collect_set(other).alias("others"))
+    return listed(C.combined_metrics(metrics(spark, sf_dir), extra), "name")
 
 
 @query(
-    f"""WITH {SYN_SQL}, {NAMES_SQL} SELECT class_id, synonym AS alternate, CAST(cnt AS BIGINT) AS n FROM syn WHERE ord > 0 UNION ALL
-SELECT class_id, {CLEAN.format(x="name")}, 0 FROM nm WHERE NOT EXISTS (SELECT 1 FROM syn s WHERE s.class_id = nm.class_id AND ord > 0 AND s.synonym = {CLEAN.format(x="nm.name")})"""
+    f"""WITH {METRICS_SQL}, kept AS (SELECT * FROM al WHERE n > 1) SELECT class_id, alternate, CAST(n AS BIGINT) AS n FROM kept WHERE class_id IN (SELECT class_id FROM nm) UNION ALL
+SELECT class_id, {CLEAN.format(x="name")}, 0 FROM nm WHERE NOT EXISTS (SELECT 1 FROM kept s WHERE s.class_id = nm.class_id AND s.alternate = {CLEAN.format(x="nm.name")})"""
 )
 def official_names_back(spark, sf_dir):
-    """Names that a filter took out of the alternates are put back, at 0."""
-    rows = [(c, n.title(), dict(names[1:])) for c, n, names in CLASSES]
-    classes = spark.createDataFrame(rows, "class_id int, name string, alternates map<string, bigint>")
+    """Names that a filter of rare alternates took out are put back, at 0."""
+    classes = metrics(spark, sf_dir).withColumn("alternates", F.map_filter("alternates", lambda k, n: n > 1))
     return listed(classes.withColumn("alternates", C.with_names(F.col("alternates"), F.col("name"))))
 
 
-@query(f"WITH {SYN_SQL} SELECT class_id, synonym AS alternate, CAST(CASE WHEN synonym = 'and' THEN 1 ELSE cnt END AS BIGINT) AS n FROM syn UNION ALL SELECT DISTINCT class_id, 'fresh', 7 FROM syn")
+@query(f"WITH {METRICS_SQL} SELECT class_id, alternate, CAST(CASE WHEN alternate = lower(name) THEN 1 ELSE n END AS BIGINT) AS n FROM al JOIN nm USING (class_id) UNION ALL SELECT class_id, 'fresh', 7 FROM nm")
 def map_upsert(spark, sf_dir):
-    updates = F.when(F.map_contains_key("alternates", "and"), F.create_map(F.lit("and"), F.lit(1).cast("long"), F.lit("fresh"), F.lit(7).cast("long"))).otherwise(F.create_map(F.lit("fresh"), F.lit(7).cast("long")))
-    return listed(metrics(spark).withColumn("alternates", C.upserted(F.col("alternates"), updates)))
+    """Each class's own name set to 1, and a new one put in."""
+    updates = F.map_from_arrays(F.array(F.lower("name"), F.lit("fresh")), F.array(F.lit(1).cast("long"), F.lit(7).cast("long")))
+    return listed(metrics(spark, sf_dir).withColumn("alternates", C.upserted(F.col("alternates"), updates)))
 
 
 @query("SELECT c_custkey AS class_id, CASE WHEN c_custkey % 5 = 0 THEN 'third' WHEN c_custkey % 2 = 0 THEN 'second' ELSE 'first' END AS name FROM customer")
@@ -291,14 +306,13 @@ def zero_counts_map(spark, sf_dir):
     return names.select("r_name", F.explode(C.zero_counts(F.concat("names", "names"))).alias("alternate", "n"))
 
 
-@query("SELECT n_name, CAST(rank() OVER (ORDER BY n_nationkey) - 1 AS INTEGER) AS old_id, n_nationkey * 10 AS new_id FROM nation")
+@query("SELECT n_name, n_nationkey AS old_id, n_nationkey * 10 AS new_id FROM nation")
 def inverted_map(spark, sf_dir):
-    """A map of new ids by old ones, turned around and looked up."""
+    """New ids by old ones, turned around and looked up: a map as a table of pairs, so it may have any size."""
     nation = table(spark, sf_dir, "nation")
-    pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("k"), (F.col("n_nationkey") * 10).alias("v")))))
-    turned = nation.agg(pairs.alias("m")).select(F.map_from_arrays(F.map_values("m"), F.map_keys("m")).alias("m"))  # one row
-    rows = nation.withColumn("new_id", F.col("n_nationkey") * 10).crossJoin(F.broadcast(turned))
-    return rows.select("n_name", F.element_at("m", F.col("new_id")).alias("old_id"), "new_id")
+    pairs = nation.select(F.col("n_nationkey").alias("k"), (F.col("n_nationkey") * 10).alias("v"))
+    turned = pairs.select(F.col("v").alias("new_id"), F.col("k").alias("old_id"))
+    return nation.withColumn("new_id", F.col("n_nationkey") * 10).join(turned, "new_id").select("n_name", "old_id", "new_id")
 
 
 @query(
@@ -366,10 +380,10 @@ def largest_confusions(spark, sf_dir):
     return few.withColumn("r", F.rank().over(E.W.partitionBy("label").orderBy(F.desc("n")))).filter("r = 1").select("label", "pred", "n")
 
 
-@query(f"WITH {SYN_SQL} SELECT class_id, CAST(sum(cnt) AS BIGINT) AS freq, row_number() OVER (ORDER BY sum(cnt) DESC, class_id) AS place FROM syn GROUP BY class_id")
+@query(f"WITH {METRICS_SQL} SELECT class_id, CAST(sum(n) AS BIGINT) AS freq, row_number() OVER (ORDER BY sum(n) DESC, class_id) AS place FROM al GROUP BY class_id")
 def frequency_sort(spark, sf_dir):
-    """Classes by their counts, the most frequent first; a class list, so one task sorts it."""
-    freq = listed(metrics(spark)).groupBy("class_id").agg(F.sum("n").alias("freq"))
+    """Classes by the sums of their alternates' counts, the most frequent first."""
+    freq = listed(metrics(spark, sf_dir)).groupBy("class_id").agg(F.sum("n").alias("freq"))
     return numbered(freq.withColumn("down", -F.col("freq")), "down", "class_id").select("class_id", "freq", (F.col("row") + 1).alias("place"))
 
 
@@ -400,7 +414,7 @@ AUDIT = (
 b AS (SELECT *, sum(ok::INT) OVER (PARTITION BY label ORDER BY sim DESC, vec_id ROWS UNBOUNDED PRECEDING) AS taken FROM a),
 c AS (SELECT *, CASE WHEN ok AND taken <= 5 THEN 'sampled' WHEN NOT ok AND taken < 5 THEN 'filtered' END AS status FROM b)
 SELECT status, regexp_replace(printf('%.4f', sim), '(\\.\\d+?)0+$', '\\1') || '/0.0, ' || regexp_replace(printf('%.4f', sim2), '(\\.\\d+?)0+$', '\\1') || '/0.02, mined/' || label || '/' || vec_id || '.jpg, caption ' || vec_id AS line FROM c WHERE status IS NOT NULL"""
-).replace("printf('%.4f', sim)", "printf('%.4f', round(sim, 4))").replace("printf('%.4f', sim2)", "printf('%.4f', round(sim2, 4))")
+)
 
 
 @query(AUDIT)

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seamline.functions import vectors as V
+from seamline.functions.numbers import exact_round
 from seamline.operators import evaluation as E
 from seamline.plans.common import table
 from seamline.plans.vector_queries import DOT, PROMPTS, prompts
@@ -200,12 +201,22 @@ def inverse_freq_weights(spark, sf_dir):
     return n.crossJoin(F.broadcast(total)).select("label", F.round(1 / F.col("n") / F.col("inv"), 6).alias("weight"), F.round(F.ln(F.col("n") / F.col("all")), 6).alias("log_prior"))
 
 
-@query("SELECT CAST(t AS INTEGER) AS step, round(CASE WHEN t = 0 THEN 1e-5 WHEN t <= 50 THEN 0.001 * t / 50 ELSE 1e-9 + (0.001 - 1e-9) * 0.5 * (1 + cos(pi() * (t - 50) / 450)) END, 9) AS lr FROM range(500) r(t)")
+@query("SELECT event_id AS step, round(CASE WHEN t = 0 THEN 1e-5 WHEN t <= 50 THEN 0.001 * t / 50 ELSE 1e-9 + (0.001 - 1e-9) * 0.5 * (1 + cos(pi() * (t - 50) / (n - 50))) END, 9) AS lr FROM (SELECT event_id, event_id - min(event_id) OVER () AS t, CAST(count(*) OVER () AS DOUBLE) AS n FROM events)")
 def lr_schedule(spark, sf_dir):
-    """A linear warm-up over 50 steps from a least rate, then a cosine down to almost nothing."""
-    t = F.col("id")
-    cosine = 1e-9 + (0.001 - 1e-9) * 0.5 * (1 + F.cos(F.pi() * (t - 50) / 450))
-    return spark.range(500).select(t.cast("int").alias("step"), F.round(F.when(t == 0, 1e-5).when(t <= 50, 0.001 * t / 50).otherwise(cosine), 9).alias("lr"))
+    """The rate of each logged step: a linear warm-up over 50 steps from a least rate, then a cosine down to almost nothing."""
+    log = table(spark, sf_dir, "events").select("event_id")
+    size = log.agg(F.count(F.lit(1)).cast("double").alias("n"), F.min("event_id").alias("low"))  # one row
+    rows = log.crossJoin(F.broadcast(size)).withColumn("t", F.col("event_id") - F.col("low"))
+    t = F.col("t")
+    cosine = 1e-9 + (0.001 - 1e-9) * 0.5 * (1 + F.cos(F.pi() * (t - 50) / (F.col("n") - 50)))
+    return rows.select(F.col("event_id").alias("step"), F.round(F.when(t == 0, 1e-5).when(t <= 50, 0.001 * t / 50).otherwise(cosine), 9).alias("lr"))
+
+
+@query("SELECT event_id, " + ", ".join(f"CAST(printf('%.{n}f', {x}) AS DOUBLE) AS {name}{n}" for name, x, n in (("eighth", "value / 8", 0), ("eighth", "value / 8", 3), ("share", "value / 1000", 4), ("cents", "value - 1000.005", 2))) + " FROM events")
+def binary_rounding(spark, sf_dir):
+    """Values rounded from their binary value, ties to even: eighths have true ties, and most decimal ties are none."""
+    rows = table(spark, sf_dir, "events").select("event_id", (F.col("value") / 8).alias("eighth"), (F.col("value") / 1000).alias("share"), (F.col("value") - 1000.005).alias("cents"))
+    return rows.select("event_id", *[exact_round(F.col(name), n).alias(f"{name}{n}") for name, n in (("eighth", 0), ("eighth", 3), ("share", 4), ("cents", 2))])
 
 
 @query(LOGITS + "SELECT vec_id, label, round(entropy, 6) AS entropy FROM (SELECT vec_id, any_value(label) AS label, -sum(p * ln(p)) AS entropy FROM (SELECT lg.vec_id, lg.label, exp(logit - lse) AS p FROM lg JOIN sm USING (vec_id)) GROUP BY vec_id)")

@@ -126,16 +126,16 @@ def zero_pad_ids(spark, sf_dir):
     return rows.select("vec_id", X.shard_name(F.col("vec_id") % 128).alias("shard"), X.shard_name(F.col("vec_id"), 12).alias("file"))
 
 
-TEMPLATES = [(0, "a photo of a {}."), (1, "a {} photo of the {}."), (2, "no place")]
-
-
 @query(
-    """WITH t(template_id, template) AS (VALUES (0, 'a photo of a {}.'), (1, 'a {} photo of the {}.'), (2, 'no place')),
+    """WITH t AS (SELECT DISTINCT n_nationkey AS template_id, CASE n_nationkey % 3 WHEN 0 THEN 'a photo of a {} from ' || n_name || '.' WHEN 1 THEN n_name || ': a {} photo of the {}.' ELSE 'no place in ' || n_name END AS template FROM nation),
 n AS (SELECT DISTINCT p_name, p_brand FROM part)
-SELECT p_name, p_brand, template_id, CASE template_id WHEN 0 THEN 'a photo of a ' || p_name || '.' WHEN 1 THEN 'a ' || p_name || ' photo of the ' || p_brand || '.' ELSE template END AS prompt FROM n, t"""
+SELECT p_name, p_brand, template_id, CASE template_id % 3 WHEN 0 THEN replace(template, '{}', p_name) WHEN 1 THEN string_split(template, '{}')[1] || p_name || string_split(template, '{}')[2] || p_brand || string_split(template, '{}')[3] ELSE template END AS prompt FROM n, t"""
 )
 def prompt_expand(spark, sf_dir):
-    templates = spark.createDataFrame(TEMPLATES, "template_id int, template string")
+    """Every name in every template of a table of templates, a small dimension by definition."""
+    k = F.col("n_nationkey") % 3
+    said = F.when(k == 0, F.concat(F.lit("a photo of a {} from "), "n_name", F.lit("."))).when(k == 1, F.concat("n_name", F.lit(": a {} photo of the {}."))).otherwise(F.concat(F.lit("no place in "), "n_name"))
+    templates = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("template_id"), said.alias("template"))
     names = table(spark, sf_dir, "part").select("p_name", "p_brand").distinct()
     return names.crossJoin(F.broadcast(templates)).select("p_name", "p_brand", "template_id", X.from_template(F.col("template"), F.col("p_name"), F.col("p_brand")).alias("prompt"))
 
@@ -219,12 +219,14 @@ def most_common_name_strict(spark, sf_dir):
     return _names(spark, sf_dir, True)
 
 
-@query(f"WITH {SYN_SQL}, {NAME_SQL} SELECT class_id, name FROM names n WHERE NOT EXISTS (SELECT 1 FROM syn s WHERE s.class_id = n.class_id AND s.synonym = lower(n.name))")
+@query("SELECT p_brand AS class_id, p_type AS name FROM (SELECT p_brand, p_type, lower(p_type) AS low FROM part GROUP BY ALL) c WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_brand = c.p_brand AND p.p_size > 45 AND lower(p.p_type) = c.low)")
 def name_coverage_lint(spark, sf_dir):
-    """Classes whose lower-cased name is no key of their alternates."""
-    rows = [(c, n, {s: k for s, k in names}) for c, n, names in CLASSES]
-    classes = spark.createDataFrame(rows, "class_id int, name string, alternates map<string, bigint>")
-    return classes.filter(~F.map_contains_key("alternates", F.lower("name"))).select("class_id", "name")
+    """Names whose lower-cased form is no key of their class's alternates: types of a brand against those of its large parts."""
+    part = table(spark, sf_dir, "part").select(F.col("p_brand").alias("class_id"), F.col("p_type").alias("name"), "p_size")
+    keys = part.filter("p_size > 45").groupBy("class_id").agg(F.collect_set(F.lower("name")).alias("k"))  # a brand has few types
+    alternates = F.map_from_arrays("k", F.array_repeat(F.lit(0), F.size("k")))
+    classes = part.select("class_id", "name").distinct().join(keys.select("class_id", alternates.alias("alternates")), "class_id", "left")
+    return classes.filter(F.col("alternates").isNull() | ~F.map_contains_key("alternates", F.lower("name"))).select("class_id", "name")
 
 
 def _download(how: str, k: int, few: int = 5):
