@@ -35,6 +35,8 @@ SPACE = "▁"
 MAX_BROADCAST_MISSES = 100_000
 #: Words that a worker remembers, and their longest.
 MOST_WORDS, LONGEST_WORD = 1 << 18, 48
+#: Rows of a digest, at least, for it to count as hot.
+OFTEN = 1_000
 CACHE_SCHEMA = "digest binary, n_tokens long"
 
 
@@ -177,8 +179,15 @@ def count_tokens(docs: DataFrame, model: str, cache: str | None = None, limit: i
     spark, version = docs.sparkSession, tokenizer_version(model)
     cache = cache or new_cache(spark)
     keyed = written(docs.select(F.col(doc_id).alias("doc_id"), F.octet_length(whole(text)).cast("long").alias("n_bytes"), _digest(normalised(text)).alias("digest")), "digests")
-    missing = written(keyed.select("digest").distinct().join(cached_counts(spark, cache, version), "digest", "left_anti"), "missing")
+    copies = written(keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("n")), "copies")
+    missing = written(copies.select("digest").join(cached_counts(spark, cache, version), "digest", "left_anti"), "missing")
     if not missing.isEmpty():
         encode_missing(missing_texts(docs, missing, text), model).write.mode("append").parquet(f"{cache.rstrip('/')}/version={version}")
-    counted = keyed.join(cached_counts(spark, cache, version), "digest", "left")
+    counts = cached_counts(spark, cache, version)
+    # digests with a thousandth of all rows or more: a thousand of them at most, so their counts are sent to every task
+    often = max(OFTEN, (copies.agg(F.sum("n")).first()[0] or 0) // 1000)
+    hot = written(copies.filter(F.col("n") >= often).select("digest").join(counts, "digest"), "hot")
+    by_copy = keyed.join(F.broadcast(hot), "digest", "left")
+    rare = by_copy.filter("n_tokens is null").drop("n_tokens").join(counts, "digest", "left")
+    counted = by_copy.filter("n_tokens is not null").unionByName(rare)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

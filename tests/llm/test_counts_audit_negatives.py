@@ -72,6 +72,15 @@ def test_a_second_run_encodes_only_what_is_new(spark, tmp_path):
     assert count_tokens(second, MODEL, cache).count() == 3
 
 
+def test_a_hot_text_is_no_key_of_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "OFTEN", 20)
+    docs = spark.createDataFrame([(i, "hot text" if i % 3 else f"text {i % 50}") for i in range(300)], "doc_id long, text string").repartition(4)
+    out = count_tokens(docs, MODEL)
+    got = {r.doc_id: r.n_tokens for r in out.collect()}
+    assert len(got) == 300 and all(n == Counter.of_worker(MODEL).encoded("hot text" if i % 3 else f"text {i % 50}") for i, n in got.items())
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("most", [0, 100])
 def test_each_missing_text_is_encoded_once_either_way(spark, monkeypatch, most):
     monkeypatch.setattr(token_counts, "MAX_BROADCAST_MISSES", most)
