@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from seamline.functions import vectors as V
@@ -59,6 +60,52 @@ def test_near_duplicates_have_no_rescue(spark, monkeypatch):
     assert 1 in want and 0 not in want
 
 
+def plain_later(rows, threshold):
+    out = set()
+    for label in {r[1] for r in rows}:
+        mine = sorted((i, np.array(v)) for i, k, v in rows if k == label)
+        v = np.array([x for _, x in mine])
+        near = np.round(v @ v.T, 9) > threshold
+        out |= {mine[j][0] for j in range(len(mine)) if near[:j, j].any()}
+    return out
+
+
+def test_rows_go_only_to_cells_in_reach(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 12))
+    v = centres[rng.integers(0, 30, 1500)] + 0.12 * rng.normal(size=(1500, 12))
+    v[::40] = v[7]  # a hot vector
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(i, i % 2 if i < 1400 else 2, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").repartition(4)
+    found = S.near_duplicates(df)
+    assert sorted(r.vec_id for r in found.collect()) == sorted(plain_later(rows, 0.9))
+    copies = _sent_rows(spark, found)
+    assert copies < 0.35 * sum(n * -(-n // 16) for n in (700, 700, 100)), copies  # each row to each block of its class
+
+
+def _sent_rows(spark, found):
+    """Rows that are dealt to pairs of blocks."""
+    plan = found._jdf.queryExecution().optimizedPlan()
+    node = plan
+    while "MapInArrow" not in node.nodeName():
+        node = node.children().head()
+    return spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, node).count()
+
+
+@pytest.mark.parametrize("scale", [1.0, 3.0])
+def test_near_duplicates_of_vectors_of_any_length(spark, monkeypatch, scale):
+    monkeypatch.setattr(S, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(400, 4)) * rng.uniform(0.1, scale, size=(400, 1))
+    rows = [(i, i % 3, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").repartition(3)
+    for threshold in (0.9, 0.2, -0.1):
+        assert {r.vec_id for r in S.near_duplicates(df, threshold).collect()} == plain_later(rows, threshold)
+    assert S.near_duplicates(df.limit(0)).count() == 0
+
+
 def test_scores(spark):
     cm = spark.createDataFrame([(0, 0, 3), (0, 1, 1), (1, 1, 2), (2, 0, 2)], "label int, pred int, n long")
     got = {r.class_id: (r.recall, r.precision, r.f1) for r in E.class_scores(cm).collect()}
