@@ -98,3 +98,20 @@ def focal(ce: Column, alpha: float = 1.0, gamma: float = 2.0) -> Column:
 def best_by(rows: DataFrame, group: list[str], value: str, tie: Column, *keep: str) -> DataFrame:
     """The row of each group with the largest value; the larger tie wins."""
     return rows.groupBy(*group).agg(F.max_by(F.struct(*keep), F.struct(F.col(value), tie)).alias("_r")).select(*group, "_r.*")
+
+
+def shifted_accuracy(sets: dict[str, tuple[DataFrame, DataFrame | None]], weights: DataFrame) -> DataFrame:
+    """(set_name, acc), and the plain mean of all sets as "mean": percent of each set's rows whose label has the largest logit.
+
+    sets: a table of rows of its own for each name, and the classes (label) that it has, or None for all. Only a set's own
+    classes compete in it.
+    """
+    parts = []
+    for name, (rows, classes) in sets.items():
+        heads = weights if classes is None else weights.join(F.broadcast(classes.select("label").distinct()), "label", "left_semi")
+        hit = (F.col("pred") == F.col("label")).cast("double")
+        parts.append(predicted(logits(rows, heads)).agg((100 * F.avg(hit)).alias("acc")).select(F.lit(name).alias("set_name"), "acc"))
+    each = parts[0]
+    for part in parts[1:]:
+        each = each.unionByName(part)
+    return each.unionByName(each.agg(F.lit("mean").alias("set_name"), F.avg("acc").alias("acc")))

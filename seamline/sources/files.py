@@ -217,3 +217,24 @@ def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame], again:
     if again or not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def read_class_lists(spark: SparkSession, path: str) -> DataFrame:
+    """(set_name, label, name, key) of a JSON object of class lists: {set: [name, ...]} or {set: {key: name, ...}}, labels in the order
+    listed from 0. A dimension of public class lists, so one task reads it."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, string>").alias("m"))
+    sets = whole.select(F.explode("m").alias("set_name", "body"))
+    keyed = F.from_json("body", "map<string, string>")
+    plain = F.transform(F.from_json("body", "array<string>"), lambda n: F.struct(F.lit(None).cast("string").alias("key"), n.alias("name")))
+    pairs = F.transform(F.map_entries(keyed), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("name")))
+    rows = sets.select("set_name", F.posexplode(F.when(F.trim("body").startswith("["), plain).otherwise(pairs)).alias("label", "e"))
+    return rows.select("set_name", "label", "e.name", "e.key")
+
+
+def write_version(rows: DataFrame, root: str, version: int) -> None:
+    """A table's next version, a folder of its own; those before it stay."""
+    rows.write.mode("overwrite").parquet(f"{root.rstrip('/')}/version={version:06d}")
+
+
+def read_version(spark: SparkSession, root: str, version: int, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{root.rstrip('/')}/version={version:06d}")
