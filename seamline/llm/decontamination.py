@@ -8,9 +8,10 @@ Words are runs of letters and digits in lower case, with any other character bey
    turns the sum, as large as terms x rank, into singular values and vectors (single pass, by the Nystroem formula).
 3. Passages and benchmark pieces meet in the latent space. A passage is a candidate for an item when their cosine, with
    the passage's full length, reaches MIN_COSINE. A passage whose weight in the terms is too small for that is skipped.
-   A space of RANK directions leaves out much of a large benchmark, so there is an exact way too: a match leaves out few
-   of an item's words, so it holds a known share of any set of them. Stretches of a document that hold that share of an
-   item's rarest words are candidates as well (class Rarest); no match of step 4 escapes it, whatever the basis holds.
+   A space of RANK directions leaves out much of a large benchmark. For each item it is worked out what cosine a passage
+   with half of the item's weight would have in the space; items for which that isn't well above MIN_COSINE are sought
+   in an exact way too: a match leaves out few of an item's words, so it holds a known share of any set of them, and
+   stretches of a document that hold that share of the item's rarest words are candidates as well (class Rarest).
 4. Candidates are checked on the words around the passage: the longest common subsequence with the whole item must
    reach VERBATIM of its words; or PARAPHRASE of them, if the item's answer words (its rarest) nearly all occur too.
 
@@ -40,6 +41,8 @@ PIECE = 32
 #: Words of more documents than this share, and than this number, have no weight.
 MAX_DOCUMENT_SHARE, MIN_STOP_DOCUMENTS = 0.03, 20
 MIN_COSINE = 0.15
+#: An item is left to the latent search alone if half of it would have so many times MIN_COSINE.
+HELD_WELL = 1.6
 VERBATIM, PARAPHRASE, ANSWER_SHARE, ANSWERS = 0.7, 0.5, 0.9, 0.25
 #: Below so many words an item counts as found only nearly whole.
 SHORT, SHORT_SHARE = 8, 0.9
@@ -160,11 +163,27 @@ def _runs(values: np.ndarray) -> tuple[list[int], list[int]]:
     return edges[:-1], edges[1:]
 
 
-def by_rarest_words(whole_items: list[np.ndarray], answers: list[np.ndarray], terms: Terms, frequency: np.ndarray) -> list[Rarest]:
-    """The items' postings, one table for each power of two that an item's window fits into."""
+def thinly_held(item: np.ndarray, first: np.ndarray, after: np.ndarray, number: np.ndarray, weight: np.ndarray, length: np.ndarray, other: float) -> set[int]:
+    """Items of which a piece may be missed in the latent space.
+
+    A piece's weights have a length in the space (length) and one of their own. A passage that holds the half of the weight,
+    by the square, and otherwise words of the usual weight has about the cosine that is worked out here.
+    """
+    thin = set()
+    for k, a, b, held in zip(item.tolist(), first, after, length):
+        times, where = np.unique(number[a:b], return_counts=True)[::-1]
+        own = float(((times * weight[where]) ** 2).sum())
+        passage = own / 2 + max(WINDOW - (b - a) / 2, 0) * other**2
+        if own <= 0 or held / math.sqrt(own) * math.sqrt(own / 2 / passage) < HELD_WELL * MIN_COSINE:
+            thin.add(k)
+    return thin
+
+
+def by_rarest_words(whole_items: list[np.ndarray], answers: list[np.ndarray], terms: Terms, frequency: np.ndarray, wanted: set[int]) -> list[Rarest]:
+    """The wanted items' postings, one table for each power of two that an item's window fits into."""
     sizes: dict[int, list[int]] = {}
     for k, own in enumerate(whole_items):
-        if len(own):
+        if len(own) and k in wanted:
             sizes.setdefault(1 << (WINDOW + 2 * len(own) - 1).bit_length(), []).append(k)
     return [Rarest(size, items, whole_items, answers, terms, frequency) for size, items in sorted(sizes.items())]
 
@@ -324,8 +343,7 @@ def common_subsequence(item: np.ndarray, words: np.ndarray) -> int:
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, common_words, item_words, cosine, first_word): a row for each row of docs and item found in it.
 
-    A benchmark of any size: its parts are checked one after the other, each against all documents. Which items match
-    doesn't hang on the parts, as the exact way finds every match.
+    A benchmark of any size: its parts are checked one after the other, each against all documents.
     """
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.lower(whole(item_text)).alias("t"))
     n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
@@ -358,7 +376,7 @@ def _contaminated(docs: DataFrame, rows: list, doc_id: str, text: str) -> DataFr
         answers.append(distinct[np.lexsort((distinct, frequency[terms.number(distinct)]))][: max(1, round(ANSWERS * len(distinct)))])
     # pieces of stop words alone have no direction: their items are sought by their rarest words, however frequent
     pieces = pieces / np.maximum(length, 1e-6)[:, None]
-    rarest = by_rarest_words(whole_items, answers, terms, frequency)
+    rarest = by_rarest_words(whole_items, answers, terms, frequency, thinly_held(item, first, after, number, weight, length, other))
     shared = docs.sparkSession.sparkContext.broadcast((terms, weight, basis, pieces, item, whole_items, answers, rarest))
 
     def found_in(words: np.ndarray, k: int, state: tuple) -> int | None:

@@ -562,3 +562,14 @@ def test_suffix_dedup_of_a_hot_line(spark, monkeypatch):
     assert placed.agg(F.max("n")).first()[0] <= 1 << 12
     placed = suffix_dedup.placed_segments(dealt, n, 1 << 30).groupBy("anchor").agg(F.sum(F.length("segment")).alias("n"))
     assert placed.agg(F.max("n")).first()[0] > 1 << 12
+
+
+def test_decontamination_leaves_what_the_space_holds_to_it(spark, monkeypatch):
+    """A benchmark that the directions hold: hardly an item is sought by its rarest words, and what is found is the same."""
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    wanted, plain = [], decontamination.by_rarest_words
+    monkeypatch.setattr(decontamination, "by_rarest_words", lambda *a: wanted.append(a[-1]) or plain(*a))
+    found = lambda: {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items).select("doc_id", "item_id").collect()}
+    led = found()
+    monkeypatch.setattr(decontamination, "by_rarest_words", lambda *a: plain(*a[:-1], set(range(len(a[0])))))
+    assert led == found() and len(led) > 20 and len(wanted[0]) < 0.1 * items.count()
