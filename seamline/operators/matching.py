@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from seamline.functions.text import caption, clean_name, spaced_caption, unpunctuated, word_set
 from seamline.operators.expressions import compiled, expression_of, holds, is_plain, lookup_key, pattern
+from seamline.storage import dealt_out
 
 #: A synonym table of more rows isn't broadcast; the token join is then an ordinary one.
 MAX_BROADCAST_SYNONYMS = 200_000
@@ -60,7 +61,7 @@ def matches(captions: DataFrame, phrases: DataFrame, keys: list[str], text: str
     if sought.limit(MAX_BROADCAST_SYNONYMS + 1).count() <= MAX_BROADCAST_SYNONYMS:
         sought = F.broadcast(sought)
     # never null, and an outer explode: no filter is inferred that would work out a text's tokens again
-    texts = captions.select(*keys, F.col(text).alias("text"), F.coalesce(spaced_caption(F.col(text)), F.lit("")).alias("hay"))
+    texts = dealt_out(captions.select(*keys, F.col(text).alias("text"))).select(*keys, "text", F.coalesce(spaced_caption(F.col("text")), F.lit("")).alias("hay"))
     words = F.split("hay", " ")
     if lengths:
         words = F.filter(F.concat(words, *[_beginnings(words, n) for n in lengths]), lambda w: w.isNotNull())

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from seamline.functions.text import spaced_caption
 from seamline.operators.matching import MAX_BROADCAST_SYNONYMS
+from seamline.storage import dealt_out
 
 BLOCK_ROWS, BUCKETS = 1024, 64
 #: Up to so many tokens are named in the scan's filter, so that it can skip row groups.
@@ -45,7 +46,7 @@ def _gaps(found: str, value: str, start: Column | None = None) -> Column:
 
 def add_shards(captions: DataFrame, root: str, shard: str = "shard", row: str = "row", text: str = "text") -> None:
     """Puts the captions' shards into the index. (shard, row) names a caption."""
-    rows = captions.select(F.col(shard).cast("int").alias("shard"), F.col(row).cast("long").alias("row"), F.filter(F.split(F.coalesce(spaced_caption(F.col(text)), F.lit("")), " "), lambda w: w != "").alias("words"))
+    rows = dealt_out(captions).select(F.col(shard).cast("int").alias("shard"), F.col(row).cast("long").alias("row"), F.filter(F.split(F.coalesce(spaced_caption(F.col(text)), F.lit("")), " "), lambda w: w != "").alias("words"))
     words = rows.select("shard", "row", F.posexplode("words").alias("place", "token")).withColumn("block", F.floor(F.col("row") / BLOCK_ROWS))
     per = words.groupBy("shard", "token", "block").agg(F.array_sort(F.collect_list(F.struct("row", "place"))).alias("found"))
     per = per.withColumn("first", F.col("found")[0]["row"])

@@ -65,7 +65,7 @@ def confusion_matrix_dense(spark, sf_dir):
     """Every cell, from the class dimension on both sides (classes x classes rows by definition)."""
     classes = table(spark, sf_dir, "embeddings").select("label").distinct()
     cells = classes.crossJoin(F.broadcast(classes.withColumnRenamed("label", "pred")))
-    return cells.join(F.broadcast(cm(spark, sf_dir)), ["label", "pred"], "left").select("label", "pred", F.coalesce("n", F.lit(0)).alias("n"))
+    return cells.join(cm(spark, sf_dir), ["label", "pred"], "left").select("label", "pred", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(LOGITS + "SELECT class_id, round(recall, 6) AS recall, round(precision, 6) AS precision, round(f1, 6) AS f1 FROM sc")

@@ -189,7 +189,7 @@ def synonym_counts(spark, sf_dir):
 def class_frequency(spark, sf_dir):
     names = spark.createDataFrame([(c, n) for c, n, _ in CLASSES], "class_id int, name string")
     n = M.attributed(found_in_documents(spark, sf_dir)[0], ["doc_id"]).groupBy("class_id").agg(F.count("doc_id").alias("n"))
-    return names.join(F.broadcast(n), "class_id", "left").select("class_id", "name", F.coalesce("n", F.lit(0)).alias("actual_freq"))
+    return names.join(n, "class_id", "left").select("class_id", "name", F.coalesce("n", F.lit(0)).alias("actual_freq"))
 
 
 def _name_sql(strict: bool) -> str:

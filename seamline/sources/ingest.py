@@ -24,10 +24,11 @@ def manifest(spark: SparkSession, root: str) -> DataFrame:
     return rows.groupBy("batch").agg(F.max_by(F.struct("n", "digest"), "listed").alias("x")).select("batch", "x.*")
 
 
-def ingest(rows: DataFrame, root: str, key: str, batches: int = 16, stop_after: int | None = None) -> list[int]:
+def ingest(rows: DataFrame, root: str, key: str, batches: int = 16, at_once: int = 8, stop_after: int | None = None) -> list[int]:
     """Stores the batches of rows that aren't stored yet, or not as they are now; the numbers of those that were.
 
-    A row's batch hangs on its key alone. stop_after leaves off after so many, for budgets of time and for tests.
+    A row's batch hangs on its key alone. One pass over the rows counts them all, and another one stores `at_once` batches,
+    which are what a failure can undo. stop_after leaves off after so many, for budgets of time and for tests.
     """
     spark = rows.sparkSession
     mark: Column = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
@@ -36,13 +37,14 @@ def ingest(rows: DataFrame, root: str, key: str, batches: int = 16, stop_after:
     now = dealt.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(mark, F.lit(1 << 31))).alias("digest"))
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("batch", "n", "digest")]
     wanted = now.alias("a").join(manifest(spark, root).alias("b"), same, "left_anti").orderBy("batch").collect()  # a row for each batch
-    done = []
-    for r in wanted[:stop_after]:
-        dealt.filter(F.col("batch") == r.batch).drop("batch").write.mode("overwrite").parquet(f"{root.rstrip('/')}/rows/batch={r.batch}")
-        listed = spark.createDataFrame([(r.batch, r.n, r.digest)], MANIFEST).withColumn("listed", F.current_timestamp())
-        listed.coalesce(1).write.mode("append").parquet(f"{root.rstrip('/')}/manifest")
-        done.append(r.batch)
-    return done
+    todo, path = wanted[:stop_after], root.rstrip("/")
+    for low in range(0, len(todo), at_once):
+        part = todo[low : low + at_once]
+        mine = dealt.filter(F.col("batch").isin([r.batch for r in part]))
+        mine.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/rows")
+        listed = spark.createDataFrame([tuple(r) for r in part], MANIFEST).withColumn("listed", F.current_timestamp())
+        listed.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return [r.batch for r in todo]
 
 
 def ingested(spark: SparkSession, root: str, schema: str) -> DataFrame:

@@ -39,3 +39,17 @@ def discard(spark: SparkSession, path: str | None = None) -> None:
     """Deletes one folder, or all that this application has stored; results that still read it must be stored before."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path or _root(spark))
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Tables up to this size are dealt out before work on each row that is much more than reading it.
+SMALL_BYTES = 256 << 20
+
+
+def dealt_out(df: DataFrame) -> DataFrame:
+    """df over all cores if it is small: a file with one row group is read by one task, whatever its size.
+
+    Larger tables have row groups enough, and are left as they are: no text is shuffled for this.
+    """
+    if df.isStreaming or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
