@@ -16,7 +16,8 @@ Words are runs of letters and digits in lower case, with any other character bey
    reach VERBATIM of its words; or PARAPHRASE of them, if the item's answer words (its rarest) nearly all occur too.
 
 Defined results: null texts count as empty; an item without words matches nothing; equal items match each on their own;
-repeated rows match each on their own; a row with a null id is checked like any other; with an empty table on either side
+repeated rows match each on their own; a row with a null id is checked like any other; very long texts are read whole, passage by passage;
+of several places where a document holds an item the first one that is checked is told, and ties go by word hashes; with an empty table on either side
 nothing matches; filtering keeps all columns, and names that clash with ours do no harm.
 """
 
