@@ -90,7 +90,7 @@ def resumable_ingestion(spark, sf_dir):
     from seamline.sources.ingest import ingest, ingested
 
     at, rows = scratch(spark), table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "value")
-    runs = [ingest(rows, at, "event_id", 6, stop) for stop in (2, None, None)]
+    runs = [ingest(rows, at, "event_id", 6, stop_after=stop) for stop in (2, None, None)]
     return ingested(spark, at, "event_id long, event_type string, user_id long, value double").select("event_id", "event_type", "user_id", "value", F.lit(len(runs[2])).alias("left"))
 
 

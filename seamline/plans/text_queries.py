@@ -330,7 +330,7 @@ def phrase_match_expressions(spark, sf_dir):
     phrase_sql()
     + """, sized AS (SELECT doc_id, doc_id % 4 AS shard, hay, len(string_split(trim(hay), ' ')) AS n FROM dh),
 sh AS (SELECT shard, count(*) AS rows, avg(n) AS mean FROM sized GROUP BY shard),
-hit AS (SELECT class_id, synonym, s.doc_id, s.shard, n, CAST((length(hay) - length(replace(hay, phrase, repeat(' ', CAST(length(phrase) - 1 AS INT))))) AS DOUBLE) AS tf FROM found f JOIN sized s USING (doc_id) JOIN ph USING (class_id, synonym)),
+hit AS (SELECT class_id, synonym, s.doc_id, s.shard, n, CAST((length(h2) - length(replace(h2, p2, ''))) / length(p2) AS DOUBLE) AS tf FROM found f JOIN (SELECT *, replace(hay, ' ', '  ') AS h2 FROM sized) s USING (doc_id) JOIN (SELECT class_id, synonym, ' ' || replace(trim(phrase), ' ', '  ') || ' ' AS p2 FROM ph) USING (class_id, synonym)),
 df AS (SELECT class_id, synonym, shard, count(*) AS df FROM hit GROUP BY ALL),
 sco AS (SELECT class_id, synonym, doc_id, shard, greatest(CASE WHEN ln((rows - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((rows - df + 0.5) / (df + 0.5)) END, 0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)) AS score FROM hit JOIN df USING (class_id, synonym, shard) JOIN sh USING (shard))
 SELECT class_id, synonym, CAST(shard AS INT) AS shard, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY class_id, synonym, shard ORDER BY round(score, 6) DESC, doc_id) AS rank FROM sco QUALIFY rank <= 5"""
