@@ -1,10 +1,11 @@
-"""Postings as they travel to their folders."""
+"""Postings as they travel to their folders, and ranks from hits that are stored once."""
 
 import random
 
 import numpy as np
 import pyarrow as pa
 
+from seamline.operators import matching as M
 from seamline.operators import positional_index as I
 
 
@@ -27,3 +28,10 @@ def test_packed_postings_are_those_of_the_texts():
     assert found == want and packed.num_rows <= I.BUCKETS
     assert sum(map(len, packed.column("packed").to_pylist())) < 4 * sum(map(len, want.values()))
     assert I._packed(group.slice(0, 1)).num_rows == 0
+
+
+def test_places_are_intersected_once_for_ranks(spark, tmp_path):
+    I.add_shards(spark.createDataFrame([(0, 1, "of the sea"), (0, 2, "the of"), (0, 3, None)], "shard int, row long, text string"), str(tmp_path))
+    ranks = I.ranked(spark, str(tmp_path), M.phrases_of(spark.createDataFrame([(0, "of the", 1, 0)], "class_id int, synonym string, cnt int, ord int")))
+    assert [(r.row, r["rank"]) for r in ranks.collect()] == [(1, 1)]
+    assert "FlatMapGroupsInArrow" not in ranks._jdf.queryExecution().executedPlan().toString()
